@@ -55,23 +55,26 @@ def flatten_discovered(t: Tables):
 
 
 def _responses(t: Tables):
-    """One API response per order: its lines under ``items`` or ``results``."""
-    lines = t.lineitem.groupBy("l_orderkey").agg(
-        F.collect_list(F.struct("l_partkey", "l_linenumber", "l_quantity")).alias("lines")
-    )
+    """API responses made of order lines: two records each, under ``items`` or ``results``."""
+    def record(number, quantity):
+        return F.struct(F.col("l_partkey"), number.alias("l_linenumber"), quantity.alias("l_quantity"))
+
+    number, quantity = F.col("l_linenumber"), F.col("l_quantity")
+    records = F.array(record(number, quantity), record(number + 10, quantity * 2))
     odd = F.col("l_orderkey") % 2 == 1
-    return lines.select(
-        F.when(odd, F.col("lines")).alias("results"), F.when(~odd, F.col("lines")).alias("items"),
-        F.when(F.col("l_orderkey") % 3 == 0, F.size("lines").cast("long")).alias("total"),
+    return t.lineitem.select(
+        F.when(odd, records).alias("results"), F.when(~odd, records).alias("items"),
+        F.when(F.col("l_orderkey") % 3 == 0, F.col("l_partkey")).alias("total"),
     )
 
 
-@query("unwrap_response", "SELECT l_partkey, l_linenumber, l_quantity FROM lineitem")
+@query("unwrap_response", """SELECT l_partkey, l_linenumber, l_quantity FROM lineitem UNION ALL
+ SELECT l_partkey, l_linenumber + 10, l_quantity * 2 FROM lineitem""")
 def unwrap_response(t: Tables):
     return env.unwrap_response(_responses(t))
 
 
-@query("response_total", "SELECT count(*) AS total FROM lineitem GROUP BY l_orderkey")
+@query("response_total", "SELECT CASE WHEN l_orderkey % 3 = 0 THEN l_partkey ELSE 2 END AS total FROM lineitem")
 def response_total(t: Tables):
     return env.response_total(_responses(t))
 
@@ -185,8 +188,8 @@ def change_event_rows(t: Tables):
     return env.change_event_rows(log)
 
 
-@query("nested_array_inventory", """SELECT 'items' AS path, count(*) AS record_count, 3 AS field_count FROM lineitem WHERE l_orderkey % 2 = 0
- UNION ALL SELECT 'results', count(*), 3 FROM lineitem WHERE l_orderkey % 2 = 1""")
+@query("nested_array_inventory", """SELECT 'items' AS path, 2 * count(*) AS record_count, 3 AS field_count FROM lineitem WHERE l_orderkey % 2 = 0
+ UNION ALL SELECT 'results', 2 * count(*), 3 FROM lineitem WHERE l_orderkey % 2 = 1""")
 def nested_inventory(t: Tables):
     return nested_array_inventory(_responses(t))
 

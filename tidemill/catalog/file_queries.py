@@ -14,10 +14,11 @@ from tidemill.sources import files, relational
 _DOCUMENT_ROWS = 5_000
 
 
-def _json_documents(df, key: str, path: str, name: str) -> str:
+def _json_documents(df, path: str, name: str) -> str:
     """Write one JSON document per file, each with an array of at most 5,000 records."""
-    chunk = F.floor(F.col(key) / _DOCUMENT_ROWS)
-    body = df.groupBy(chunk.alias("chunk")).agg(F.collect_list(F.struct(*df.columns)).alias("b"))
+    # row places are unique, so no chunk can hold more
+    chunk = F.floor(F.monotonically_increasing_id() / _DOCUMENT_ROWS)
+    body = df.withColumn("chunk", chunk).groupBy("chunk").agg(F.collect_list(F.struct(*df.columns)).alias("b"))
     shapes = {"array": F.to_json("b"), "nested": F.to_json(F.struct(
         F.struct(F.lit(1).alias("v")).alias("meta"), F.struct(F.col("b")).alias("a")))}
     body.select(shapes[name].alias("value")).write.option("maxRecordsPerFile", 1).text(path)
@@ -40,7 +41,7 @@ def read_tsv(t: Tables):
 
 @query("read_json", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def read_json(t: Tables):
-    path = _json_documents(t.customer.select("c_custkey", "c_name", "c_acctbal"), "c_custkey", t.scratch("read_json"), "array")
+    path = _json_documents(t.customer.select("c_custkey", "c_name", "c_acctbal"), t.scratch("read_json"), "array")
     return files.read_json(t.spark, path)
 
 
@@ -54,7 +55,7 @@ def read_jsonl(t: Tables):
 @query("read_json_path", "SELECT o_orderkey, o_orderstatus FROM orders")
 def read_json_path(t: Tables):
     df = t.orders.select("o_orderkey", "o_orderstatus")
-    path = _json_documents(df, "o_orderkey", t.scratch("read_json_path"), "nested")
+    path = _json_documents(df, t.scratch("read_json_path"), "nested")
     return files.read_json_path(t.spark, path, "root.a.b")
 
 

@@ -142,23 +142,62 @@ def loaded(col: Column, sql_type: str, boolean_default: bool | None = None) -> C
     return col.try_cast(name.lower())
 
 
-# Date formats in the order they are tried, with the text shape each one accepts.
+# Date formats in the order they are tried, the separator of the date, and the places of year,
+# month and day in the text.
 DATE_FORMATS = (
-    ("%Y-%m-%d", "yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("%d/%m/%Y", "d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("%m/%d/%Y", "M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("%Y/%m/%d", "yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
-    ("%Y-%m-%d %H:%M:%S", "yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("%d/%m/%Y %H:%M:%S", "d/M/yyyy H:m:s", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("%m/%d/%Y %H:%M:%S", "M/d/yyyy H:m:s", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("%Y-%m-%d", "-", (0, 1, 2)),
+    ("%d/%m/%Y", "/", (2, 1, 0)),
+    ("%m/%d/%Y", "/", (2, 0, 1)),
+    ("%Y/%m/%d", "/", (0, 1, 2)),
+    ("%Y-%m-%d %H:%M:%S", "-", (0, 1, 2)),
+    ("%d/%m/%Y %H:%M:%S", "/", (2, 1, 0)),
+    ("%m/%d/%Y %H:%M:%S", "/", (2, 0, 1)),
 )
 
 
+def has_time(index: int) -> bool:
+    """Whether the ``index``-th known date format holds a time of day."""
+    return "%H" in DATE_FORMATS[index][0]
+
+
+# Month and day patterns of the calendar, and the years that have a 29 February.
+_MONTH_DAYS = (
+    (r"(?:0?[13578]|1[02])", r"(?:0?[1-9]|[12]\d|3[01])"),
+    (r"(?:0?[469]|11)", r"(?:0?[1-9]|[12]\d|30)"),
+    (r"0?2", r"(?:0?[1-9]|1\d|2[0-8])"),
+)
+_ANY_YEAR = r"(?!0000)\d{4}"
+_LEAP_YEAR = r"(?!0000)(?:\d\d(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
+_TIME = r" (?:[01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d"
+
+
+def date_regex(index: int) -> str:
+    """Regex of all real dates in the ``index``-th known format.
+
+    One compact regex instead of a parse: a failing parse raises an exception per value inside.
+    """
+    _, separator, places = DATE_FORMATS[index]
+    dates = [(_ANY_YEAR, month, day) for month, day in _MONTH_DAYS] + [(_LEAP_YEAR, "0?2", "29")]
+    options = []
+    for parts in dates:
+        placed = {place: part for place, part in zip(places, parts, strict=True)}
+        options.append(separator.join(placed[i] for i in range(3)))
+    return f"^(?:{'|'.join(options)}){_TIME if has_time(index) else ''}$"
+
+
+def fits_format(col: Column, index: int) -> Column:
+    """Whether a text is a real date in the ``index``-th known format."""
+    return F.coalesce(col.cast("string").rlike(date_regex(index)), F.lit(False))
+
+
 def parsed_with(col: Column, index: int) -> Column:
-    """Timestamp by the ``index``-th known date format, null when the text has another shape."""
-    _, pattern, shape = DATE_FORMATS[index]
+    """Timestamp by the ``index``-th known date format, null when the text is no date in it."""
     text = col.cast("string")
-    return F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))).cast("timestamp_ntz")
+    count = 6 if has_time(index) else 3
+    pieces = F.split(text, "[-/ :]")
+    parts = [F.get(pieces, F.lit(i)).try_cast("int") for i in [*DATE_FORMATS[index][2], 3, 4, 5][:count]]
+    parts += [F.lit(0)] * (6 - count)
+    return F.when(text.rlike(date_regex(index)), F.make_timestamp_ntz(*parts))
 
 
 def loaded_timestamp(col: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.predicates import combine, rule_predicate
 from tidemill.functions.quoting import named
-from tidemill.operators.medians import INLINE_ROWS, exact_median, largest_group
+from tidemill.operators.medians import BROADCAST_GROUPS, INLINE_ROWS, group_sizes, median_by_rank
 from tidemill.session import require_columns
 
 # Accepted spellings of each aggregate function.
@@ -68,19 +68,15 @@ def aggregate(
     require_columns(df, [*group_by, *[s["column"] for s in specs], *order_by])
     source = df if keep_null_keys or not group_by else df.dropna(subset=list(group_by))
     groups = [named(c) for c in group_by]
-    ranked = [
-        s for s in specs
-        if s["function"] == "median" and largest_group(source, group_by, s["column"]) > median_inline_rows
-    ]
-    inline = [s for s in specs if s not in ranked]
-    exprs = [_expression(s["function"], s["column"], order_by).alias(s["alias"]) for s in inline]
-    if inline or not ranked:
-        result = source.groupBy(*groups).agg(*exprs) if exprs else source.select(*groups).distinct()
-    else:
-        first = ranked.pop(0)
-        result = exact_median(source, group_by, first["column"], first["alias"], inline_rows=0)
+    sizes = {
+        s["column"]: group_sizes(source, group_by, s["column"]) for s in specs if s["function"] == "median"
+    }
+    ranked = [s for s in specs if s["function"] == "median" and sizes[s["column"]].largest > median_inline_rows]
+    exprs = [_expression(s["function"], s["column"], order_by).alias(s["alias"]) for s in specs if s not in ranked]
+    result = source.groupBy(*groups).agg(*(exprs or [F.count(F.lit(1)).alias("__rows")]))
     for spec in ranked:
-        medians = exact_median(source, group_by, spec["column"], spec["alias"], inline_rows=0)
+        few = sizes[spec["column"]].groups <= BROADCAST_GROUPS
+        medians = median_by_rank(source, group_by, spec["column"], spec["alias"], few_groups=few)
         if not group_by:
             result = result.withColumn(spec["alias"], medians.scalar())
             continue

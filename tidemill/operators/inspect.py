@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.functions.conversion import DATE_FORMATS, NUMBER_TEXT, WHOLE_TEXT, parsed_with, to_double
+from tidemill.functions.conversion import DATE_FORMATS, fits_format, has_time, to_double
 from tidemill.functions.predicates import is_missing
 from tidemill.functions.quoting import named
 from tidemill.operators.columns import sanitize_name
@@ -33,26 +34,46 @@ def _present(df: DataFrame, column: str) -> Column:
     return F.when(~is_missing(df, column), named(column))
 
 
-def _text_counters(df: DataFrame, column: str) -> dict[str, Column]:
-    text = _present(df, column)
-    number = to_double(text)
-    whole = text.rlike(WHOLE_TEXT) | (number.isNotNull() & (number == F.floor(number)))
-    counters = {
-        "present": F.count(text), "bool": F.count_if(text.isin(*BOOLEAN_TEXTS)),
-        "number": F.count_if(text.rlike(NUMBER_TEXT)), "whole": F.count_if(whole),
-        "binary": F.count_if(number.isin(0.0, 1.0)), "low": F.min(number), "high": F.max(number),
-        "exact_low": F.min(text.try_cast("decimal(38,0)")), "exact_high": F.max(text.try_cast("decimal(38,0)")),
-        "length": F.max(F.length(text)),
-    }
-    for i in range(len(DATE_FORMATS)):
-        counters[f"date{i}"] = F.count(parsed_with(text, i))
-    counters["iso"] = F.count(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), text.try_cast("timestamp_ntz")))
-    return counters
+def _date_mask(text: Column) -> Column:
+    """Bit set of the known date formats a text fits; bits above them stand for ISO date-times."""
+    def fits(separator: str, timed: bool) -> Column:
+        bits = [F.when(fits_format(text, i), 1 << i).otherwise(0) for i, (_, sep, _) in enumerate(DATE_FORMATS)
+                if sep == separator and has_time(i) == timed]
+        return reduce(lambda a, b: a + b, bits)
+
+    dash = text.contains("-")
+    timed = F.when(dash, fits("-", True)).otherwise(fits("/", True))
+    dated = F.when(dash, fits("-", False)).otherwise(fits("/", False))
+    known = F.when(text.contains(":"), timed).otherwise(dated)
+    iso = F.when(text.try_cast("timestamp_ntz").isNotNull(), _ISO_BIT).otherwise(0)
+    # one cheap test decides whether any format can fit
+    return F.when(text.rlike(_DATE_LIKE), known).when(text.rlike(_ISO_LIKE), iso).otherwise(0)
+
+
+_DATE_LIKE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}( \d{1,2}:\d{1,2}:\d{1,2})?$"
+_ISO_LIKE = r"^\d{4}-\d{2}-\d{2}T"
+_ISO_BIT = 1 << len(DATE_FORMATS)
+# doubles beyond this bound lose digits, so such numbers are also compared as decimals
+_EXACT_BOUND = 2.0**52
+
+
+def _text_counters(cells: DataFrame) -> DataFrame:
+    """Counters per text column. ``cells`` has one row per cell (place, text), so the generated code stays
+    small however many columns there are, and each text is parsed once for all of its counters."""
+    text, number = F.col("text"), F.col("number")
+    exact = F.when(F.abs(number) >= _EXACT_BOUND, text.try_cast("decimal(38,0)"))
+    parsed = cells.filter(text.isNotNull()).withColumns({"number": to_double(text), "dates": _date_mask(text)})
+    return parsed.groupBy("place").agg(
+        F.count(text).alias("present"), F.count_if(text.isin(*BOOLEAN_TEXTS)).alias("bool"),
+        F.count(number).alias("number"),
+        F.count_if((F.abs(number) >= _EXACT_BOUND) | (number == F.floor(number))).alias("whole"),
+        F.count_if(number.isin(0.0, 1.0)).alias("binary"), F.min(number).alias("low"), F.max(number).alias("high"),
+        F.min(exact).alias("exact_low"), F.max(exact).alias("exact_high"), F.max(F.length(text)).alias("length"),
+        F.bit_and("dates").alias("dates"),
+    )
 
 
-def _typed_counters(df: DataFrame, field: T.StructField) -> dict[str, Column]:
-    col = _present(df, field.name)
-    kind = field.dataType
+def _typed_counters(kind: T.DataType, col: Column) -> dict[str, Column]:
     counters = {"present": F.count(col)}
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         counters["timed"] = F.count_if(col != F.date_trunc("day", col))
@@ -80,16 +101,21 @@ def _decide_text(v: Mapping, numeric_text: bool) -> InferredType:
     if numeric_text and v["number"] == n and v["binary"] == n:
         return InferredType("BOOLEAN")
     for i, (fmt, _, _) in enumerate(DATE_FORMATS):
-        if v[f"date{i}"] == n:
-            return InferredType("TIMESTAMP" if "%H" in fmt else "DATE", fmt)
-    if v["iso"] == n:
+        if v["dates"] & (1 << i):
+            return InferredType("TIMESTAMP" if has_time(i) else "DATE", fmt)
+    if v["dates"] & _ISO_BIT:
         return InferredType("TIMESTAMP")
     if v["number"] == n:
         if v["whole"] != n:
             return InferredType("DOUBLE PRECISION")
-        if abs(v["low"]) >= 1e38 or abs(v["high"]) >= 1e38:
+        low, high = v["low"], v["high"]
+        if abs(low) >= 1e38 or abs(high) >= 1e38:
             return InferredType("NUMERIC")
-        return InferredType(_whole_type(v["exact_low"], v["exact_high"]))
+        if abs(low) >= _EXACT_BOUND:
+            low = v["exact_low"]
+        if abs(high) >= _EXACT_BOUND:
+            high = v["exact_high"]
+        return InferredType(_whole_type(low, high))
     if v["length"] <= MAX_VARCHAR:
         return InferredType(f"VARCHAR({min(v['length'] * 2, MAX_VARCHAR)})")
     return InferredType("TEXT")
@@ -118,28 +144,25 @@ def _decide_typed(kind: T.DataType, v: Mapping) -> InferredType:
 def infer_types(
     df: DataFrame, numeric_text: bool = True, sample_fraction: float | None = None
 ) -> dict[str, InferredType]:
-    """SQL type of every column, from one aggregate over the data (per 100 columns).
+    """SQL type of every column: one aggregate for all text columns, one per 100 typed columns.
 
     ``numeric_text`` treats number texts as numbers, as a file import does.
     """
     source = df.sample(fraction=sample_fraction, seed=17) if sample_fraction else df
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    typed = [f for f in df.schema.fields if not isinstance(f.dataType, T.StringType)]
     out: dict[str, InferredType] = {}
-    fields = df.schema.fields
-    for start in range(0, len(fields), COLUMNS_PER_JOB):
-        batch = fields[start:start + COLUMNS_PER_JOB]
-        plan = {
-            f.name: _text_counters(df, f.name) if isinstance(f.dataType, T.StringType) else _typed_counters(df, f)
-            for f in batch
-        }
-        exprs = [c.alias(f"{i}_{k}") for i, f in enumerate(batch) for k, c in plan[f.name].items()]
-        row = source.agg(*exprs).first()
+    if texts:
+        cells = source.select(F.posexplode(F.array(*[_present(df, c) for c in texts])).alias("place", "text"))
+        found = {r["place"]: r.asDict() for r in _text_counters(cells).collect()}
+        out |= {c: _decide_text(found.get(i, {"present": 0}), numeric_text) for i, c in enumerate(texts)}
+    for start in range(0, len(typed), COLUMNS_PER_JOB):
+        batch = typed[start:start + COLUMNS_PER_JOB]
+        counters = [_typed_counters(f.dataType, _present(df, f.name)) for f in batch]
+        row = source.agg(*[c.alias(f"{i}_{k}") for i, of in enumerate(counters) for k, c in of.items()]).first()
         for i, f in enumerate(batch):
-            values = {k: row[f"{i}_{k}"] for k in plan[f.name]}
-            if isinstance(f.dataType, T.StringType):
-                out[f.name] = _decide_text(values, numeric_text)
-            else:
-                out[f.name] = _decide_typed(f.dataType, values)
-    return out
+            out[f.name] = _decide_typed(f.dataType, {k: row[f"{i}_{k}"] for k in counters[i]})
+    return {c: out[c] for c in df.columns}
 
 
 def column_statistics(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,34 +13,47 @@ from tidemill.operators.ordering import ROWS_PER_BUCKET, bucket_number, cut_poin
 
 # The built-in median keeps every distinct value of a group in one buffer; larger groups go by rank.
 INLINE_ROWS = 200_000
+# A table of the middle ranks has at most two rows per group; up to this many groups it is broadcast.
+BROADCAST_GROUPS = 50_000
 
 
-def largest_group(df: DataFrame, keys: Sequence[str], value: str) -> int:
-    """Row count of the largest group, counting non-null values only."""
+@dataclass(frozen=True)
+class GroupSizes:
+    """Measured number of groups and row count of the largest one, counting non-null values only."""
+
+    groups: int
+    largest: int
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str], value: str) -> GroupSizes:
+    """Measure the groups of a median."""
     rows = df.filter(named(value).isNotNull())
     counts = rows.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+    row = counts.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).first()
+    return GroupSizes(row["groups"], row["largest"])
 
 
 def exact_median(
     df: DataFrame, keys: Sequence[str], value: str, alias: str,
     inline_rows: int = INLINE_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """One row per key group with the exact median of ``value``; null when a group has no value."""
-    if largest_group(df, keys, value) <= inline_rows:
-        return df.groupBy(*[named(k) for k in keys]).agg(F.median(named(value)).alias(alias))
-    return median_by_rank(df, keys, value, alias, rows_per_bucket)
+    """One row per key group that has a value, with the exact median of ``value``; without keys one row."""
+    sizes = group_sizes(df, keys, value)
+    if sizes.largest <= inline_rows:
+        present = df.filter(named(value).isNotNull()) if keys else df
+        return present.groupBy(*[named(k) for k in keys]).agg(F.median(named(value)).alias(alias))
+    return median_by_rank(df, keys, value, alias, rows_per_bucket, sizes.groups <= BROADCAST_GROUPS)
 
 
 def median_by_rank(
-    df: DataFrame, keys: Sequence[str], value: str, alias: str, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, keys: Sequence[str], value: str, alias: str,
+    rows_per_bucket: int = ROWS_PER_BUCKET, few_groups: bool = False,
 ) -> DataFrame:
     """Median by rank: count per value range, then rank only the range that holds the middle rows."""
-    slim = df.select(*[named(k) for k in keys], named(value).alias("__v"))
-    present = slim.filter(F.col("__v").isNotNull())
-    cuts = cut_points(present, ["__v"], rows_per_bucket)
+    slim = df.select(*[named(k) for k in keys], named(value).alias("__v")).filter(F.col("__v").isNotNull())
+    cuts = cut_points(slim, ["__v"], rows_per_bucket)
     groups = [named(k) for k in keys]
-    per_value = present.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    per_value = slim.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__n"))
     per_value = per_value.withColumn("__bucket", bucket_number(["__v"], cuts))
     per_bucket = per_value.groupBy(*groups, "__bucket").agg(F.sum("__n").alias("__n"))
     # at most one row per bucket and group: the window stays small even for a hot group
@@ -55,10 +69,11 @@ def median_by_rank(
     holds = ((F.col("__low") > F.col("__base")) & (F.col("__low") <= end)) | (
         (F.col("__high") > F.col("__base")) & (F.col("__high") <= end)
     )
-    targets = ranges.filter(holds).drop("__n").select(
+    targets = ranges.filter(holds).select(
         *[named(k).alias(f"__t{i}") for i, k in enumerate(keys)],
         F.col("__bucket").alias("__tb"), "__base", "__low", "__high",
     )
+    targets = F.broadcast(targets) if few_groups else targets.hint("merge")
     same = F.col("__bucket") == F.col("__tb")
     for i, k in enumerate(keys):
         same = same & named(k).eqNullSafe(F.col(f"__t{i}"))
@@ -71,14 +86,4 @@ def median_by_rank(
     def at(rank: str):
         return F.max(F.when((F.col(rank) > start) & (F.col(rank) <= F.col("__end")), F.col("__v").cast("double")))
 
-    middle = ranked.groupBy(*groups).agg(((at("__low") + at("__high")) / 2).alias(alias))
-    if not keys:
-        return middle
-    # groups whose values are all null still get a row
-    heads = slim.select(*groups).distinct().select(*[named(k).alias(f"__h{i}") for i, k in enumerate(keys)])
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & F.col(f"__h{i}").eqNullSafe(named(k))
-    return heads.join(middle, match, "left").select(
-        *[F.col(f"__h{i}").alias(k) for i, k in enumerate(keys)], named(alias)
-    )
+    return ranked.groupBy(*groups).agg(((at("__low") + at("__high")) / 2).alias(alias))

@@ -66,7 +66,9 @@ def dense_ids(df: DataFrame, order_by: Sequence[str], id_column: str = "id", sta
     """
     require_columns(df, order_by)
     slot = F.monotonically_increasing_id()
-    placed = materialize(df.orderBy(*order_by).withColumn("__slot", slot))
+    # the tie column lets equal keys fall into different sort partitions
+    ordered = df.withColumn("__tie", F.monotonically_increasing_id()).orderBy(*order_by, "__tie").drop("__tie")
+    placed = materialize(ordered.withColumn("__slot", slot))
     part = F.shiftright(F.col("__slot"), 33)
     counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
     # one row per partition of the sort: small by construction

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,9 +213,11 @@ def issues_by_type(found: DataFrame) -> DataFrame:
 
 def issues_head(found: DataFrame, row_key: Sequence[str], limit: int = 100) -> DataFrame:
     """First ``limit`` issues in row order; ``has_more`` tells whether others exist."""
-    total = found.agg(F.count(F.lit(1))).scalar()
-    head = found.orderBy(*row_key, "column_name", "issue_type").limit(limit)
-    return head.withColumn("has_more", total > F.lit(limit))
+    order = [*row_key, "column_name", "issue_type"]
+    head = found.orderBy(*order).limit(limit + 1)
+    # the window sees at most limit + 1 rows
+    seen = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    return head.withColumn("has_more", seen > limit).orderBy(*order).limit(limit)
 
 
 def isolate(df: DataFrame, rules: Sequence[Rule], strategy: str = "quarantine") -> tuple[DataFrame, DataFrame]:

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.cleaning import cleaned
-from tidemill.functions.conversion import converted, loaded, parsed_with, DATE_FORMATS
+from tidemill.functions.conversion import DATE_FORMATS, converted, loaded, parsed_with
 from tidemill.functions.predicates import combine, rule_predicate
 from tidemill.functions.quoting import named
+from tidemill.operators.ordering import dense_ids
 from tidemill.session import require_columns
 
 
@@ -67,35 +68,83 @@ def preserve_big_integers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: named(c).cast("string").try_cast("decimal(38,0)") for c in columns})
 
 
-def set_operation(frames: Sequence[DataFrame], kind: str, all_rows: bool = False) -> DataFrame:
-    """UNION, INTERSECT or EXCEPT of frames with the same columns."""
+# Copies of one row that a single task writes; more are spread over tasks.
+COPIES_PER_TASK = 1_000_000
+
+
+def _copies(counted: DataFrame, columns: Sequence[str], per_task: int) -> DataFrame:
+    """Each row ``__n`` times; a row with very many copies is cut into pieces that are spread over tasks."""
+    def repeated(df: DataFrame) -> DataFrame:
+        return df.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*columns)
+
+    names = [named(c) for c in columns]
+    pieces = F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / per_task))
+    many = counted.filter(F.col("__n") > per_task).select(*names, F.col("__n").alias("__all"), F.explode(pieces).alias("__p"))
+    size = F.least(F.lit(per_task), F.col("__all") - F.col("__p") * per_task)
+    spread = many.withColumn("__n", size).drop("__all").repartition()
+    return repeated(counted.filter(F.col("__n").between(1, per_task))).unionByName(repeated(spread))
+
+
+def set_operation(
+    frames: Sequence[DataFrame], kind: str, all_rows: bool = False, copies_per_task: int = COPIES_PER_TASK
+) -> DataFrame:
+    """UNION, INTERSECT or EXCEPT of frames with the same columns.
+
+    Intersections and differences are one aggregate of row counts per side, combined before the shuffle, so
+    a row with very many copies is no hot key.
+    """
     word = kind.lower()
-    steps = {
-        ("union", True): lambda a, b: a.unionByName(b),
-        ("union", False): lambda a, b: a.unionByName(b),
-        ("intersect", True): lambda a, b: a.intersectAll(b),
-        ("intersect", False): lambda a, b: a.intersect(b),
-        ("except", True): lambda a, b: a.exceptAll(b),
-        ("except", False): lambda a, b: a.subtract(b),
-    }
-    if (word, all_rows) not in steps:
+    if word not in ("union", "intersect", "except"):
         raise ValueError(f"Unknown set operation: {kind}")
-    out = reduce(steps[(word, all_rows)], frames)
-    return out.distinct() if word == "union" and not all_rows else out
+    if word == "union":
+        out = reduce(lambda a, b: a.unionByName(b), frames)
+        return out if all_rows else out.distinct()
+    columns = frames[0].columns
+
+    def pair(a: DataFrame, b: DataFrame) -> DataFrame:
+        sides = a.withColumn("__a", F.lit(1)).unionByName(
+            b.select(*[named(c) for c in columns]).withColumn("__a", F.lit(0))
+        )
+        counted = sides.groupBy(*[named(c) for c in columns]).agg(
+            F.sum("__a").alias("__left"), F.sum(1 - F.col("__a")).alias("__right")
+        )
+        left, right = F.col("__left"), F.col("__right")
+        if not all_rows:
+            keep = (left > 0) & ((right > 0) if word == "intersect" else (right == 0))
+            return counted.filter(keep).select(*[named(c) for c in columns])
+        copies = F.least(left, right) if word == "intersect" else left - right
+        return _copies(counted.withColumn("__n", copies).drop("__left", "__right"), columns, copies_per_task)
+
+    return reduce(pair, frames)
+
+
+def _spread_ties(df: DataFrame, order: Sequence) -> DataFrame:
+    """Ordered rows; rows with equal keys may lie in different sort partitions, so a frequent key is no hot one."""
+    return df.withColumn("__tie", F.monotonically_increasing_id()).orderBy(*order, "__tie").drop("__tie")
 
 
 def sort(df: DataFrame, column: str, direction: str = "ASC") -> DataFrame:
     """Order by one column."""
     require_columns(df, [column])
     col = named(column)
-    return df.orderBy(col.desc() if direction.upper() == "DESC" else col.asc())
+    return _spread_ties(df, [col.desc() if direction.upper() == "DESC" else col.asc()])
+
+
+# Offsets up to this size are cut from a top-k; deeper ones would hold that many rows in one task.
+SHALLOW_ROWS = 100_000
 
 
 def page(
-    df: DataFrame, order_by: Sequence[str], page: int = 1, page_size: int = 25, with_total: bool = False
+    df: DataFrame, order_by: Sequence[str], page: int = 1, page_size: int = 25, with_total: bool = False,
+    shallow_rows: int = SHALLOW_ROWS,
 ) -> DataFrame:
     """One page of the ordered rows; ``with_total`` adds the count of all rows."""
-    out = df.orderBy(*order_by).offset((page - 1) * page_size).limit(page_size)
+    skip = (page - 1) * page_size
+    if skip + page_size <= shallow_rows:
+        out = df.orderBy(*order_by).offset(skip).limit(page_size)
+    else:
+        place = F.col("__place").between(skip + 1, skip + page_size)
+        out = dense_ids(df, order_by, "__place").filter(place).orderBy("__place").drop("__place")
     if not with_total:
         return out
     return out.withColumn("total_count", df.agg(F.count(F.lit(1))).scalar())

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,13 +92,19 @@ def extract_columns(df: DataFrame, columns: Sequence[str] | None, strict: bool =
     return df.select(*[named(c) for c in known]) if known else df
 
 
-def read_text_lines(spark: SparkSession, path, keep_source: bool = False) -> DataFrame:
+def read_text_lines(
+    spark: SparkSession, path, keep_source: bool = False, file_filter: Column | None = None, **options: Any
+) -> DataFrame:
     """Lines of text files as (line_number, content); blank lines are dropped but counted.
 
     Files are split across tasks. A line's number is its place in its file block plus the line counts of
     the file's earlier blocks, so no task reads a whole file.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
+    text = spark.read.options(**options).option("lineSep", "\n").text(path)
+    if file_filter is not None:
+        # a filter on file metadata drops files before they are scanned
+        text = text.filter(file_filter)
+    lines = text.select(
         F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__slot"), F.col("value").alias("content"),
     )
@@ -202,7 +208,7 @@ def read_prefix(spark: SparkSession, prefix: str, pattern: str = "", on_error=No
     return _united(frames)
 
 
-def _kind_column():
+def _kind_column() -> Column:
     last = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.element_at(F.split(last, r"\."), -1))
     return F.when(last.contains(".") & suffix.isin(*SUFFIXES), suffix).otherwise("txt")
@@ -211,10 +217,9 @@ def _kind_column():
 def _read_kind(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     options = {"recursiveFileLookup": "true"}
     if kind == "txt":
-        # any name that ends in none of the known suffixes
-        listed = file_listing(spark, folder).filter(_kind_column() == "txt").select("path")
-        files = [r["path"] for r in listed.toLocalIterator()]
-        return read_text_lines(spark, files, keep_source=True).withColumnRenamed("file", SOURCE_KEY)
+        other = ~F.lower(F.col("_metadata.file_name")).rlike(rf"\.({'|'.join(SUFFIXES)})$")
+        lines = read_text_lines(spark, folder, True, other, **options)
+        return lines.withColumnRenamed("file", SOURCE_KEY)
     options["pathGlobFilter"] = f"*.{kind}"
     if kind in ("csv", "tsv"):
         return _with_source(read_csv(spark, folder, "," if kind == "csv" else "\t", **options))
