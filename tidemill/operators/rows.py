@@ -81,7 +81,7 @@ def _copies(counted: DataFrame, columns: Sequence[str], per_task: int) -> DataFr
     pieces = F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / per_task))
     many = counted.filter(F.col("__n") > per_task).select(*names, F.col("__n").alias("__all"), F.explode(pieces).alias("__p"))
     size = F.least(F.lit(per_task), F.col("__all") - F.col("__p") * per_task)
-    spread = many.withColumn("__n", size).drop("__all").repartition()
+    spread = many.withColumn("__n", size).drop("__all").repartition(*names, "__p")
     return repeated(counted.filter(F.col("__n").between(1, per_task))).unionByName(repeated(spread))
 
 

@@ -74,12 +74,19 @@ def write_mark(spark: SparkSession, state_path: str, source: str, mark: Any) ->
 
 
 def extract_since_mark(df: DataFrame, key: str, state_path: str, source: str) -> tuple[DataFrame, str | None]:
-    """Rows after the stored mark, and the mark to store once they are loaded."""
+    """Rows after the stored mark, and the mark to store once they are loaded.
+
+    Rows that arrive during the run lie above the returned mark and are left to the next run. The first run
+    is a full extract, rows without a key included.
+    """
     spark = df.sparkSession
-    rows = extract(df, incremental_key=key, last_value=read_mark(spark, state_path, source))
+    last = read_mark(spark, state_path, source)
+    rows = extract(df, incremental_key=key, last_value=last)
     top = df.agg(F.max(named(key)).cast("string").alias("m")).first()["m"]
-    bound = rows if top is None else rows.filter(named(key) <= F.lit(top).cast(df.schema[key].dataType))
-    return bound, top
+    if top is None:
+        return rows, last
+    bound = named(key) <= F.lit(top).cast(df.schema[key].dataType)
+    return rows.filter(bound if last is not None else bound | named(key).isNull()), top
 
 
 def extract_and_load(df: DataFrame, table: str, location: str | None = None, created_at=None) -> dict[str, str]:

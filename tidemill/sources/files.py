@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from tidemill.functions.quoting import named
 from tidemill.operators.columns import flatten_struct
 
 SOURCE_KEY = "_s3_source_key"
+# what reading a missing or broken file raises
+UNREADABLE = (PySparkException, Py4JError)
 
 
 def read_csv(spark: SparkSession, path, delimiter: str = ",", encoding: str = "UTF-8", **options: Any) -> DataFrame:
@@ -172,13 +175,13 @@ def read_by_extension(
     for kind, files in groups.items():
         try:
             out[kind] = read(kind, files)
-        except PySparkException:
+        except UNREADABLE:
             good = []
             for file in files:
                 try:
                     read(kind, [file])
                     good.append(file)
-                except PySparkException as error:
+                except UNREADABLE as error:
                     if on_error:
                         on_error(file, str(error))
             if good:
@@ -200,7 +203,7 @@ def read_prefix(spark: SparkSession, prefix: str, pattern: str = "", on_error=No
     for kind in sorted(kinds):
         try:
             frames.append(_read_kind(spark, folder, kind))
-        except PySparkException as error:
+        except UNREADABLE as error:
             if on_error:
                 on_error(f"{folder} ({kind})", str(error))
     if not frames:
