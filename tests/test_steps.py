@@ -57,6 +57,21 @@ def test_contains_is_a_regex_unless_literal(holes):
     assert ids(rows.filter_rows(holes, [{**rule, "literal": True}])) == [4]
 
 
+@pytest.mark.parametrize("rule, want", [
+    (("s", "eq", 5), []), (("s", "ne", 5), [1, 2, 3, 4]), (("id", "gt", "2"), [3, 4]), (("id", "lt", "2.5"), [1, 2]),
+    (("id", "eq", "x"), []), (("id", "ne", "x"), [1, 2, 3, 4]), (("id", "in", ["1", "y", 3]), [1, 3]), (("id", "gt", 2.5), [3, 4]),
+    (("s", "not_in", [1]), [1, 2, 3, 4]),
+])
+def test_values_of_another_type_do_not_fail(holes, rule, want):
+    made = {"column": rule[0], "operator": rule[1], "value": rule[2]}
+    assert ids(rows.filter_rows(holes, [made])) == want
+
+
+def test_dates_compare_with_text(sample):
+    rule = {"column": "date", "operator": ">=", "value": "2024-01-18"}
+    assert ids(rows.filter_rows(sample, [rule])) == [4, 5]
+
+
 def test_or_keeps_duplicates_and_null_is_not_true(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "id int, s string")
     out = rows.filter_rows(df, [{"column": "s", "operator": "eq", "value": "a"}, {"column": "id", "operator": "eq", "value": 2}], "OR")
@@ -74,6 +89,8 @@ def test_or_keeps_duplicates_and_null_is_not_true(spark):
     lambda d: aggregate.aggregate(d, ["zz"], []),
     lambda d: aggregate.aggregate(d, ["id"], [{"column": "s", "function": "product"}]),
     lambda d: aggregate.aggregate(d, ["id"], [{"column": "s", "function": "first"}]),
+    lambda d: aggregate.aggregate(d, ["id"], {"s": "sum"}),
+    lambda d: joins.join(d, d, [{"left": "id", "right": "s"}]),
     lambda d: joins.join(d, d, "zz"), lambda d: joins.join(d, d, "id", "sideways"),
     lambda d: make_step({"type": "teleport", "config": {}}), lambda d: sqls.step_sql(d, "DROP TABLE x"),
     lambda d: fills.fill_carried(d, ["d"], ["id"], direction="up"),
@@ -115,7 +132,7 @@ def test_long_url_does_not_overflow(spark):
     ("date", "%d/%m/%Y", "31/02/2024", None), ("date", None, "2024-02-03", dt.date(2024, 2, 3)),
     ("datetime", "%Y-%m-%d %H:%M:%S", "2024-02-03 04:05:06", dt.datetime(2024, 2, 3, 4, 5, 6)),
     ("datetime", "%Y-%m-%dT%H:%M", "2024-02-03T04:05", dt.datetime(2024, 2, 3, 4, 5)),
-    ("array", None, '["a","b"]', ["a", "b"]), ("array", None, "a,b", None),
+    ("date", None, "03/02/2024", dt.date(2024, 2, 3)), ("array", None, '["a","b"]', ["a", "b"]), ("array", None, "a,b", None),
 ])
 def test_conversion(spark, kind, fmt, text, want):
     df = spark.createDataFrame([(text,)], "s string")

@@ -67,10 +67,10 @@ def to_whole(col: Column, type_name: str = "bigint") -> Column:
 
 
 def to_timestamp(col: Column, fmt: str | None = None) -> Column:
-    """Timestamp parsed with a strptime format, or an ISO text without one."""
+    """Timestamp parsed with a strptime format, or by the known formats without one."""
     text = col.cast("string")
     if fmt is None:
-        return text.try_cast("timestamp_ntz")
+        return loaded_timestamp(text)
     return F.try_to_timestamp(text, F.lit(datetime_pattern(fmt))).cast("timestamp_ntz")
 
 

@@ -52,6 +52,22 @@ def is_missing(df: DataFrame, column: str) -> Column:
     return col.isNull()
 
 
+def comparable(kind: T.DataType, value: Any) -> Column:
+    """Literal that compares with a column of this type without a failing cast; null when it never can."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.StringType):
+        return F.lit(value if isinstance(value, str) else str(value))
+    if isinstance(value, str):
+        if not isinstance(kind, T.NumericType):
+            return F.lit(value).try_cast(kind)
+        try:
+            return F.lit(int(value))
+        except ValueError:
+            return F.lit(value).try_cast("double")
+    return F.lit(value)
+
+
 def _matches(text: Column, value: str, case_sensitive: bool, literal: bool) -> Column:
     if literal:
         if case_sensitive:
@@ -75,15 +91,23 @@ def rule_predicate(df: DataFrame, rule: Mapping[str, Any]) -> Column:
     def contains() -> Column:
         return _matches(text, str(value), sensitive, literal)
 
+    kind = df.schema[column].dataType
+
+    def wanted() -> Column:
+        return comparable(kind, value)
+
+    def member() -> Column:
+        return col.isin([comparable(kind, v) for v in value])
+
     builders: dict[str, Callable[[], Column]] = {
-        "eq": lambda: col == F.lit(value),
-        "ne": lambda: ~col.eqNullSafe(F.lit(value)),
-        "gt": lambda: col > F.lit(value),
-        "lt": lambda: col < F.lit(value),
-        "ge": lambda: col >= F.lit(value),
-        "le": lambda: col <= F.lit(value),
-        "in": lambda: col.isin(list(value)),
-        "not_in": lambda: F.coalesce(~col.isin(list(value)), F.lit(True)),
+        "eq": lambda: col == wanted(),
+        "ne": lambda: F.coalesce(col != wanted(), F.lit(True)),
+        "gt": lambda: col > wanted(),
+        "lt": lambda: col < wanted(),
+        "ge": lambda: col >= wanted(),
+        "le": lambda: col <= wanted(),
+        "in": member,
+        "not_in": lambda: F.coalesce(~member(), F.lit(True)),
         "contains": contains,
         "not_contains": lambda: F.coalesce(~contains(), F.lit(True)),
         "starts_with": lambda: text.startswith(str(value)),
@@ -119,24 +143,24 @@ def extraction_predicate(df: DataFrame, filters: Mapping[str, Any], dialect: str
     }
     if dialect not in likes:
         raise ValueError(f"Unknown filter dialect: {dialect}")
-    tests: dict[str, Callable[[Column, Any], Column]] = {
-        "gt": lambda c, v: c > F.lit(v),
-        "lt": lambda c, v: c < F.lit(v),
-        "gte": lambda c, v: c >= F.lit(v),
-        "lte": lambda c, v: c <= F.lit(v),
-        "in": lambda c, v: c.isin(list(v)),
-        "like": likes[dialect],
-    }
     parts: list[Column] = []
     for column, wanted in filters.items():
         if column not in df.columns:
             continue
-        col = named(column)
+        col, kind = named(column), df.schema[column].dataType
+        tests: dict[str, Callable[[Any], Column]] = {
+            "gt": lambda v, c=col, k=kind: c > comparable(k, v),
+            "lt": lambda v, c=col, k=kind: c < comparable(k, v),
+            "gte": lambda v, c=col, k=kind: c >= comparable(k, v),
+            "lte": lambda v, c=col, k=kind: c <= comparable(k, v),
+            "in": lambda v, c=col, k=kind: c.isin([comparable(k, x) for x in v]),
+            "like": lambda v, c=col: likes[dialect](c.cast("string"), v),
+        }
         if not isinstance(wanted, Mapping):
-            parts.append(col == F.lit(wanted))
+            parts.append(col == comparable(kind, wanted))
             continue
         for op, value in wanted.items():
             if op not in tests:
                 raise ValueError(f"Unknown extraction operator: {op}")
-            parts.append(tests[op](col, value))
+            parts.append(tests[op](value))
     return combine(parts)

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.functions.predicates import combine, rule_predicate
 from tidemill.functions.quoting import named
@@ -37,12 +38,23 @@ def expand_aggregations(aggregations) -> list[dict[str, Any]]:
     return out
 
 
+_NUMERIC_ONLY = ("sum", "avg", "median", "std", "var")
+
+
+def _check_numeric(df: DataFrame, specs: Sequence[Mapping[str, Any]]) -> None:
+    for spec in specs:
+        kind = df.schema[spec["column"]].dataType
+        if spec["function"] in _NUMERIC_ONLY and not isinstance(kind, (T.NumericType, T.BooleanType)):
+            raise ValueError(f"'{spec['function']}' needs a numeric column, '{spec['column']}' is {kind.simpleString()}")
+
+
 def _expression(function: str, column: str, order_by: Sequence[str]) -> Column:
     col = named(column)
     if function in ("first", "last"):
         if not order_by:
             raise ValueError(f"'{function}' needs order_by: rows have no order of their own")
-        key = F.when(col.isNotNull(), F.struct(*[named(c) for c in order_by]))
+        order = named(order_by[0]) if len(order_by) == 1 else F.struct(*[named(c) for c in order_by])
+        key = F.when(col.isNotNull(), order)
         return F.min_by(col, key) if function == "first" else F.max_by(col, key)
     simple = {
         "count": F.count, "avg": F.avg, "min": F.min, "max": F.max, "median": F.median,
@@ -66,6 +78,10 @@ def aggregate(
     """Aggregate over ``group_by`` (none: one row); rows with a null key are dropped by default."""
     specs = expand_aggregations(aggregations)
     require_columns(df, [*group_by, *[s["column"] for s in specs], *order_by])
+    _check_numeric(df, specs)
+    flags = {s["column"] for s in specs if s["function"] in _NUMERIC_ONLY and
+             isinstance(df.schema[s["column"]].dataType, T.BooleanType) and s["column"] not in group_by}
+    df = df.withColumns({c: named(c).cast("int") for c in flags}) if flags else df
     source = df if keep_null_keys or not group_by else df.dropna(subset=list(group_by))
     groups = [named(c) for c in group_by]
     sizes = {

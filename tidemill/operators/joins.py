@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.functions.quoting import named
 
@@ -46,6 +47,9 @@ def _check_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, st
             raise ValueError(f"Column '{lk}' not found in left data")
         if rk not in right.columns:
             raise ValueError(f"Column '{rk}' not found in right data")
+        texts = [isinstance(df.schema[k].dataType, T.StringType) for df, k in ((left, lk), (right, rk))]
+        if texts[0] != texts[1]:
+            raise ValueError(f"Join keys '{lk}' and '{rk}' have different types: convert one of them first")
 
 
 def _equal(a: Column, b: Column, null_safe: bool) -> Column:
@@ -177,10 +181,8 @@ def join_check(left: DataFrame, right: DataFrame, on, null_safe: bool = True) ->
 
 def check_key_types(left: DataFrame, right: DataFrame, on) -> list[str]:
     """Key pairs whose types differ, as messages."""
-    pairs = key_pairs(on)
-    _check_keys(left, right, pairs)
     out = []
-    for lk, rk in pairs:
+    for lk, rk in key_pairs(on):
         lt, rt = left.schema[lk].dataType, right.schema[rk].dataType
         if lt != rt:
             out.append(f"{lk} is {lt.simpleString()} but {rk} is {rt.simpleString()}")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.functions.conversion import to_double
 from tidemill.functions.predicates import is_missing
 from tidemill.functions.quoting import named
 from tidemill.session import require_columns
@@ -112,7 +113,10 @@ def _local_violation(df: DataFrame, rule: Rule) -> Column | None:
     if rule.kind == "data_type":
         return _type_violation(df, rule)
     if rule.kind == "range":
-        return (col < F.lit(rule.params["low"])) | (col > F.lit(rule.params["high"]))
+        low, high = rule.params["low"], rule.params["high"]
+        text_column = isinstance(df.schema[rule.column].dataType, T.StringType)
+        value = to_double(col) if text_column and not isinstance(low, str) else col
+        return (value < F.lit(low)) | (value > F.lit(high))
     if rule.kind == "format":
         return ~col.cast("string").rlike(rule.params["pattern"])
     if rule.kind == "expression":
