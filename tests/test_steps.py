@@ -226,8 +226,9 @@ def sides(spark):
     ("right", {(2, "b", "x"), (2, "c", "x"), (None, "n", "m"), (9, None, "z")}),
     ("outer", {(1, "a", None), (2, "b", "x"), (2, "c", "x"), (None, "n", "m"), (9, None, "z")}),
 ])
-def test_joins_match_null_keys(sides, how, want):
-    out = joins.join(*sides, [{"left": "k", "right": "rk"}], how)
+@pytest.mark.parametrize("hot", [0, 10])
+def test_joins_match_null_keys(sides, how, want, hot):
+    out = joins.join(*sides, [{"left": "k", "right": "rk"}], how, hot_key_rows=hot)
     assert out.columns == ["k", "v_left", "v_right"]
     assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
 

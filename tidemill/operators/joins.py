@@ -1,8 +1,10 @@
 """Equi-joins with dataframe null semantics, cross join, and join diagnostics.
 
 No side is broadcast by hand: the optimizer does that below its size threshold, at planning time or from
-runtime statistics. Skewed keys are split at runtime, which works for every join type built here: a full
-join is composed of a left join and an anti join because a skewed full join cannot be split.
+runtime statistics. Skewed keys are split at run time, but only on the preserved side of an outer join and on
+neither side of a full join. So outer joins count the rows of the other side's most frequent key first; when a
+task could not hold them, the join is composed of an inner join, which splits both sides, and anti joins
+against distinct keys.
 """
 
 from __future__ import annotations
@@ -24,6 +26,16 @@ JOIN_TYPES = {
 }
 
 
+# Rows of one key that a single task may read from the side that cannot be split.
+HOT_KEY_ROWS = 5_000_000
+
+
+def hottest_key_rows(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the most frequent key."""
+    counts = df.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
 def key_pairs(on) -> list[tuple[str, str]]:
     """Pairs of key names from a name, a list of names, or ``[{left, right}]`` conditions."""
     if isinstance(on, str):
@@ -65,6 +77,7 @@ def join(
     suffixes: tuple[str, str] = ("_left", "_right"),
     left_prefix: str | None = None,
     right_prefix: str | None = None,
+    hot_key_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Join two frames; null keys match null keys unless ``null_safe`` is off.
 
@@ -107,31 +120,48 @@ def join(
         lambda a, b: a & b,
         [_equal(named(lk), F.col(f"__k{i}"), null_safe) for i, lk in enumerate(left_keys)],
     )
-    if kind in ("inner", "left"):
-        return left.join(r, cond, kind).select(*left_part, *right_part)
     key_place = {k: i for i, k in enumerate(left_keys)}
+
+    def only(side: DataFrame, other: DataFrame, other_keys: Sequence[str], mine: Sequence[Column]) -> DataFrame:
+        """Rows of a side without a partner; the other side is reduced to its distinct keys."""
+        keys = other.select(*[named(k).alias(f"__o{i}") for i, k in enumerate(other_keys)]).distinct()
+        match = [_equal(c, F.col(f"__o{i}"), null_safe) for i, c in enumerate(mine)]
+        return side.join(keys, reduce(lambda a, b: a & b, match), "left_anti")
+
+    def left_only() -> DataFrame:
+        rest = only(left, right, right_keys, [named(k) for k in left_keys])
+        kinds = [right.schema[c].dataType for c in right_values]
+        nulls = [F.lit(None).cast(t).alias(out_right[c]) for c, t in zip(right_values, kinds, strict=True)]
+        return rest.select(*left_part, *nulls)
+
+    def right_only() -> DataFrame:
+        rest = only(r, left, left_keys, [F.col(f"__k{i}") for i in range(len(pairs))])
+        return rest.select(*[
+            F.col(f"__k{key_place[c]}").alias(c) if c in key_place
+            else F.lit(None).cast(left.schema[c].dataType).alias(out_left[c])
+            for c in left.columns
+        ], *right_part)
+
+    def too_hot(side: DataFrame, keys: Sequence[str]) -> bool:
+        return not side.isStreaming and hottest_key_rows(side, keys) > hot_key_rows
+
+    inner = left.join(r, cond).select(*left_part, *right_part)
+    if kind == "inner":
+        return inner
     if kind == "right":
+        if too_hot(left, left_keys):
+            return inner.unionByName(right_only())
         coalesced = [
             F.coalesce(named(c), F.col(f"__k{key_place[c]}")).alias(c) if c in key_place
             else named(c).alias(out_left[c])
             for c in left.columns
         ]
         return left.join(r, cond, "right").select(*coalesced, *right_part)
-    matched = left.join(r, cond, "left").select(*left_part, *right_part)
-    left_only_keys = left.select(*[named(k).alias(f"__l{i}") for i, k in enumerate(left_keys)]).distinct()
-    absent = reduce(
-        lambda a, b: a & b,
-        [_equal(F.col(f"__k{i}"), F.col(f"__l{i}"), null_safe) for i in range(len(pairs))],
-    )
-    right_only = r.join(left_only_keys, absent, "left_anti").select(
-        *[
-            F.col(f"__k{key_place[c]}").alias(c) if c in key_place
-            else F.lit(None).cast(left.schema[c].dataType).alias(out_left[c])
-            for c in left.columns
-        ],
-        *right_part,
-    )
-    return matched.unionByName(right_only)
+    if too_hot(right, right_keys):
+        matched = inner.unionByName(left_only())
+    else:
+        matched = left.join(r, cond, "left").select(*left_part, *right_part)
+    return matched if kind == "left" else matched.unionByName(right_only())
 
 
 def join_check(left: DataFrame, right: DataFrame, on, null_safe: bool = True) -> DataFrame:
