@@ -37,7 +37,10 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = build_session("bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8)
+    spark = build_session(
+        "bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8,
+        {"spark.ui.enabled": "false", "spark.driver.memory": "12g"},
+    )
     spark.sparkContext.setLogLevel("ERROR")
     registered = all_queries()
     names = list(registered) if os.environ.get("BENCH_ALL") else [n for n in HEADLINE if n in registered]

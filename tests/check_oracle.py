@@ -11,7 +11,7 @@ from tidemill.session import build_session
 if __name__ == "__main__":
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = build_session("check", "local[8]", 8)
+    spark = build_session("check", "local[8]", 8, {"spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = duck(folder), all_oracles(), 0
     for name, run in all_queries().items():

@@ -5,7 +5,7 @@ from tidemill.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", 8)
+    session = build_session("tests", "local[8]", 8, {"spark.ui.enabled": "false", "spark.driver.memory": "6g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -47,6 +47,14 @@ def test_inference_of_texts_and_typed_columns(spark):
                    "g": "SMALLINT", "h": "BOOLEAN", "i": "DATE"}
 
 
+def test_column_preview_samples(spark):
+    # the only value of "late" lies beyond the first rows
+    df = spark.range(3000).select(F.col("id").alias("ID-x"), F.when(F.col("id") == 2999, "end").alias("late"))
+    got = {r["original_name"]: r for r in inspect.column_preview(df).collect()}
+    assert got["late"]["sample_values"] == ["end"] and got["late"]["unique_values"] == 2 and got["late"]["nullable"]
+    assert got["ID-x"]["name"] == "id_x" and len(got["ID-x"]["sample_values"]) == 5 and not got["ID-x"]["nullable"]
+
+
 def test_one_job_for_many_columns(spark):
     wide = spark.range(20).select(*[F.col("id").cast("string").alias(f"c{i}") for i in range(300)])
     assert len(inspect.infer_types(wide)) == 300
@@ -236,7 +244,12 @@ def test_stream_restart_and_batch_agree(spark, rows):
     want = rows(apply_changes(base, spark.createDataFrame(sum(waves, []), schema), ["k"], ["seq"]))
     assert rows(sync.state_of(spark, log, ["k"], ["seq"], base=base)) == want == [(1, "A"), (3, "c"), (7, "kept")]
     assert rows(sync.state_of(spark, log, ["k"], ["seq"]).select("k", "v")) == [(1, "A"), (3, "c")]
-    # a replayed batch replaces its own folder
+    table, path = fresh_name("compacted"), scratch_path(spark, "compacted")
+    sink.save(base, table, location=path)
+    for _ in range(2):
+        sync.compact(spark, log, table, ["k"], ["seq"], location=path)
+        assert rows(spark.table(table)) == want
+    # a restart finds nothing new
     sync.changes_stream(stream, log, mark).awaitTermination()
     assert sync.read_batches(spark, log).count() == 5
 

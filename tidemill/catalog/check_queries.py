@@ -136,7 +136,7 @@ def export_report(t: Tables):
 
 @query("column_preview", " UNION ALL ".join(
     f"SELECT '{c}' AS name, '{o}' AS original_name, {kind} AS suggested_type, count(*) > count({e}) AS nullable, "
-    f"count(DISTINCT {e}) + (count(*) > count({e}))::BIGINT AS unique_values, count(*) - count({e}) AS null_count FROM orders"
+    f"count(DISTINCT {e}) + (count(*) > count({e}))::BIGINT AS unique_values, count(*) - count({e}) AS null_count, least(count({e}), 5)::INTEGER AS samples FROM orders"
     for c, o, e, kind in [
         ("order_key", "Order Key", "o_orderkey", "CASE WHEN max(o_orderkey) <= 32767 THEN 'SMALLINT' ELSE 'INTEGER' END"),
         ("priority", "priority", "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END",
@@ -147,7 +147,7 @@ def column_preview(t: Tables):
     return inspect.column_preview(t.orders.select(
         F.col("o_orderkey").alias("Order Key"), nulled("o_orderpriority", "o_orderkey", 7).alias("priority"),
         F.col("o_orderdate").alias("placed"),
-    ))
+    )).withColumn("samples", F.size("sample_values")).drop("sample_values")
 
 
 @query("column_statistics", " UNION ALL ".join(

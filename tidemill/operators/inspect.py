@@ -193,26 +193,41 @@ def _as_text(df: DataFrame, column: str) -> Column:
     return present.cast("string")
 
 
-def samples(df: DataFrame, column: str, count: int = 5) -> list[str]:
-    """Up to ``count`` non-null values as text."""
-    text = df.select(_as_text(df, column).alias("v")).filter(F.col("v").isNotNull())
-    return [r["v"] for r in text.limit(count).collect()]
+def samples(df: DataFrame, count: int = 5) -> dict[str, list[str]]:
+    """Up to ``count`` non-null values per column as text.
+
+    The first 1,000 rows serve most columns; a column they leave short is read until it has enough values.
+    """
+    head = df.limit(1000)
+    row = head.agg(*[
+        F.slice(F.collect_list(_as_text(df, c)), 1, count).alias(f"s{i}") for i, c in enumerate(df.columns)
+    ]).first()
+    out = {c: list(row[f"s{i}"]) for i, c in enumerate(df.columns)}
+    for c, found in out.items():
+        if len(found) < count:
+            text = df.select(_as_text(df, c).alias("v")).filter(F.col("v").isNotNull())
+            out[c] = [r["v"] for r in text.limit(count).collect()]
+    return out
 
 
-def column_preview(df: DataFrame, numeric_text: bool = True) -> DataFrame:
-    """Per column: clean and original name, suggested type, nullability, distinct values and nulls.
+def column_preview(df: DataFrame, numeric_text: bool = True, sample_count: int = 5) -> DataFrame:
+    """Per column: clean and original name, suggested type, nullability, distinct values, nulls, sample values.
 
     A null counts as one distinct value here.
     """
     types = infer_types(df, numeric_text)
-    suggested = F.create_map(*[F.lit(x) for c in df.columns for x in (c, types[c].sql_type)])
-    clean = F.create_map(*[F.lit(x) for c in df.columns for x in (c, sanitize_name(c))])
+    examples = samples(df, sample_count)
+
+    def by_column(values) -> Column:
+        return F.create_map(*[x for c in df.columns for x in (F.lit(c), values(c))])
+
     name, nulls = F.col("column_name"), F.col("null_count")
+    texts = by_column(lambda c: F.array(*[F.lit(v) for v in examples[c]]).cast("array<string>"))
     return column_statistics(df).select(
-        clean[name].alias("name"), name.alias("original_name"), suggested[name].alias("suggested_type"),
-        (nulls > 0).alias("nullable"),
+        by_column(lambda c: F.lit(sanitize_name(c)))[name].alias("name"), name.alias("original_name"),
+        by_column(lambda c: F.lit(types[c].sql_type))[name].alias("suggested_type"), (nulls > 0).alias("nullable"),
         (F.col("distinct_values") + F.when(nulls > 0, 1).otherwise(0)).alias("unique_values"),
-        nulls.alias("null_count"),
+        nulls.alias("null_count"), texts[name].alias("sample_values"),
     )
 
 

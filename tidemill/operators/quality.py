@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,15 +149,14 @@ def _issue(rule: Rule) -> Column:
     )
 
 
-def annotate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Add the array column ``__issues``; rules on unknown columns are skipped."""
-    active = [r for r in rules if r.column in df.columns]
+def _checked(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, list[tuple[Rule, Column]]]:
+    """Frame with the flags of the joined rules, and a violation predicate per rule (never null)."""
     checks: list[tuple[Rule, Column]] = []
     work = df
-    for i, rule in enumerate(active):
+    for i, rule in enumerate(r for r in rules if r.column in df.columns):
         local = _local_violation(df, rule)
         if local is not None:
-            checks.append((rule, local))
+            checks.append((rule, F.coalesce(local, F.lit(False))))
             continue
         key, flag = f"__k{i}", f"__f{i}"
         if rule.kind == "unique":
@@ -165,18 +165,33 @@ def annotate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 .filter(F.col("__n") > 1).select(key, F.lit(True).alias(flag))
             )
             work = work.join(found, named(rule.column).eqNullSafe(F.col(key)), "left").drop(key)
-            checks.append((rule, F.col(flag)))
+            checks.append((rule, F.col(flag).isNotNull()))
         else:
             lookup = rule.params["lookup"].select(named(rule.params["lookup_column"]).alias(key))
             found = lookup.filter(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
             work = work.join(found, named(rule.column) == F.col(key), "left").drop(key)
             checks.append((rule, F.col(flag).isNull() & named(rule.column).isNotNull()))
-    empty = F.expr(
-        "cast(array() as array<struct<rule_id string, issue_type string, severity string, column_name string,"
-        " value string, expected_value string, message string>>)"
-    )
-    issues = F.array_compact(F.array(*[F.when(bad, _issue(rule)) for rule, bad in checks])) if checks else empty
-    return work.select(*[named(c) for c in df.columns], issues.alias(ISSUES))
+    return work, checks
+
+
+def _issue_array(checks: Sequence[tuple[Rule, Column]]) -> Column:
+    if not checks:
+        return F.expr(
+            "cast(array() as array<struct<rule_id string, issue_type string, severity string, column_name string,"
+            " value string, expected_value string, message string>>)"
+        )
+    return F.array_compact(F.array(*[F.when(bad, _issue(rule)) for rule, bad in checks]))
+
+
+def _violations(checks: Sequence[tuple[Rule, Column]]) -> Column:
+    """Number of violated rules of a row."""
+    return reduce(lambda a, b: a + b, [bad.cast("int") for _, bad in checks], F.lit(0))
+
+
+def annotate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Add the array column ``__issues``; rules on unknown columns are skipped."""
+    work, checks = _checked(df, rules)
+    return work.select(*[named(c) for c in df.columns], _issue_array(checks).alias(ISSUES))
 
 
 def issues(df: DataFrame, rules: Sequence[Rule], row_key: Sequence[str]) -> DataFrame:
@@ -195,18 +210,14 @@ def issues(df: DataFrame, rules: Sequence[Rule], row_key: Sequence[str]) -> Data
     )
 
 
-def is_dirty() -> Column:
-    """Whether an annotated row has an issue."""
-    return F.size(ISSUES) > 0
-
-
 def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One report row: total rows and columns, dirty and clean rows, number of issues."""
-    flagged = annotate(df, rules)
+    work, checks = _checked(df, rules)
+    flagged = work.select(_violations(checks).alias("__bad"))
     return flagged.agg(
         F.count(F.lit(1)).alias("total_rows"), F.lit(len(df.columns)).alias("total_columns"),
-        F.count_if(is_dirty()).alias("dirty_rows"), F.count_if(~is_dirty()).alias("clean_rows"),
-        F.coalesce(F.sum(F.size(ISSUES)), F.lit(0)).cast("long").alias("issue_count"),
+        F.count_if(F.col("__bad") > 0).alias("dirty_rows"), F.count_if(F.col("__bad") == 0).alias("clean_rows"),
+        F.coalesce(F.sum("__bad"), F.lit(0)).cast("long").alias("issue_count"),
     )
 
 
@@ -230,10 +241,11 @@ def isolate(df: DataFrame, rules: Sequence[Rule], strategy: str = "quarantine")
     The fix writes "" into null text cells of columns with a not-null rule. Dirty rows keep their issues.
     """
     columns = [named(c) for c in df.columns]
-    flagged = annotate(df, rules)
     if strategy == "quarantine":
-        return flagged.filter(~is_dirty()).select(*columns), flagged.filter(is_dirty())
-    nothing = flagged.filter(F.lit(False))
+        work, checks = _checked(df, rules)
+        clean = work.filter(_violations(checks) == 0).select(*columns)
+        return clean, work.filter(_violations(checks) > 0).select(*columns, _issue_array(checks).alias(ISSUES))
+    nothing = annotate(df, []).filter(F.lit(False))
     if strategy in ("fix_and_continue", "fix"):
         fixable = {
             r.column for r in rules

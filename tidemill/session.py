@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,13 +22,14 @@ _local_dirs: dict[str, str] = {}
 
 
 def build_session(
-    app_name: str = "tidemill", master: str | None = None, shuffle_partitions: int | None = None
+    app_name: str = "tidemill", master: str | None = None, shuffle_partitions: int | None = None,
+    options: Mapping[str, str] | None = None,
 ) -> SparkSession:
     """A session with the runtime options set; cluster settings come from spark-submit."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in RUNTIME_OPTIONS.items():
+    for key, value in {**RUNTIME_OPTIONS, **(options or {})}.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

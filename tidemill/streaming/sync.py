@@ -17,6 +17,7 @@ from tidemill.functions.cleaning import value_transformed
 from tidemill.functions.quoting import named
 from tidemill.operators.changes import apply_changes, current_state
 from tidemill.operators.columns import add_metadata, rename, select_columns
+from tidemill.sinks.tables import save_replace
 
 BATCH = "_batch"
 
@@ -140,3 +141,12 @@ def state_of(
     if base is None:
         return current_state(changes, keys, sequence, operation)
     return apply_changes(base, changes, keys, sequence, operation)
+
+
+def compact(
+    spark: SparkSession, log: str, table: str, keys: Sequence[str], sequence: Sequence[str], operation: str = "op",
+    location: str | None = None,
+) -> None:
+    """Fold a change log into its base table (made when absent). Folding the same log again changes nothing."""
+    base = spark.table(table) if spark.catalog.tableExists(table) else None
+    save_replace(state_of(spark, log, keys, sequence, operation, base), table, location)
