@@ -61,7 +61,7 @@ def bucket_number(order_by: Sequence[str], cuts: Sequence[Column]) -> Column:
 def dense_ids(df: DataFrame, order_by: Sequence[str], id_column: str = "id", start: int = 1) -> DataFrame:
     """Add a gap-free id in ``order_by`` order without a window over the data.
 
-    One range-partitioned sort, checkpointed; the id is the row's place in its partition plus the row
+    One range-partitioned sort, written to the shared folder; the id is the row's place in its partition plus the row
     counts of earlier partitions. The joined offset table has one row per partition.
     """
     require_columns(df, order_by)
