@@ -128,8 +128,8 @@ def balanced_copies(
 
     def fly(level: int):
         def fly_block(key, block):
-            # rows of a block in an order that does not depend on how Spark delivered them
-            block = block.sort_by([("luck", "ascending"), ("id", "ascending"), ("size", "ascending")])
+            # large documents are decided first and small ones land; nothing depends on how Spark delivered the rows
+            block = block.sort_by([("size", "descending"), ("luck", "ascending"), ("id", "ascending")])
             rng = np.random.default_rng([seed, level, key[0].as_py(), key[1].as_py()])
             done = flight(block["chance"].to_numpy(), block["size"].to_numpy(), rng, key[2].as_py() == 1)
             names = [f.name for f in schema]
