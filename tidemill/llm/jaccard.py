@@ -169,6 +169,18 @@ def _keyed(documents: DataFrame, id_column: str, text: str) -> DataFrame:
     return materialize(rows.select(F.monotonically_increasing_id().alias("key"), "id", "text"))
 
 
+SKETCH = [f"s{i}" for i in range(8)]
+
+
+def parity_sketch(elements: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` (a power of two), each the parity of the elements on it: two sets differ in at least as many elements as bits.
+
+    The exclusive or of both halves is the sketch of half as many bits.
+    """
+    at = (mixed(elements ^ np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(rows: DataFrame, width: int) -> DataFrame:
     """``(key, elements)`` of rows ``(key, text)``."""
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +192,10 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
     return map_batches(rows.select("key", "text"), build, "key bigint, elements array<bigint>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough, by exact counts."""
+def _verified(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar enough, by exact counts; sets are built for their documents only."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = materialize(_sets(rows.select("key", "text").join(materialize(keys), "key", "left_semi"), width))
     left = sets.select(F.col("key").alias("a"), F.col("elements").alias("of_a"))
     right = sets.select(F.col("key").alias("b"), F.col("elements").alias("of_b"))
     common = F.size(F.array_intersect("of_a", "of_b")).cast("bigint")
@@ -190,6 +204,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return checked.where(F.col("common") * den >= (F.col("both") - F.col("common")) * num).select("a", "b")
 
 
+def _near(num: int, den: int) -> Column:
+    """Whether two sets, of n elements and sketch s, and of m and os, can be similar enough.
+
+    Similar sets differ in at most (n + m) (den - num) / (den + num) elements, so their sketches in no more bits.
+    """
+    bits = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"o{s}"))) for s in SKETCH), F.lit(0))
+    return _close("n", "m", num, den) & (bits * (num + den) <= (F.col("n") + F.col("m")) * (den - num))
+
+
+def _possible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` that their sizes and sketches do not rule out: first the short sketch, then the wide one."""
+    left = marks.select(F.col("key").alias("a"), "n", *SKETCH)
+    right = marks.select(F.col("key").alias("b"), F.col("n").alias("m"), *[F.col(s).alias(f"o{s}") for s in SKETCH])
+    near = materialize(pairs.join(left, "a").join(right, "b").where(_near(num, den)).select("a", "b", "n", "m"))
+    keys = materialize(near.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    wide = materialize(marks.select("key", "wide").join(keys, "key", "left_semi"))
+    both = near.join(wide.select(F.col("key").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("key").alias("b"), F.col("wide").alias("y")), "b")
+
+    def halved(x: str, y: str) -> Column:
+        half = F.size(y)
+        folded = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) == 2 * half, folded).otherwise(F.col(x))
+
+    differing = F.zip_with(halved("x", "y"), halved("y", "x"), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    bits = F.aggregate(differing, F.lit(0), lambda total, c: total + F.coalesce(c, F.lit(0)))
+    return both.where(bits * (num + den) <= (F.col("n") + F.col("m")) * (den - num)).select("a", "b")
+
+
 def _close(n: str | Column, m: str | Column, num: int, den: int) -> Column:
     """Whether sets of these sizes can be similar enough."""
     n, m = (F.col(x) if isinstance(x, str) else x for x in (n, m))
@@ -210,20 +252,25 @@ def similar_groups(
     compared as well, so no link between components can be missed, and no group of similar documents is expanded into
     all its pairs. Broadcasts are left to the optimizer's size check.
     """
+    if 2 * num < den or num > den:
+        raise ValueError("the similarity must lie between 0.5 and 1")
     rows = _keyed(documents, id_column, text)
 
     def prints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in parts:
-            found = []
+            found, wide = [], []
             for raw in part["text"].to_pylist():
                 elements = shingle_set(raw, width, hashes)
-                found.append((len(elements), *set_print(elements)))
-            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([part["key"], part["id"], *columns], names=["key", "id", "n", "f1", "f2"])
+                found.append((len(elements), *set_print(elements), *parity_sketch(elements, 512).tolist()))
+                wide.append(parity_sketch(elements, max(512, 1 << (2 * len(elements) - 1).bit_length())) if len(elements) else np.empty(0, np.int64))
+            columns = zip(*found, strict=True) if found else [[]] * (3 + len(SKETCH))
+            yield pa.RecordBatch.from_arrays(
+                [part["key"], part["id"], *(pa.array(c, pa.int64()) for c in columns), pa.array(wide, pa.list_(pa.int64()))],
+                names=["key", "id", "n", "f1", "f2", *SKETCH, "wide"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    marks = materialize(map_batches(rows, prints, f"key bigint, id {kind}, n bigint, f1 bigint, f2 bigint"))
+    marks = materialize(map_batches(rows, prints, f"key bigint, id {kind}, n bigint, f1 bigint, f2 bigint, {', '.join(f'{s} bigint' for s in SKETCH)}, wide array<bigint>"))
     nodes = materialize(marks.where("n > 0").groupBy("f1", "f2", "n").agg(
         F.min("key").alias("node"), F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")))
     largest = nodes.agg(F.max("n")).first()[0] or 0
@@ -233,51 +280,45 @@ def similar_groups(
     def index(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in parts:
-            keys, sizes, found = [], [], []
+            keys, found = [], []
             for key, raw in zip(part["key"].to_pylist(), part["text"].to_pylist(), strict=True):
-                elements = shingle_set(raw, width, hashes)
-                own = bands.signatures(elements)
+                own = bands.signatures(shingle_set(raw, width, hashes))
                 found.append(own.view(np.int64))
                 keys.append(np.full(len(own), key, np.int64))
-                sizes.append(np.full(len(own), len(elements), np.int32))
             if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["bucket", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(keys))], names=["bucket", "key"])
 
     unlike = rows.select("key", "text").join(copies, "key", "left_anti")
-    entries = map_batches(unlike, index, "bucket bigint, key bigint, n int")
+    entries = map_batches(unlike, index, "bucket bigint, key bigint")
     in_bucket = Window.partitionBy("bucket").orderBy("key")
     live = entries.select(
-        "bucket", "key", "n", F.lag("key").over(in_bucket).alias("previous"), F.lag("n").over(in_bucket).alias("previous_n"),
-        F.lead("key").over(in_bucket).alias("following"),
-        F.first("key").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("head"),
-        F.first("n").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("head_n"))
+        "bucket", "key", F.lag("key").over(in_bucket).alias("previous"), F.lead("key").over(in_bucket).alias("following"),
+        F.first("key").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
     live = materialize(live.where("previous is not null or following is not null").drop("following"))
     met = live.where("previous is not null")
-    pairs = met.where(_close("n", "head_n", num, den)).select(F.col("head").alias("a"), F.col("key").alias("b")).unionAll(
-        met.where(_close("n", "previous_n", num, den)).select(F.col("previous").alias("a"), F.col("key").alias("b")))
-    pairs = materialize(pairs.distinct())
-    sets = materialize(_sets(rows.select("key", "text").join(live.select("key").distinct(), "key", "left_semi"), width))
-    links = materialize(_verified(pairs, sets, num, den))
+    pairs = met.select(F.col("head").alias("a"), F.col("key").alias("b")).unionAll(met.select(F.col("previous").alias("a"), F.col("key").alias("b")))
+    pairs = materialize(_possible(pairs.distinct(), marks, num, den))
+    links = materialize(_verified(pairs, rows, width, num, den))
     roots = materialize(components(links))
-    more = materialize(_open_pairs(live, roots, num, den).join(pairs, ["a", "b"], "left_anti"))
+    more = _open_pairs(live, roots, marks, num, den).join(pairs, ["a", "b"], "left_anti")
+    more = materialize(_possible(more, marks, num, den))
     if more.limit(1).count():
-        roots = components(links.unionAll(_verified(more, sets, num, den)))
+        roots = components(links.unionAll(_verified(more, rows, width, num, den)))
     named = nodes.join(roots.select(F.col("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("first").alias("component"))
     by_print = named.join(names, "root").select("f1", "f2", "n", "component")
-    return marks.join(by_print, ["f1", "f2", "n"], "left").select(
+    return marks.select("id", "n", "f1", "f2").join(by_print, ["f1", "f2", "n"], "left").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _open_pairs(live: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of nodes that share a bucket but no component, of sizes that can be similar."""
-    placed = live.select("bucket", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left")
+def _open_pairs(live: DataFrame, roots: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of nodes that share a bucket but no component, and that size and sketch do not rule out."""
+    placed = live.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
     placed = placed.withColumn("root", F.coalesce("root", "key"))
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = materialize(placed.join(open_buckets.select("bucket"), "bucket"))
-    other = rest.select("bucket", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    return rest.join(other, "bucket").where((F.col("root") != F.col("other")) & (F.col("key") < F.col("b")) & _close("n", "m", num, den)).select(
+    rest = materialize(placed.join(open_buckets.select("bucket"), "bucket").join(marks.select("key", "n", *SKETCH), "key"))
+    other = rest.select("bucket", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), *[F.col(s).alias(f"o{s}") for s in SKETCH])
+    return rest.join(other, "bucket").where((F.col("root") != F.col("other")) & (F.col("key") < F.col("b")) & _near(num, den)).select(
         F.col("key").alias("a"), "b").distinct()
 
 

@@ -16,6 +16,7 @@ from tidemill.session import materialize
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 BLOCK_ROWS = 4096
+LANDING = 12
 _EDGE = 1e-9
 
 
@@ -49,13 +50,15 @@ def flight(chances: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, lan
 
     Of any three open units one direction keeps both totals: the null space of the two constraints. A random step to
     either end of it, with odds that keep the expectation, decides at least one unit. At most two units of different
-    size stay open. ``land`` decides these as well: first only the size is kept, then the last unit is rounded.
+    size stay open. ``land`` decides these as well: ``LANDING`` units wait on the ground, and of all ways to decide
+    them and the two that stay open the one is taken that comes nearest to the expected size, then count.
     """
     p = chances.astype(float).copy()
     p[p < _EDGE] = 0.0
     p[p > 1 - _EDGE] = 1.0
     waiting = [int(i) for i in np.flatnonzero((p > 0) & (p < 1))]
-    waiting.reverse()
+    ground = waiting[-LANDING:] if land else []
+    waiting = waiting[:len(waiting) - len(ground)][::-1]
     luck = iter(rng.random(len(waiting) + 4).tolist())
     size = sizes.astype(float).tolist()
     chance = p.tolist()
@@ -93,12 +96,13 @@ def flight(chances: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, lan
             held = move(held, [1.0, -1.0])
         else:
             break
-    if land and len(held) == 2:
-        a, b = (max(size[i], 1e-12) for i in held)
-        held = move(held, [b / max(a, b), -a / max(a, b)])
     if land:
-        for i in held:
-            chance[i] = float(chance[i] >= 0.5)
+        last = held + ground
+        ways = (np.arange(1 << len(last))[:, None] >> np.arange(len(last))) & 1
+        off = ways - np.array([chance[i] for i in last])
+        words, units = np.abs(off @ np.array([size[i] for i in last])), np.abs(off.sum(1))
+        for i, way in zip(last, ways[np.lexsort((units, words))[0]], strict=True):
+            chance[i] = float(way)
     return np.array(chance)
 
 
@@ -128,8 +132,8 @@ def balanced_copies(
 
     def fly(level: int):
         def fly_block(key, block):
-            # large documents are decided first and small ones land; nothing depends on how Spark delivered the rows
-            block = block.sort_by([("size", "descending"), ("luck", "ascending"), ("id", "ascending")])
+            # rows of a block in an order that does not depend on how Spark delivered them
+            block = block.sort_by([("luck", "ascending"), ("id", "ascending"), ("size", "ascending")])
             rng = np.random.default_rng([seed, level, key[0].as_py(), key[1].as_py()])
             done = flight(block["chance"].to_numpy(), block["size"].to_numpy(), rng, key[2].as_py() == 1)
             names = [f.name for f in schema]

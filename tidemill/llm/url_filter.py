@@ -101,8 +101,12 @@ class Unigrams:
 
 
 def count_words(urls: DataFrame, seeds: Sequence[str], seed_count: int) -> Unigrams:
-    """Counts of the words between separators in all hosts and paths, in ``BUCKETS`` slots; ``seeds`` are added."""
-    pieces = F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit("([a-z]+)"), F.lit(1))
+    """Counts of the words of all paths and of hyphenated names in hosts, in ``BUCKETS`` slots; ``seeds`` are added.
+
+    Other names of hosts may be words run together, so they do not count as words.
+    """
+    hyphened = F.array_join(F.regexp_extract_all("host", F.lit("([a-z]+(?:-[a-z]+)+)"), F.lit(1)), "/")
+    pieces = F.regexp_extract_all(F.lower(F.concat_ws("/", hyphened, "path")), F.lit("([a-z]+)"), F.lit(1))
     words = urls.select(F.explode(pieces).alias("w")).where(F.length("w") <= LONGEST_WORD)
     tables = []
     for text in (F.col("w"), F.reverse("w")):
