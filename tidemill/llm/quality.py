@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from tidemill.llm.helpers import map_batches, new_name, plus, quoted
 
-MAX_ROWS = 8000
+MAX_ROWS = 4000
 THRESHOLD = 0.3
 
 # The class of each byte; pairs of neighbouring classes are counted.
@@ -71,9 +71,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     the second part is below 0 the step goes up that part instead, so that no unlabelled row is fitted as negative
     beyond what the prior allows.
     """
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), np.maximum(both.std(0), 1e-3)
-    p, u = (np.clip((x - mean) / scale, -8, 8).astype(np.float32) for x in (positive, unlabelled))
+    rows = len(positive) + len(unlabelled)
+    mean = ((positive.sum(0) + unlabelled.sum(0)) / rows).astype(np.float32)
+    square = (np.square(positive - mean).sum(0) + np.square(unlabelled - mean).sum(0)) / rows
+    scale = np.maximum(np.sqrt(square), 1e-3).astype(np.float32)
+    p, u = ((x - mean) / scale for x in (positive, unlabelled))
+    for x in (p, u):
+        np.clip(x, -8, 8, out=x)
     w, b = np.zeros(p.shape[1], np.float32), 0.0
     first, second = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
 
