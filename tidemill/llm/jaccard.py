@@ -98,7 +98,8 @@ class Bands:
 
         The cost counts index rows plus chance meetings on small subsets. Exact segments may be empty by chance; an
         agreement on such says nothing, so there are ``slack`` more segments than the argument needs, enough for all
-        but very few sets to leave their empty ones out of the index.
+        but very few sets to leave their empty ones out of the index, and one more: two similar sets agree in at
+        least two indexed segments, so one chance meeting makes no candidate.
         """
         d, middle = self.differences(high), max(1.0, high * self.num / self.den)
         chance = lambda g, most: sum(math.exp(-g) * g**i / math.factorial(i) for i in range(most + 1))
@@ -108,7 +109,7 @@ class Bands:
         for slack in range(0, d + 2):
             m = d + 1 + slack
             empty = m * chance(middle / m, 0)
-            if empty + 4 * math.sqrt(empty) <= slack:
+            if empty + 4 * math.sqrt(empty) + 1 <= slack:
                 exact = m + 5 * m * chance(middle / m, 2)
                 break
         if exact <= elastic:
@@ -129,7 +130,9 @@ class Bands:
         wanted = [self.bands[own]]
         if own + 1 < len(self.bands) and size * self.den > self.highs[own] * self.num:
             wanted.append(self.bands[own + 1])
-        return np.unique(np.concatenate([self._in_band(elements, b) for b in wanted]))
+        found = [self._in_band(elements, b) for b in wanted]
+        # the lowest bit marks buckets of elastic bands, in which one meeting counts as much as two
+        return np.unique(np.concatenate([(x & ~np.uint64(1)) | np.uint64(b.elastic) for x, b in zip(found, wanted, strict=True)]))
 
     def _in_band(self, elements: np.ndarray, band: Band) -> np.ndarray:
         d = self.differences(len(elements))
@@ -153,7 +156,7 @@ class Bands:
         if band.elastic:
             out.append(key(np.repeat(sums, sizes) - values, place, np.repeat(sizes, sizes) - 1))
         empty = take - len(starts)
-        if empty and (band.elastic or empty > band.slack):
+        if empty and (band.elastic or empty >= band.slack):
             missing = np.setdiff1d(np.arange(take, dtype=np.uint64), segments)
             out.append(key(np.zeros(len(missing), np.uint64), missing, np.zeros(len(missing), np.int64)))
         return np.concatenate(out)
@@ -169,7 +172,8 @@ def _keyed(documents: DataFrame, id_column: str, text: str) -> DataFrame:
     return materialize(rows.select(F.monotonically_increasing_id().alias("key"), "id", "text"))
 
 
-SKETCH = [f"s{i}" for i in range(8)]
+SKETCH = [f"s{i}" for i in range(8)]  # 512 bits
+LONG_SKETCH = [f"l{i}" for i in range(32)]  # 2048 bits
 
 
 def parity_sketch(elements: np.ndarray, bits: int) -> np.ndarray:
@@ -204,12 +208,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int)
     return checked.where(F.col("common") * den >= (F.col("both") - F.col("common")) * num).select("a", "b")
 
 
-def _near(num: int, den: int) -> Column:
-    """Whether two sets, of n elements and sketch s, and of m and os, can be similar enough.
+def _near(num: int, den: int, sketch: list[str]) -> Column:
+    """Whether two sets, of n elements and of m, with these sketch columns and those with an o before, can be similar enough.
 
     Similar sets differ in at most (n + m) (den - num) / (den + num) elements, so their sketches in no more bits.
     """
-    bits = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"o{s}"))) for s in SKETCH), F.lit(0))
+    bits = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"o{s}"))) for s in sketch), F.lit(0))
     return _close("n", "m", num, den) & (bits * (num + den) <= (F.col("n") + F.col("m")) * (den - num))
 
 
@@ -217,7 +221,7 @@ def _possible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFra
     """The pairs ``(a, b)`` that their sizes and sketches do not rule out: first the short sketch, then the wide one."""
     left = marks.select(F.col("key").alias("a"), "n", *SKETCH)
     right = marks.select(F.col("key").alias("b"), F.col("n").alias("m"), *[F.col(s).alias(f"o{s}") for s in SKETCH])
-    near = materialize(pairs.join(left, "a").join(right, "b").where(_near(num, den)).select("a", "b", "n", "m"))
+    near = materialize(pairs.join(left, "a").join(right, "b").where(_near(num, den, SKETCH)).select("a", "b", "n", "m"))
     keys = materialize(near.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     wide = materialize(marks.select("key", "wide").join(keys, "key", "left_semi"))
     both = near.join(wide.select(F.col("key").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("key").alias("b"), F.col("wide").alias("y")), "b")
@@ -249,8 +253,8 @@ def similar_groups(
 
     Documents with equal sets are one node. In each index bucket, nodes are compared with the first and the previous
     node; the links found make components. Any two nodes of one bucket that are then still in different components are
-    compared as well, so no link between components can be missed, and no group of similar documents is expanded into
-    all its pairs. Broadcasts are left to the optimizer's size check.
+    compared as well if they meet often enough, so no link between components can be missed, and no group of similar
+    documents is expanded into all its pairs. Broadcasts are left to the optimizer's size check.
     """
     if 2 * num < den or num > den:
         raise ValueError("the similarity must lie between 0.5 and 1")
@@ -262,15 +266,15 @@ def similar_groups(
             found, wide = [], []
             for raw in part["text"].to_pylist():
                 elements = shingle_set(raw, width, hashes)
-                found.append((len(elements), *set_print(elements), *parity_sketch(elements, 512).tolist()))
+                found.append((len(elements), *set_print(elements), *parity_sketch(elements, 512).tolist(), *parity_sketch(elements, 2048).tolist()))
                 wide.append(parity_sketch(elements, max(512, 1 << (2 * len(elements) - 1).bit_length())) if len(elements) else np.empty(0, np.int64))
-            columns = zip(*found, strict=True) if found else [[]] * (3 + len(SKETCH))
+            columns = zip(*found, strict=True) if found else [[]] * (3 + len(SKETCH) + len(LONG_SKETCH))
             yield pa.RecordBatch.from_arrays(
                 [part["key"], part["id"], *(pa.array(c, pa.int64()) for c in columns), pa.array(wide, pa.list_(pa.int64()))],
-                names=["key", "id", "n", "f1", "f2", *SKETCH, "wide"])
+                names=["key", "id", "n", "f1", "f2", *SKETCH, *LONG_SKETCH, "wide"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    marks = materialize(map_batches(rows, prints, f"key bigint, id {kind}, n bigint, f1 bigint, f2 bigint, {', '.join(f'{s} bigint' for s in SKETCH)}, wide array<bigint>"))
+    marks = materialize(map_batches(rows, prints, f"key bigint, id {kind}, n bigint, f1 bigint, f2 bigint, {', '.join(f'{s} bigint' for s in SKETCH + LONG_SKETCH)}, wide array<bigint>"))
     nodes = materialize(marks.where("n > 0").groupBy("f1", "f2", "n").agg(
         F.min("key").alias("node"), F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")))
     largest = nodes.agg(F.max("n")).first()[0] or 0
@@ -296,8 +300,9 @@ def similar_groups(
         F.first("key").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
     live = materialize(live.where("previous is not null or following is not null").drop("following"))
     met = live.where("previous is not null")
-    pairs = met.select(F.col("head").alias("a"), F.col("key").alias("b")).unionAll(met.select(F.col("previous").alias("a"), F.col("key").alias("b")))
-    pairs = materialize(_possible(pairs.distinct(), marks, num, den))
+    heads = met.select(F.col("head").alias("a"), F.col("key").alias("b"), "bucket")
+    pairs = heads.unionAll(met.where("head <> previous").select(F.col("previous").alias("a"), F.col("key").alias("b"), "bucket"))
+    pairs = materialize(_possible(_met_twice(pairs), marks, num, den))
     links = materialize(_verified(pairs, rows, width, num, den))
     roots = materialize(components(links))
     more = _open_pairs(live, roots, marks, num, den).join(pairs, ["a", "b"], "left_anti")
@@ -311,15 +316,21 @@ def similar_groups(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def _met_twice(pairs: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that meet in two buckets, or in one of an elastic band."""
+    meetings = F.sum(F.lit(1) + F.col("bucket").bitwiseAND(F.lit(1)))
+    return pairs.groupBy("a", "b").agg(meetings.alias("meetings")).where("meetings >= 2").select("a", "b")
+
+
 def _open_pairs(live: DataFrame, roots: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of nodes that share a bucket but no component, and that size and sketch do not rule out."""
     placed = live.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
     placed = placed.withColumn("root", F.coalesce("root", "key"))
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = materialize(placed.join(open_buckets.select("bucket"), "bucket").join(marks.select("key", "n", *SKETCH), "key"))
-    other = rest.select("bucket", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), *[F.col(s).alias(f"o{s}") for s in SKETCH])
-    return rest.join(other, "bucket").where((F.col("root") != F.col("other")) & (F.col("key") < F.col("b")) & _near(num, den)).select(
-        F.col("key").alias("a"), "b").distinct()
+    rest = materialize(placed.join(open_buckets.select("bucket"), "bucket").join(marks.select("key", "n", *LONG_SKETCH), "key"))
+    other = rest.select("bucket", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), *[F.col(s).alias(f"o{s}") for s in LONG_SKETCH])
+    apart = (F.col("root") != F.col("other")) & (F.col("key") < F.col("b"))
+    return _met_twice(rest.join(other, "bucket").where(apart & _near(num, den, LONG_SKETCH)).select(F.col("key").alias("a"), "b", "bucket"))
 
 
 def keep_one(documents: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
