@@ -134,7 +134,7 @@ class NaiveBayes:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
-def learn(urls: DataFrame, unigrams: Unigrams, blocked: frozenset[str], plain: Sequence[str], smoothing: float = 1.0) -> NaiveBayes:
+def learn(urls: DataFrame, unigrams: Unigrams, blocked: frozenset[str], plain: Sequence[str], smoothing: float = 200.0) -> NaiveBayes:
     """Multinomial naive Bayes over all URLs: those with a word of ``blocked`` are the class to block.
 
     Word counts per class go into ``CLASS_BUCKETS`` buckets, so the model has a fixed size whatever the corpus has.
@@ -162,9 +162,9 @@ def learn(urls: DataFrame, unigrams: Unigrams, blocked: frozenset[str], plain: S
         for w in words:
             for form in (w, f"/{w}"):
                 counts[kind, zlib.crc32(form.encode()) % CLASS_BUCKETS] += 1
-    # rates over the buckets in use, so that the two classes smooth alike
-    used = max(1, int((counts.sum(0) > 0).sum()))
-    rates = (counts + smoothing) / (counts.sum(1, keepdims=True) + smoothing * used)
+    # each class leans on the rates of all URLs, so that common words say nothing where examples are few
+    common = (counts.sum(0) + 1e-9) / (counts.sum() + 1e-9 * CLASS_BUCKETS)
+    rates = (counts + smoothing * common) / (counts.sum(1, keepdims=True) + smoothing)
     odds = np.log(rates[1]) - np.log(rates[0])
     odds[counts.sum(0) == 0] = 0.0
     return NaiveBayes(odds)
