@@ -141,5 +141,5 @@ def test_set_operations_keep_every_copy(spark, kind, per_task):
 def test_deep_page_equals_shallow_page(frame):
     df, _ = frame
     shallow = page(df, ["t", "i"], page=20, page_size=30)
-    deep = page(df, ["t", "i"], page=20, page_size=30, shallow_rows=10)
+    deep = page(df, ["t", "i"], page=20, page_size=30)
     assert shallow.collect() == deep.collect()

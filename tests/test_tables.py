@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.catalog.registry import fresh_name
-from tidemill.operators import columns, inspect, quality, synth
+from tidemill.operators import columns, inspect, quality, rows
+from tidemill.operators.snapshots import snapshot_hash
+from tidemill.operators.sql import step_sql
 from tidemill.operators.changes import apply_changes
 from tidemill.operators.snapshots import snapshot_hash
 from tidemill.session import scratch_path
@@ -223,12 +225,37 @@ def test_hash_ignores_order(spark):
     assert snapshot_hash(df).first() != snapshot_hash(df.union(df.limit(1))).first()
 
 
-def test_synthetic_rows_are_reproducible(spark):
-    kinds = [("email", "varchar"), ("price", "numeric"), ("code", "varchar(8)"), ("day", "date"), ("uid", "uuid")]
-    one, two = synth.synthesize(spark, kinds, 500, 3), synth.synthesize(spark, kinds, 500, 3, partitions=9)
-    assert sorted(one.collect()) == sorted(two.collect())
-    assert one.select("email").distinct().count() == 500
-    assert one.select(F.max(F.length("code")), F.min("price") >= 10, F.max("price") <= 1000).first() == (8, True, True)
+def test_fingerprint_sees_nulls_names_and_maps(spark):
+    def print_of(rows, schema):
+        return spark.createDataFrame(rows, schema).transform(snapshot_hash).first()
+
+    assert print_of([(None, "a")], "x string, y string") != print_of([("a", None)], "x string, y string")
+    assert print_of([("a",)], "x string") != print_of([("a",)], "y string")
+    assert print_of([({"k": 1},)], "x map<string,int>") != print_of([({"k": 2},)], "x map<string,int>")
+
+
+def test_sql_step_leaves_the_users_views(spark):
+    spark.range(3).createOrReplaceTempView("source_data")
+    assert step_sql(spark.range(5), "SELECT count(*) AS n FROM source_data").first().n == 5
+    assert spark.table("source_data").count() == 3
+    spark.catalog.dropTempView("source_data")
+
+
+def test_quarantine_ids_stay_text(spark):
+    path = scratch_path(spark, "quarantine_ids")
+    quality.quarantine_records(spark.range(2), path, "set", "007", "by hand")
+    assert [r.quarantine_id for r in quality.list_quarantine(spark, path).collect()] == ["007"]
+
+
+def test_pages_lose_no_ties(spark):
+    df = spark.range(100).selectExpr("id", "id % 3 AS k")
+    pages = [rows.page(df, [F.col("k").desc()], n, 30) for n in range(1, 5)]
+    assert sorted(r.id for p in pages for r in p.collect()) == list(range(100))
+
+
+def test_positional_mapping(spark):
+    assert columns.positional_mapping(["ID", "Big Name", "x", "b"], ["id_original", "name", "b"]) == {
+        "ID": "id_original", "Big Name": "name", "x": "b", "b": "b"}
 
 
 def test_stream_restart_and_batch_agree(spark, rows):

@@ -1,9 +1,9 @@
-"""Queries for data quality, inspection, snapshots and synthetic data."""
+"""Queries for data quality, inspection and snapshots."""
 
 from pyspark.sql import functions as F
 
 from tidemill.catalog.registry import Tables, nulled, query
-from tidemill.operators import inspect, quality, synth
+from tidemill.operators import inspect, quality
 from tidemill.operators.snapshots import Snapshots, snapshot_hash
 from tidemill.plans.runner import preview_steps as preview
 from tidemill.plans.runner import run_steps
@@ -184,6 +184,8 @@ def run_steps_query(t: Tables):
 
 @query("preview_steps", """SELECT least(count(*), 100) AS rows_in, least(count(*), 100) AS rows_out,
  'o_custkey,o_orderdate,o_orderkey,o_orderpriority,price' AS names FROM orders""")
+@query("pipeline_preview", """SELECT least(count(*), 100) AS rows_in, least(count(*), 100) AS rows_out,
+ 'o_custkey,o_orderdate,o_orderkey,o_orderpriority,price' AS names FROM orders""")
 def preview_steps(t: Tables):
     report = preview(t.orders, [
         {"type": "filter", "config": {"column": "o_orderkey", "operator": ">=", "value": 0}},
@@ -260,15 +262,3 @@ def run_statistics(t: Tables):
     stats = inspect.run_statistics(log)
     return stats.withColumns({"success_rate": F.round(F.col("success_rate").cast("double"), 6),
                               "average_duration": F.round("average_duration", 6)})
-
-
-@query("synthesize")
-def synthesize(t: Tables):
-    columns = [
-        ("email", "varchar"), ("username", "varchar"), ("company_name", "varchar"), ("full_name", "varchar"), ("address", "text"),
-        ("city", "text"), ("ip_address", "text"), ("title", "text"), ("tag", "text"), ("status", "text"), ("phone", "text"),
-        ("price", "numeric"), ("quantity", "int"), ("age", "int"), ("year", "int"), ("flag", "boolean"), ("day", "date"),
-        ("stamp", "timestamp"), ("code", "varchar(12)"),
-    ]
-    return synth.synthesize(t.spark, columns, t.customer.count(), seed=7)
-

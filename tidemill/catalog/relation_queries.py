@@ -56,6 +56,7 @@ for _name, _function, _expr, _digits in [
     ("agg_avg", "avg", "avg(qty)", 6), ("agg_min", "min", "min(qty)", None), ("agg_max", "max", "max(qty)", None),
     ("agg_median", "median", "median(qty)", None), ("agg_std", "std", "stddev_samp(qty)", 6),
     ("agg_var", "var", "var_samp(qty)", 6), ("agg_count_distinct", "nunique", "count(DISTINCT qty)", None),
+    ("nunique", "nunique", "count(DISTINCT qty)", None),
 ]:
     _agg_query(_name, _function, _expr, _digits)
 

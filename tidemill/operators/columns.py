@@ -40,22 +40,17 @@ def apply_column_mapping(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame
 
 
 def positional_mapping(file_columns: Sequence[str], target_columns: Sequence[str]) -> dict[str, str]:
-    """Map the i-th file column to the i-th target column.
+    """Pair file columns with target columns by place; file columns beyond the targets pair by their clean name.
 
-    ``id`` goes to ``id_original`` when the target has only that; columns beyond the target list match by
-    their sanitised name or are left out.
+    A file column ``id`` pairs with ``id_original`` if the target has that and no ``id``. What fits nothing is left out.
     """
-    targets, mapping = list(target_columns), {}
-    id_moved = "id_original" in targets and "id" not in targets
-    for place, original in enumerate(file_columns):
-        clean = sanitize_name(original)
-        if clean == "id" and id_moved:
-            mapping[original] = "id_original"
-        elif place < len(targets):
-            mapping[original] = targets[place]
-        elif clean in targets:
-            mapping[original] = clean
-    return mapping
+    targets = list(target_columns)
+    clean = {c: sanitize_name(c) for c in file_columns}
+    by_name = {c: n for c, n in clean.items() if n in targets}
+    by_place = dict(zip(file_columns, targets, strict=False))
+    moved = {} if "id" in targets or "id_original" not in targets else {c: "id_original" for c, n in clean.items() if n == "id"}
+    chosen = by_name | by_place | moved
+    return {c: chosen[c] for c in file_columns if c in chosen}
 
 
 def sanitize_name(name: str) -> str:

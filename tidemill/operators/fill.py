@@ -70,7 +70,7 @@ def fill_carried(
     work = work.withColumn("__bucket", bucket_number(order_by, cuts)).withColumn("__seq", F.lit(1))
     groups = [named(c) for c in partition_by]
     if cuts:
-        key = named(order_by[0]) if len(order_by) == 1 else F.struct(*[named(c) for c in order_by])
+        key = F.struct(*[named(c) for c in order_by])  # a struct: a null order key is smallest, not absent
         nearest = F.max_by if forward else F.min_by
         edges = work.groupBy(*groups, "__bucket").agg(
             *[nearest(named(c), F.when(named(c).isNotNull(), key)).alias(c) for c in columns]

@@ -284,7 +284,9 @@ def quarantine_records(records: DataFrame, path: str, dataset_id: str, quarantin
 
 def list_quarantine(spark, path: str) -> DataFrame:
     """Rows and issues per quarantine entry."""
-    table = spark.read.parquet(path)
+    kinds = spark.read.parquet(path).schema
+    as_text = T.StructType([T.StructField(f.name, T.StringType() if f.name == "quarantine_id" else f.dataType) for f in kinds])
+    table = spark.read.schema(as_text).parquet(path)
     return table.groupBy("quarantine_id", "dataset_id").agg(
         F.count(F.lit(1)).alias("record_count"), F.sum(F.size("issues")).alias("issue_count")
     )

@@ -6,14 +6,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.cleaning import cleaned
 from tidemill.functions.conversion import DATE_FORMATS, converted, loaded, parsed_with
 from tidemill.functions.predicates import combine, rule_predicate
 from tidemill.functions.quoting import named
-from tidemill.operators.ordering import dense_ids
 from tidemill.session import require_columns
 
 
@@ -130,21 +129,17 @@ def sort(df: DataFrame, column: str, direction: str = "ASC") -> DataFrame:
     return _spread_ties(df, [col.desc() if direction.upper() == "DESC" else col.asc()])
 
 
-# Offsets up to this size are cut from a top-k; deeper ones would hold that many rows in one task.
-SHALLOW_ROWS = 100_000
-
-
 def page(
-    df: DataFrame, order_by: Sequence[str], page: int = 1, page_size: int = 25, with_total: bool = False,
-    shallow_rows: int = SHALLOW_ROWS,
+    df: DataFrame, order_by: Sequence[str | Column], page: int = 1, page_size: int = 25, with_total: bool = False,
 ) -> DataFrame:
-    """One page of the ordered rows; ``with_total`` adds the count of all rows."""
+    """One page of the ordered rows; ``with_total`` adds the count of all rows.
+
+    Ties are ordered by the whole row, so pages neither lose nor repeat rows. The rows before the page are read as part
+    of a top-k; for deep pages ``page_after`` is as cheap as for the first.
+    """
     skip = (page - 1) * page_size
-    if skip + page_size <= shallow_rows:
-        out = df.orderBy(*order_by).offset(skip).limit(page_size)
-    else:
-        place = F.col("__place").between(skip + 1, skip + page_size)
-        out = dense_ids(df, order_by, "__place").filter(place).orderBy("__place").drop("__place")
+    whole = F.to_json(F.struct(*[named(c) for c in df.columns]))
+    out = df.orderBy(*order_by, whole).offset(skip).limit(page_size)
     if not with_total:
         return out
     return out.withColumn("total_count", df.agg(F.count(F.lit(1))).scalar())

@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions.quoting import named
+
 MANIFEST_SCHEMA = (
     "checkpoint_id string, type string, status string, pipeline_id string, step_index int, step_name string,"
     " timestamp timestamp, data_hash string, data_rows long, data_columns int, version long"
@@ -16,8 +18,13 @@ MANIFEST_SCHEMA = (
 
 
 def snapshot_hash(df: DataFrame) -> DataFrame:
-    """Fingerprint of all rows that does not depend on row order or partitioning."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    """Fingerprint of all rows that does not depend on row order or partitioning.
+
+    Names and types count, and nulls are told from absent values; columns that hold maps are hashed as JSON.
+    """
+    cells = [F.to_json(F.struct(named(f.name))) if "map<" in f.dataType.simpleString() else named(f.name) for f in df.schema]
+    nulls = F.concat(F.lit(""), *[F.when(named(c).isNull(), "1").otherwise("0") for c in df.columns])
+    row = F.xxhash64(F.lit(df.schema.simpleString()), nulls, *cells)
     hashed = df.select(row.alias("h"))
     return hashed.agg(
         F.count(F.lit(1)).alias("data_rows"),

@@ -12,7 +12,12 @@ SOURCE_VIEW = "source_data"
 
 
 def run_sql(spark: SparkSession, query: str, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Run SQL text; ``tables`` are visible under their names while the text is analysed."""
+    """Run SQL text; ``tables`` are visible under their names while the text is analysed.
+
+    Temporary views of the same names are put back afterwards.
+    """
+    own = {v.name.lower() for v in spark.catalog.listTables() if v.isTemporary}
+    before = {name: spark.table(name) for name in tables or {} if name.lower() in own}
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
     try:
@@ -20,6 +25,8 @@ def run_sql(spark: SparkSession, query: str, tables: Mapping[str, DataFrame] | N
     finally:
         for name in tables or {}:
             spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
 
 
 def step_sql(df: DataFrame, query: str) -> DataFrame:

@@ -48,10 +48,10 @@ def payload_keys(df: DataFrame, payload: str) -> DataFrame:
     return df.select(keys.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def flatten_discovered(df: DataFrame, payload: str, max_keys: int = 1000, prefix: str | None = None) -> DataFrame:
-    """``flatten_envelope`` with every key found in the data, as text columns."""
-    found = [r["key"] for r in payload_keys(df, payload).select("key").limit(max_keys + 1).collect()]
-    if len(found) > max_keys:
+def flatten_discovered(df: DataFrame, payload: str, max_keys: int | None = None, prefix: str | None = None) -> DataFrame:
+    """``flatten_envelope`` with every key found in the data, as text columns; ``max_keys`` is a wish of the caller."""
+    found = [r["key"] for r in payload_keys(df, payload).select("key").collect()]
+    if max_keys is not None and len(found) > max_keys:
         raise ValueError(f"more than {max_keys} payload keys: declare the fields instead")
     fields = T.StructType([T.StructField(k, T.StringType()) for k in sorted(found)])
     return flatten_envelope(df, payload, fields, prefix) if found else df

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.predicates import extraction_predicate
 from tidemill.functions.quoting import named
 from tidemill.operators.inspect import infer_types
-from tidemill.operators.rows import cast_on_load
+from tidemill.operators.rows import cast_on_load, sort
 from tidemill.session import require_columns
 from tidemill.sinks.tables import save_append
 from tidemill.sources.files import extract_columns
@@ -37,7 +37,7 @@ def extract(
             df = df.filter(named(incremental_key) > F.lit(last_value).cast(df.schema[incremental_key].dataType))
     order = order_by or incremental_key
     if order:
-        df = df.orderBy(order)
+        df = sort(df, order)
     return extract_columns(df, columns, strict)
 
 
@@ -113,5 +113,5 @@ def batch_import(
             types = extract_and_load(df, table, f"{location}/{table}" if location else None)
             report.append({"table": table, "path": path, "status": "success", "columns": types, "error": None})
         except Exception as error:  # noqa: BLE001 - any failure of one file is reported
-            report.append({"table": table, "path": path, "status": "error", "columns": {}, "error": str(error)[:500]})
+            report.append({"table": table, "path": path, "status": "error", "columns": {}, "error": str(error)})
     return report
