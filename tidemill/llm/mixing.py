@@ -147,7 +147,8 @@ def balanced_copies(
         blocks = F.ceil(F.col("open") / F.lit(block_rows)).cast("int")
         marked = units.join(counts.select("place", blocks.alias("blocks")), "place")
         marked = marked.withColumn("block", F.pmod(F.xxhash64("luck", F.lit(level)), F.col("blocks")))
-        flown = materialize(marked.groupBy("place", "block", "blocks").applyInArrow(fly(level), schema))
+        # by block, or a shuffle by source alone would be used again and hold a hot source in one task
+        flown = materialize(marked.repartition("place", "block").groupBy("place", "block", "blocks").applyInArrow(fly(level), schema))
         still = (F.col("chance") > 0) & (F.col("chance") < 1)
         decided.append(flown.where(~still))
         if largest <= block_rows:
