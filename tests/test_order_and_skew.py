@@ -100,6 +100,13 @@ def test_aggregate_is_the_same_by_rank(frame, rows):
     assert aggregate.aggregate(df, [], spec[:1], median_inline_rows=0).first()[0] == aggregate.aggregate(df, [], spec[:1]).first()[0]
 
 
+def test_median_of_extreme_values_is_the_same_by_rank(spark):
+    for values, want in (([1.7e308, 1.7e308], 1.7e308), ([-1.7e308, 1.7e308], 0.0)):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        for limit in (0, 10):
+            assert medians.exact_median(df, [], "v", "m", inline_rows=limit).first()["m"] == want
+
+
 def test_fill_statistics(frame):
     df, pdf = frame
     present = [int(v) for v in pdf["v"].dropna()]

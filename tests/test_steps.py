@@ -139,6 +139,20 @@ def test_conversion(spark, kind, fmt, text, want):
     assert rows.convert(df, "s", kind, fmt).first()[0] == want
 
 
+def test_defaults_that_do_not_fit_are_refused(spark):
+    df = spark.createDataFrame([("x",)], "s string")
+    with pytest.raises(ValueError, match="default"):
+        rows.convert(df, "s", "integer", default_value="n/a")
+    assert rows.convert(df, "s", "integer", default_value=7).first()[0] == 7
+
+
+def test_loading_keeps_ones_and_zeros_and_no_fraction_is_rounded(spark):
+    df = spark.createDataFrame([("1.0",), ("0.0",), ("1",), (None,)], "s string")
+    assert [r[0] for r in rows.cast_on_load(df, {"s": "BOOLEAN"}).collect()] == [True, False, True, None]
+    whole = rows.preserve_big_integers(spark.createDataFrame([("12.5",), ("12",)], "s string"), ["s"])
+    assert [r[0] for r in whole.collect()] == [None, 12]
+
+
 def test_conversion_default_and_json(spark):
     df = spark.createDataFrame([("1",), ("x",)], "s string")
     assert [r[0] for r in rows.convert(df, "s", "integer", default_value=-1).collect()] == [1, -1]

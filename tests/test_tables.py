@@ -109,6 +109,15 @@ def test_auto_profile_and_constraints(dirty):
     assert [(r.kind, r.column) for r in made] == [("not_null", "id"), ("unique", "id"), ("unique", "s")]
 
 
+def test_auto_profile_reads_all_rows(spark):
+    df = spark.range(5000).selectExpr("id % 4999 AS almost", "id AS v", "id AS k", "if(id = 4321, 'rare', 'usual') AS s")
+    found = {(r.kind, r.column) for r in quality.auto_profile(df)}
+    assert {("unique", "v"), ("unique", "k")} <= found and not {("unique", "almost"), ("unique", "s")} & found
+    # the limits hold for every row, so no row breaks a rule that the data itself suggested
+    assert quality.issues(df, quality.auto_profile(df), ["k"]).count() == 0
+    assert quality.auto_profile(spark.createDataFrame([], "a int, s string")) == []
+
+
 def test_upsert_twice_is_once(spark, rows):
     table, path = fresh_name("t"), scratch_path(spark, "t")
     sink.save(spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 3)], "k int, s string, n int"), table, location=path)

@@ -75,9 +75,19 @@ def to_timestamp(col: Column, fmt: str | None = None) -> Column:
 
 
 def to_load_boolean(col: Column) -> Column:
-    """Boolean for the known boolean texts, otherwise null."""
-    text = col.cast("string")
-    return F.when(text.isin(*LOAD_TRUE), True).when(text.isin(*LOAD_FALSE), False)
+    """Boolean for the known boolean texts and for the numbers one and zero in any spelling, otherwise null."""
+    text, number = col.cast("string"), to_double(col)
+    return F.when(text.isin(*LOAD_TRUE) | (number == 1), True).when(text.isin(*LOAD_FALSE) | (number == 0), False)
+
+
+def check_default(kind: str, default: Any) -> None:
+    """Refuse a default that is no number where a number is wanted, before any job runs."""
+    kinds = {"integer": int, "int": int, "bigint": int, "float": float, "double": float, "number": float}
+    if kind in kinds and not isinstance(default, Column):
+        try:
+            kinds[kind](default)
+        except (TypeError, ValueError) as error:
+            raise ValueError(f"The default {default!r} is no {kind}") from error
 
 
 def converted(df: DataFrame, column: str, target_type: str, fmt: str | None = None, default: Any = None) -> Column:
@@ -107,6 +117,7 @@ def converted(df: DataFrame, column: str, target_type: str, fmt: str | None = No
         raise ValueError(f"Unsupported target type: {target_type}")
     if default is None:
         return out
+    check_default(kind, default)
     if kind == "json":
         return F.coalesce(out, F.try_parse_json(F.lit(str(default))))
     return F.coalesce(out, F.lit(default))
@@ -129,8 +140,10 @@ def loaded(col: Column, sql_type: str, boolean_default: bool | None = None) -> C
     if name in ("DOUBLE", "FLOAT"):
         return to_double(col).cast(name.lower())
     if name == "BOOLEAN":
-        out = to_load_boolean(col)
-        return out if boolean_default is None else F.coalesce(out, F.lit(boolean_default))
+        if boolean_default is None:
+            return to_load_boolean(col)
+        text = col.cast("string")
+        return F.when(text.isin(*LOAD_TRUE), True).when(text.isin(*LOAD_FALSE), False).otherwise(boolean_default)
     if name == "DATE":
         return loaded_timestamp(col).cast("date")
     if name in ("TIMESTAMP", "TIMESTAMP_NTZ"):

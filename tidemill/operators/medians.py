@@ -86,4 +86,5 @@ def median_by_rank(
     def at(rank: str):
         return F.max(F.when((F.col(rank) > start) & (F.col(rank) <= F.col("__end")), F.col("__v").cast("double")))
 
-    return ranked.groupBy(*groups).agg(((at("__low") + at("__high")) / 2).alias(alias))
+    # halves are added, because the sum of two large values is no number
+    return ranked.groupBy(*groups).agg((at("__low") * 0.5 + at("__high") * 0.5).alias(alias))

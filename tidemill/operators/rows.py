@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.cleaning import cleaned
-from tidemill.functions.conversion import DATE_FORMATS, converted, loaded, parsed_with
+from tidemill.functions.conversion import DATE_FORMATS, WHOLE_TEXT, converted, loaded, parsed_with
 from tidemill.functions.predicates import combine, rule_predicate
 from tidemill.functions.quoting import named
 from tidemill.session import require_columns
@@ -64,7 +64,8 @@ def cast_to_ddl(df: DataFrame, column_types: Mapping[str, str]) -> DataFrame:
 def preserve_big_integers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Whole numbers of up to 38 digits as exact decimals; other text becomes null."""
     require_columns(df, columns)
-    return df.withColumns({c: named(c).cast("string").try_cast("decimal(38,0)") for c in columns})
+    texts = {c: named(c).cast("string") for c in columns}
+    return df.withColumns({c: F.when(t.rlike(WHOLE_TEXT), t.try_cast("decimal(38,0)")) for c, t in texts.items()})
 
 
 # Copies of one row that a single task writes; more are spread over tasks.
