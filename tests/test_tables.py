@@ -1,6 +1,7 @@
 """Inference, quality, sinks, sources and streams."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,55 @@ def test_bad_files_are_skipped(spark):
     assert sorted(tuple(r) for r in found["txt"].collect()) == [(1, "l1"), (3, "l3")]
 
 
+def test_columns_are_united_by_name(spark):
+    root = scratch_path(spark, "names")
+    for name, text in (("a.csv", "id,name\n1,ann\n"), ("b.csv", "name,id\nbob,2\n"), ("c.csv", "id,age\n3,30\n")):
+        spark.createDataFrame([(line,) for line in text.split()], "value string").coalesce(1).write.text(f"{root}/{name}")
+    out.write_parquet(spark.createDataFrame([(1,)], "a int"), f"{root}/a.parquet")
+    out.write_parquet(spark.createDataFrame([(2, "x")], "a int, b string"), f"{root}/b.parquet")
+    out.write_parquet(spark.createDataFrame([("three",)], "a string"), f"{root}/c.parquet")
+    paths = [f"{root}/{n}" for n in ("a.csv", "b.csv", "c.csv", "a.parquet", "b.parquet")]
+    found = files.read_by_extension(spark, paths)
+    people = {tuple(r) for r in found["csv"].select("id", "name", "age").collect()}
+    assert people == {("1", "ann", None), ("2", "bob", None), ("3", None, "30")}
+    assert {tuple(r) for r in found["parquet"].select("a", "b").collect()} == {(1, None), (2, "x")}
+    mixed = files.read_by_extension(spark, [f"{root}/{n}.parquet" for n in "abc"])["parquet"]
+    assert {tuple(r) for r in mixed.select("a", "b").collect()} == {("1", None), ("2", "x"), ("three", None)}
+
+
+def test_a_bad_file_leaves_its_neighbours(spark):
+    root = scratch_path(spark, "bad")
+    out.write_parquet(spark.range(2), f"{root}/in_a")
+    spark.createDataFrame([("not parquet",)], "value string").write.text(f"{root}/in_b")
+    bad = next(Path(f"{root}/in_b".removeprefix("file://")).glob("part*"))
+    (bad.parent / "broken.parquet").write_bytes(bad.read_bytes())
+    errors = []
+    df = files.read_prefix(spark, f"{root}/", "in_", lambda f, e: errors.append(f))
+    assert sorted(r["id"] for r in df.where("id is not null").collect()) == [0, 1]
+    assert len(errors) == 1 and errors[0].endswith("broken.parquet")
+    docs = scratch_path(spark, "docs.json")
+    spark.createDataFrame([('{"a":1}',), ("{broken",)], "value string").repartition(2).write.option("maxRecordsPerFile", 1).text(docs)
+    errors.clear()
+    found = files.read_by_extension(spark, [docs], lambda f, e: errors.append(e))
+    assert [tuple(r) for r in found["json"].collect()] == [(1,)] and found["json"].count() == 1
+    assert errors == ["no JSON document"] and [r["text"].strip() for r in files.rejected_json(spark, docs).collect()] == ["{broken"]
+
+
+def test_responses_of_differing_types(spark):
+    lines = ['{"data":[{"a":1}]}', '{"results":[{"a":"x","b":2}]}', '{"items":["t"]}', '{"message":"none"}', '{"data":[],"message":"m"}']
+    df = env.unwrap_response(spark.read.json(spark.sparkContext.parallelize(lines)))
+    found = {tuple(r) for r in df.select("a", "b", "value", "message").collect()}
+    assert found == {("1", None, None, None), ("x", 2, None, None), (None, None, "t", None), (None, None, None, "none")}
+
+
+def test_numbers_of_many_digits_are_loaded_as_text(spark):
+    digits = ["1" * 40, "2" * 5, None]
+    table = "digits_" + scratch_path(spark, "x").split("/")[-2]
+    types = ex.extract_and_load(spark.createDataFrame([(d,) for d in digits], "n string"), table, scratch_path(spark, "digits"))
+    assert types["n"] == "TEXT" and {r["n"] for r in spark.table(table).collect()} == set(digits)
+    spark.sql(f"DROP TABLE {table}")
+
+
 def test_prefix_unites_kinds(spark):
     root = scratch_path(spark, "prefix")
     out.write_csv(spark.range(2), f"{root}/in_a")

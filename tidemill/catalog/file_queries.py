@@ -32,11 +32,11 @@ def read_csv(t: Tables):
     return files.read_csv(t.spark, path, multi_line=True)
 
 
-@query("read_tsv", "SELECT page_id::VARCHAR AS page_id, url FROM pages")
+@query("read_tsv", "SELECT page_id::VARCHAR AS page_id, url, html FROM pages")
 def read_tsv(t: Tables):
     path = t.scratch("read_tsv")
-    out.write_csv(t.pages.select("page_id", "url"), path, sep="\t")
-    return files.read_tsv(t.spark, path)
+    out.write_csv(t.pages.select("page_id", "url", "html"), path, sep="\t")
+    return files.read_tsv(t.spark, path, multi_line=True)
 
 
 @query("read_json", "SELECT c_custkey, c_name, c_acctbal FROM customer")
@@ -73,21 +73,29 @@ def read_text_lines(t: Tables):
     return lines.groupBy("content").agg(F.count(F.lit(1)).alias("n"), (F.min("line_number") >= 1).alias("numbered"))
 
 
-@query("read_by_extension", "SELECT c_custkey::VARCHAR AS c_custkey, c_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE')")
+@query("read_by_extension", """SELECT c_custkey::VARCHAR AS c_custkey, c_name,
+ CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN c_nationkey END AS c_nationkey FROM customer""")
 def read_by_extension(t: Tables):
+    """Every segment in a format of its own: two headers, an extra Parquet column, a broken document and a missing file."""
     root = t.scratch("read_by_extension")
-    df = t.customer.select("c_custkey", "c_name", "c_mktsegment")
-
-    def part(segment):
-        return df.filter(F.col("c_mktsegment") == segment).drop("c_mktsegment")
-
-    out.write_csv(part("BUILDING"), f"{root}/a.csv")
-    out.write_json(part("MACHINERY"), f"{root}/b.jsonl")
-    out.write_parquet(part("FURNITURE"), f"{root}/c.pqt")
-    paths = [f"{root}/a.csv", f"{root}/b.jsonl", f"{root}/c.pqt", f"{root}/missing.parquet"]
+    df = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+    def part(segment, *columns):
+        return df.filter(F.col("c_mktsegment") == segment).select(*(columns or ("c_custkey", "c_name")))
+
+    half = F.col("c_custkey") % 2 == 0
+    out.write_csv(part("BUILDING").where(half), f"{root}/a.csv")
+    out.write_csv(part("BUILDING", "c_name", "c_custkey").where(~half), f"{root}/b.csv")
+    out.write_csv(part("HOUSEHOLD"), f"{root}/c.tsv", sep="\t")
+    out.write_json(part("MACHINERY"), f"{root}/d.jsonl")
+    out.write_parquet(part("FURNITURE"), f"{root}/e.parquet")
+    out.write_parquet(part("AUTOMOBILE", "c_custkey", "c_name", "c_nationkey").where(half), f"{root}/f.parquet")
+    json_root = _json_documents(part("AUTOMOBILE", "c_custkey", "c_name", "c_nationkey").where(~half), f"{root}/g.json", "array")
+    t.spark.range(1).select(F.lit("{broken").alias("value")).write.mode("append").text(json_root)
+    paths = [f"{root}/{n}" for n in ("a.csv", "b.csv", "c.tsv", "d.jsonl", "e.parquet", "f.parquet", "g.json", "missing.pqt")]
     frames = files.read_by_extension(t.spark, paths)
     as_text = [f.withColumn("c_custkey", F.col("c_custkey").cast("string")) for f in frames.values()]
-    return reduce(lambda a, b: a.unionByName(b), as_text)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), as_text)
 
 
 @query("read_prefix", """SELECT s_suppkey::VARCHAR AS s_suppkey, s_name, CASE WHEN s_acctbal < 5000 THEN 'csv' ELSE 'parquet' END AS kind

@@ -180,3 +180,17 @@ def flatten_struct(df: DataFrame, separator: str = ".") -> DataFrame:
         return col.alias(separator.join(path))
 
     return df.select(*[column(p) for p in walk(df.schema, ())])
+
+
+def united(frames: Sequence[DataFrame]) -> DataFrame:
+    """Frames below each other, columns by name; columns of equal name but different type meet as text."""
+    kinds: dict[str, set] = {}
+    for df in frames:
+        for f in df.schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
+    mixed = [c for c, found in kinds.items() if len(found) > 1]
+    out = None
+    for df in frames:
+        aligned = df.withColumns({c: named(c).cast("string") for c in mixed if c in df.columns})
+        out = aligned if out is None else out.unionByName(aligned, allowMissingColumns=True)
+    return out

@@ -24,10 +24,16 @@ COLUMNS_PER_JOB = 100
 
 @dataclass(frozen=True)
 class InferredType:
-    """SQL type of a column, and the date format that fits all of its values."""
+    """SQL type of a column, the date format that fits all of its values, and the type to load when it differs."""
 
     sql_type: str
     date_format: str | None = None
+    wide: bool = False
+
+    @property
+    def load_type(self) -> str:
+        """Numbers of more digits than a decimal holds are loaded as text."""
+        return "TEXT" if self.wide else self.sql_type
 
 
 def _present(df: DataFrame, column: str) -> Column:
@@ -110,7 +116,7 @@ def _decide_text(v: Mapping, numeric_text: bool) -> InferredType:
             return InferredType("DOUBLE PRECISION")
         low, high = v["low"], v["high"]
         if abs(low) >= 1e38 or abs(high) >= 1e38:
-            return InferredType("NUMERIC")
+            return InferredType("NUMERIC", wide=True)
         if abs(low) >= _EXACT_BOUND:
             low = v["exact_low"]
         if abs(high) >= _EXACT_BOUND:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.quoting import named
+from tidemill.operators.columns import united
 
 # Where API responses keep their records and their totals.
 RECORD_FIELDS = ("data", "results", "items", "records")
@@ -62,16 +63,30 @@ def _arrays(df: DataFrame) -> list[str]:
 
 
 def unwrap_response(df: DataFrame) -> DataFrame:
-    """Records under the first of data, results, items, records; a response without them is one row."""
+    """Records under the first of data, results, items, records that a response has; without any it is one row itself.
+
+    Fields whose records differ in type are unpacked each by its own type and united by name; columns of equal name
+    but different type meet as text. Totals alone make no row.
+    """
     arrays = _arrays(df)
     if not arrays:
         return df
-    kind = df.schema[arrays[0]].dataType
-    same = [c for c in arrays if df.schema[c].dataType == kind]
-    records = F.coalesce(*[named(c) for c in same])
-    if isinstance(kind.elementType, T.StructType):
-        return df.select(F.inline(records))
-    return df.select(F.explode(records).alias("value"))
+    first = F.coalesce(*[F.when(named(c).isNotNull(), F.lit(c)) for c in arrays])
+    by_kind: dict[str, list[str]] = {}
+    for c in arrays:
+        by_kind.setdefault(df.schema[c].dataType.elementType.simpleString(), []).append(c)
+    frames = []
+    for fields in by_kind.values():
+        rows = df.where(first.isin(*fields)).select(F.coalesce(*[F.when(first == c, named(c)) for c in fields]).alias("__r"))
+        record = df.schema[fields[0]].dataType.elementType
+        frames.append(rows.select(F.inline("__r")) if isinstance(record, T.StructType) else rows.select(F.explode("__r").alias("value")))
+    bare = [c for c in df.columns if c not in arrays]
+    if bare:
+        own = [c for c in bare if c not in TOTAL_FIELDS]
+        if own:
+            present = F.coalesce(*[F.when(named(c).isNotNull(), True) for c in own], F.lit(False))
+            frames.append(df.where(first.isNull() & present).select(*[named(c) for c in bare]))
+    return united(frames)
 
 
 def response_total(df: DataFrame) -> DataFrame:

@@ -94,12 +94,12 @@ def extract_and_load(df: DataFrame, table: str, location: str | None = None, cre
     inferred = infer_types(df)
     text = {c for c, kind in df.dtypes if kind == "string"}
     typed = cast_on_load(
-        df, {c: t.sql_type for c, t in inferred.items() if c in text},
+        df, {c: t.load_type for c, t in inferred.items() if c in text},
         {c: t.date_format for c, t in inferred.items() if t.date_format},
     )
     stamp = F.current_timestamp() if created_at is None else F.lit(created_at)
     save_append(typed.withColumn("created_at", stamp), table, location)
-    return {c: t.sql_type for c, t in inferred.items()}
+    return {c: t.load_type for c, t in inferred.items()}
 
 
 def batch_import(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from typing import Any
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -13,9 +14,10 @@ from pyspark.sql import types as T
 
 from tidemill.functions.predicates import extraction_predicate
 from tidemill.functions.quoting import named
-from tidemill.operators.columns import flatten_struct
+from tidemill.operators.columns import flatten_struct, united
 
 SOURCE_KEY = "_s3_source_key"
+CORRUPT = "__corrupt"
 # what reading a missing or broken file raises
 UNREADABLE = (PySparkException, Py4JError)
 
@@ -33,18 +35,32 @@ def read_tsv(spark: SparkSession, path, **options: Any) -> DataFrame:
 
 def read_json(spark: SparkSession, path, schema=None, flatten: bool = True) -> DataFrame:
     """JSON documents: an array gives its elements, an object one row, a bare value a column ``value``."""
-    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
     if schema is not None:
-        df = reader.schema(schema).json(path)
+        df = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(schema).json(path)
     else:
-        df = reader.option("columnNameOfCorruptRecord", "__corrupt").json(path)
-        if not [c for c in df.columns if c != "__corrupt"]:
+        df, _ = _json_records(spark, path)
+        if not df.columns:
             text = spark.read.text(path, wholetext=True).withColumnRenamed("value", "__text")
             return text.select(F.try_parse_json("__text").cast("string").alias("value"))
-        df = df.drop("__corrupt")
     return flatten_struct(df) if flatten else df
 
 
+def _json_records(spark: SparkSession, path, **options: Any) -> tuple[DataFrame, bool]:
+    """Records of JSON documents, and whether some documents are no records; those give no row."""
+    reader = spark.read.options(**options).option("multiLine", True)
+    df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    if CORRUPT not in df.columns:
+        return df, False
+    known = T.StructType([f for f in df.schema.fields if f.name != CORRUPT])
+    return reader.option("mode", "DROPMALFORMED").schema(known).json(path), True
+
+
+def rejected_json(spark: SparkSession, path, **options: Any) -> DataFrame:
+    """``(path, text)`` of the documents that are no JSON: what ``read_json`` leaves out."""
+    text = spark.read.options(**options).option("wholetext", True).text(path)
+    return text.where(F.try_parse_json("value").isNull()).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def read_jsonl(spark: SparkSession, path, schema=None, flatten: bool = True) -> DataFrame:
     """One JSON object per line; blank lines are skipped."""
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -131,15 +147,56 @@ def file_listing(spark: SparkSession, path, pattern: str | None = None) -> DataF
     return reader.load(path).select("path", "length", "modificationTime")
 
 
-_SUFFIX_READERS = {
-    "csv": lambda spark, paths: read_csv(spark, paths),
-    "tsv": lambda spark, paths: read_tsv(spark, paths),
-    "json": lambda spark, paths: read_json(spark, paths),
-    "jsonl": lambda spark, paths: read_jsonl(spark, paths),
-    "parquet": lambda spark, paths: spark.read.parquet(*paths),
-    "pqt": lambda spark, paths: spark.read.parquet(*paths),
-}
-SUFFIXES = tuple(_SUFFIX_READERS)
+SUFFIXES = ("csv", "tsv", "json", "jsonl", "parquet", "pqt")
+
+
+def _header_groups(spark: SparkSession, path, **options: Any) -> list[list[str]]:
+    """Files with equal first lines, group by group, from one pass that keeps a line per file."""
+    text = spark.read.options(**options).option("lineSep", "\n").text(path)
+    lines = text.where(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.rtrim("value").alias("value"))
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [[unquote(f) for f in r["files"]] for r in groups]
+
+
+def _read_files(spark: SparkSession, kind: str, path, source_key: bool, **options: Any) -> DataFrame:
+    """Files of one type as one frame, columns united by name."""
+    keyed = _with_source if source_key else (lambda df: df)
+    if kind == "txt":
+        lines = read_text_lines(spark, path, keep_source=source_key, **options)
+        return lines.withColumnRenamed("file", SOURCE_KEY) if source_key else lines
+    if kind in ("csv", "tsv"):
+        sep = "," if kind == "csv" else "\t"
+        groups = _header_groups(spark, path, **options)
+        if len(groups) < 2:
+            return keyed(read_csv(spark, path, sep, **options))
+        return united([keyed(read_csv(spark, g, sep)) for g in groups])
+    if kind == "json":
+        if not source_key:
+            return read_json(spark, path)
+        return flatten_struct(_with_source(_json_records(spark, path, **options)[0]))
+    if kind == "jsonl":
+        return flatten_struct(keyed(spark.read.options(**options).json(path)))
+    paths = [path] if isinstance(path, str) else path
+    return keyed(spark.read.options(**options).option("mergeSchema", True).parquet(*paths))
+
+
+def _read_readable(spark: SparkSession, kind: str, files: list[str], source_key: bool, on_error) -> DataFrame | None:
+    """The files of one type without those that cannot be read, which ``on_error`` hears of."""
+    good = {}
+    for file in files:
+        try:
+            good[file] = _read_files(spark, kind, [file], source_key)
+        except UNREADABLE as error:
+            if on_error:
+                on_error(file, str(error))
+    if not good:
+        return None
+    try:
+        return _read_files(spark, kind, list(good), source_key)
+    except UNREADABLE:  # readable one by one: columns of one name differ in type
+        return united(list(good.values()))
 
 
 def suffix_of(path: str) -> str:
@@ -155,60 +212,48 @@ def _with_source(df: DataFrame) -> DataFrame:
 def read_by_extension(
     spark: SparkSession, paths: Sequence[str], on_error=None, source_key: bool = False
 ) -> dict[str, DataFrame]:
-    """One frame per file type of the given paths; an unreadable file is reported and skipped."""
+    """One frame per file type of the given paths, columns united by name; an unreadable file is reported and skipped.
+
+    A JSON document that is none gives no row and is reported too.
+    """
     groups: dict[str, list[str]] = {}
     for path in paths:
         suffix = suffix_of(path)
-        groups.setdefault(suffix if suffix in _SUFFIX_READERS else "txt", []).append(path)
-
-    def read(kind: str, files: list[str]) -> DataFrame:
-        if kind == "txt":
-            df = read_text_lines(spark, files, keep_source=source_key)
-            return df.withColumnRenamed("file", SOURCE_KEY) if source_key else df
-        if source_key and kind in ("json", "jsonl"):
-            raw = spark.read.option("multiLine", kind == "json").json(files)
-            return flatten_struct(_with_source(raw))
-        df = _SUFFIX_READERS[kind](spark, files)
-        return _with_source(df) if source_key else df
-
+        groups.setdefault(suffix if suffix in SUFFIXES else "txt", []).append(path)
     out: dict[str, DataFrame] = {}
     for kind, files in groups.items():
         try:
-            out[kind] = read(kind, files)
+            df = _read_files(spark, kind, files, source_key)
         except UNREADABLE:
-            good = []
-            for file in files:
-                try:
-                    read(kind, [file])
-                    good.append(file)
-                except UNREADABLE as error:
-                    if on_error:
-                        on_error(file, str(error))
-            if good:
-                out[kind] = read(kind, good)
+            df = _read_readable(spark, kind, files, source_key, on_error)
+        if df is None:
+            continue
+        out[kind] = df
+        if kind == "json" and on_error:
+            for row in rejected_json(spark, files).select("path").toLocalIterator():
+                on_error(row["path"], "no JSON document")
     return out
 
 
 def read_prefix(spark: SparkSession, prefix: str, pattern: str = "", on_error=None) -> DataFrame:
     """All files whose path starts with ``prefix + pattern``, with the file's key on each row.
 
-    Types are read one by one and their columns united; columns of equal name but different type meet as text.
+    Columns are united by name; columns of equal name but different type meet as text. An unreadable file is reported
+    and skipped, the others of its type stay.
     """
-    listed = file_listing(spark, f"{prefix}{pattern}*")
-    kinds = [
-        r["kind"] for r in listed.select(_kind_column().alias("kind")).distinct().collect()
-    ]
     folder = f"{prefix}{pattern}*"
+    listed = file_listing(spark, folder).select("path", _kind_column().alias("kind"))
     frames = []
-    for kind in sorted(kinds):
+    for kind in sorted(r["kind"] for r in listed.select("kind").distinct().collect()):
         try:
             frames.append(_read_kind(spark, folder, kind))
-        except UNREADABLE as error:
-            if on_error:
-                on_error(f"{folder} ({kind})", str(error))
+        except UNREADABLE:
+            files = [r["path"] for r in listed.where(F.col("kind") == kind).toLocalIterator()]
+            df = _read_readable(spark, kind, files, True, on_error)
+            frames += [df] if df is not None else []
     if not frames:
         raise ValueError(f"No readable file below {folder}")
-    return _united(frames)
+    return united(frames)
 
 
 def _kind_column() -> Column:
@@ -223,23 +268,4 @@ def _read_kind(spark: SparkSession, folder: str, kind: str) -> DataFrame:
         other = ~F.lower(F.col("_metadata.file_name")).rlike(rf"\.({'|'.join(SUFFIXES)})$")
         lines = read_text_lines(spark, folder, True, other, **options)
         return lines.withColumnRenamed("file", SOURCE_KEY)
-    options["pathGlobFilter"] = f"*.{kind}"
-    if kind in ("csv", "tsv"):
-        return _with_source(read_csv(spark, folder, "," if kind == "csv" else "\t", **options))
-    if kind in ("json", "jsonl"):
-        raw = spark.read.options(**options).option("multiLine", kind == "json").json(folder)
-        return flatten_struct(_with_source(raw))
-    return _with_source(spark.read.options(**options).parquet(folder))
-
-
-def _united(frames: Sequence[DataFrame]) -> DataFrame:
-    kinds: dict[str, set] = {}
-    for df in frames:
-        for f in df.schema.fields:
-            kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
-    mixed = [c for c, found in kinds.items() if len(found) > 1]
-    out = None
-    for df in frames:
-        aligned = df.withColumns({c: named(c).cast("string") for c in mixed if c in df.columns})
-        out = aligned if out is None else out.unionByName(aligned, allowMissingColumns=True)
-    return out
+    return _read_files(spark, kind, folder, True, pathGlobFilter=f"*.{kind}", **options)
