@@ -180,6 +180,23 @@ def test_html_cases(spark):
     assert {r.page_id: r.text for r in extract_text(rows).collect()} == {1: "", 2: "x"}
 
 
+PROSE = ["<p>" + f"Sentence {n} of the real text, long enough to stand out from the rest of the page. " * 3 + "</p>" for n in range(6)]
+WANTED = "\n".join(p[3:-4].strip() for p in PROSE)
+
+
+def test_html_articles_are_chosen_by_score():
+    cards = "".join(f"<article><h3><a href='/{n}'>Teaser {n}</a></h3><p>Read on</p></article>" for n in range(5))
+    assert main_text(f"<body><article>{''.join(PROSE)}</article>{cards}</body>") == WANTED
+    remark = f"<article class='comment'>{PROSE[0]}</article>"
+    assert main_text(f"<body><article>{''.join(PROSE)}</article><div>{remark * 3}</div></body>") == WANTED
+    assert main_text(f"<body><article><p>Buy</p></article><div>{''.join(PROSE)}</div></body>") == WANTED
+    links = "".join(f"<div><a href='/{n}'>Page {n}</a></div>" for n in range(5))
+    assert main_text(f"<body><main><div>{links}</div><div>{''.join(PROSE)}</div><div>{links}</div></main></body>") == WANTED
+    posts = f"<article>{''.join(PROSE[:3])}</article><article>{''.join(PROSE[3:])}</article>"
+    assert main_text(f"<body><main>{posts}</main></body>") == WANTED
+    assert main_text(f"<body><div>{links}</div><div>{''.join(PROSE)}</div></body>") == WANTED
+
+
 def test_urls(spark):
     rows = spark.createDataFrame(
         [(1, None), (2, "no scheme"), (3, "http://A.NET"), (4, "http://a.net/x?y"), (5, "http://x.example.net/en/1#z"), (6, "http://freecasino.example.com/en/"), (7, "http://gardenbook.example.com/en/1")],

@@ -27,14 +27,17 @@ _ASIDE_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebars?|footers?|headers?|masthead|"
     r"cookies?|consent|notices?|popups?|modals?|newsletter|subscri\w+|comments?|disqus|replies|respond|related|recommend\w*|"
     r"share|sharing|social|widgets?|login|signup|search|pagination|pager|complementary|contentinfo|alert)(?:$|[^a-z])")
+# Words in class, id or role of an article element that is a reader's remark.
+_REMARK_WORDS = re.compile(r"(?:^|[^a-z])(?:comments?|disqus|repl(?:y|ies)|respond)(?:$|[^a-z])")
 _SPACE = re.compile(r"\s+")
+MAIN_WEIGHT = 8
 
 
 class Lines(HTMLParser):
     """Turns parser events into lines: the text of one block, its tags, and the container that it stands in.
 
-    What is inside a skipped element never becomes text. ``weight`` of a line is 0 for no main text, 4 inside an article
-    or main element, else 1.
+    What is inside a skipped element, or an article that is a reader's remark, never becomes text. ``weight`` of a line
+    is ``MAIN_WEIGHT`` inside an article or main element, else 1. ``articles`` has the containers of outermost articles.
     """
 
     def __init__(self):
@@ -42,6 +45,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, weight, container
         self.open: list[tuple[str, bool, int, int]] = []  # tag, skipped, weight, container
         self.parents = [-1]
+        self.articles: set[int] = set()
         self.text: list[str] = []
         self.tags = 0
 
@@ -72,13 +76,17 @@ class Lines(HTMLParser):
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         if not skipped and tag not in ("html", "body", "main", "article"):
             skipped = tag in SKIPPED or hidden or bool(named and _ASIDE_WORDS.search(named))
-            if skipped:
-                self.flush()
+        elif not skipped and tag == "article":
+            skipped = hidden or bool(named and _REMARK_WORDS.search(named))
+        if skipped:
+            self.flush()
         if tag in ("article", "main"):
-            weight = 4
+            weight = MAIN_WEIGHT
         if tag in CONTAINERS and not skipped:
             self.parents.append(container)
             container = len(self.parents) - 1
+            if tag == "article" and not any(name == "article" for name, *_ in self.open):
+                self.articles.add(container)
         self.open.append((tag, skipped, weight, container))
 
     def _end_implied(self, tag):
@@ -125,10 +133,11 @@ def smoothed(values: list[float], sigma: float) -> list[float]:
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """Text of the content regions of a page, one line per block.
 
-    Lines get their text-to-tag ratio, weighted by where they stand, smoothed along the page. Lines above half a
-    standard deviation over zero form clusters by the container they stand in; the cluster with the largest total, its
-    outermost article if it is in one, is the content region, and further articles with lines above the threshold are
-    kept too. All lines of a region stay, short ones as well.
+    Lines get their text-to-tag ratio, smoothed along the page, weighted by where they stand. Lines above half a
+    standard deviation over zero form clusters: by outermost article, in main outside of articles, and elsewhere. If
+    articles and main together outweigh the heaviest cluster elsewhere, what lies elsewhere goes, else they do. Of the
+    clusters left those with a tenth of the largest total are regions: an article as a whole, of the others the
+    deepest container with nine tenths of the total. All lines of a region stay, short ones as well.
     """
     if not html:
         return ""
@@ -139,32 +148,42 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = [weight * len(text) / max(1, tags) for text, tags, weight, _ in lines]
-    smooth = smoothed(ratios, sigma)
-    mean = sum(smooth) / len(smooth)
-    threshold = 0.5 * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    main = any(weight > 1 for _, _, weight, _ in lines)
+    parents = parser.parents
+
+    def path(container: int) -> list[int]:
+        """The container and those it lies in, without the page."""
+        out = []
+        while container > 0:
+            out.append(container)
+            container = parents[container]
+        return out
+
+    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines], sigma)
+    values = [ratio * weight for ratio, (_, _, weight, _) in zip(ratios, lines, strict=True)]
+    mean = sum(values) / len(values)
+    threshold = 0.5 * math.sqrt(sum((x - mean) ** 2 for x in values) / len(values))
+    # the cluster of a line: an article's container, -1 in main, 0 elsewhere
+    clusters = [next((c for c in path(at) if c in parser.articles), -1 if weight > 1 else 0) for _, _, weight, at in lines]
     totals: dict[int, float] = {}
-    for (_, _, weight, container), value in zip(lines, smooth, strict=True):
-        if value >= threshold and (weight > 1) == main:
-            # a region holds what lies in the containers inside it
-            while container > 0 and parser.parents[container] > 0:
-                totals[container] = totals.get(container, 0.0) + value
-                container = parser.parents[container]
-            totals[container] = totals.get(container, 0.0) + value
-    if not totals:  # flat pages: every line is as good as the next
-        return "\n".join(text for text, _, weight, _ in lines if (weight > 1) == main)
-    if main:
-        return "\n".join(text for text, _, weight, _ in lines if weight > 1)
-    best = max(totals.values())
-    region = max(c for c, v in totals.items() if v >= 0.9 * best)
-
-    def inside(container: int) -> bool:
-        while container > region:
-            container = parser.parents[container]
-        return container == region
-
-    return "\n".join(text for text, _, _, container in lines if inside(container))
+    inner: dict[tuple[int, int], float] = {}
+    for (_, _, _, container), cluster, value in zip(lines, clusters, values, strict=True):
+        if value >= threshold:
+            totals[cluster] = totals.get(cluster, 0.0) + value
+            for c in [*path(container), 0]:  # a region holds what lies in the containers inside it
+                inner[cluster, c] = inner.get((cluster, c), 0.0) + value
+    top = max((inner[0, c] for c in range(len(parents)) if (0, c) in inner and (c == 0 or parents[c] == 0)), default=0.0)
+    marked = sum(v for c, v in totals.items() if c)
+    totals = {c: v for c, v in totals.items() if (c != 0) == (marked >= top and marked > 0)}
+    least = 0.1 * max(totals.values())
+    regions = {}
+    for cluster, total in totals.items():
+        if total >= least:
+            regions[cluster] = cluster if cluster > 0 else max(c for k, c in inner if k == cluster and inner[k, c] >= 0.9 * total)
+
+    def stays(cluster: int, container: int) -> bool:
+        return cluster in regions and regions[cluster] in (*path(container), 0)
+
+    return "\n".join(text for (text, _, _, container), cluster in zip(lines, clusters, strict=True) if stays(cluster, container))
 
 
 def extract_text(pages: DataFrame, html: str = "html", column: str = "text") -> DataFrame:
