@@ -197,6 +197,26 @@ def test_html_articles_are_chosen_by_score():
     assert main_text(f"<body><div>{links}</div><div>{''.join(PROSE)}</div></body>") == WANTED
 
 
+def test_html_names_are_no_cut_offs():
+    body = "".join(PROSE)
+    for mark in ("class='content has-sidebar'", "id='header-content'", "class='no-search'", "class='related'"):
+        assert main_text(f"<body><div {mark}><article>{body}</article></div></body>") == WANTED
+        assert main_text(f"<body><div {mark}>{body}</div></body>") == WANTED
+    slugs = f"<h2 id='related-work'>Related work</h2><section id='search'>{body}</section><p id='comments'>Last.</p>"
+    assert main_text(f"<article>{slugs}</article>") == f"Related work\n{WANTED}\nLast."
+    assert main_text(f"<body><div class='ad'>Buy<article>{body}</article></body>") == WANTED
+    aside = f"<div class='comments'>{PROSE[0]}</div>"
+    assert main_text(f"<article>{body}{aside}<nav>{PROSE[0]}</nav></article>{aside}") == WANTED
+    assert main_text("<article><p>Some words <span class='ad'>buy</span></p><p>and more.</p></article>") == "Some words\nand more."
+    parts = f"<div><h1>Title</h1></div><div><p>A lead of one line.</p></div><div>{body}</div><div><p>The last words.</p></div>"
+    whole = f"Title\nA lead of one line.\n{WANTED}\nThe last words."
+    links = "".join(f"<div><a href='/{n}'>Page {n}</a></div>" for n in range(5))
+    assert main_text(f"<body>{links}{parts}<div class='footer'>{links}</div></body>") == whole
+    assert main_text(f"<body><main><div>{parts}</div></main>{links}</body>") == whole
+    assert main_text(f"<body><form>{links}{parts}</form></body>") == whole
+    assert main_text(f"<main><h1>Title</h1><article>{body}</article></main>") == f"Title\n{WANTED}"
+
+
 def test_urls(spark):
     rows = spark.createDataFrame(
         [(1, None), (2, "no scheme"), (3, "http://A.NET"), (4, "http://a.net/x?y"), (5, "http://x.example.net/en/1#z"), (6, "http://freecasino.example.com/en/"), (7, "http://gardenbook.example.com/en/1")],

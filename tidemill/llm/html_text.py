@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,54 +16,82 @@ from tidemill.llm.helpers import map_batches, plus, quoted
 
 # Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset((
-    "script style noscript template svg math iframe object canvas video audio map select textarea button head title nav"
-    " header footer aside form dialog menu").split())
+SKIPPED = frozenset("script style noscript template svg math iframe object canvas video audio map select textarea button head title".split())
+ASIDE = frozenset("nav header footer aside form dialog menu".split())
+# No page is in one of these as a whole, however long it is.
+NEVER_PAGE = frozenset("nav footer menu dialog".split())
 INLINE = frozenset((
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span"
     " strike strong sub sup time tt u var wbr").split())
 CONTAINERS = frozenset("article main section div body html td table".split())
 # Words in class, id or role that mark what is no main text.
 _ASIDE_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebars?|footers?|headers?|masthead|"
+    r"(?<!has-)(?<!no-)(?<!with-)(?<!without-)(?<![a-z])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebars?|footers?|headers?|masthead|"
     r"cookies?|consent|notices?|popups?|modals?|newsletter|subscri\w+|comments?|disqus|replies|respond|related|recommend\w*|"
     r"share|sharing|social|widgets?|login|signup|search|pagination|pager|complementary|contentinfo|alert)(?:$|[^a-z])")
 # Words in class, id or role of an article element that is a reader's remark.
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+# The id of these is an anchor, not a role; that of a section only inside article or main.
+_ANCHORED = _PROSE | {"li", "dt", "dd"}
 _REMARK_WORDS = re.compile(r"(?:^|[^a-z])(?:comments?|disqus|repl(?:y|ies)|respond)(?:$|[^a-z])")
 _SPACE = re.compile(r"\s+")
 MAIN_WEIGHT = 8
+DOUBT_WEIGHT = 0.25
+
+
+class Line(NamedTuple):
+    """A block's text, its tags, whether it stands in article or main, and its container, aside and element."""
+
+    text: str
+    plain: int  # characters outside of links
+    tags: int
+    main: bool
+    container: int
+    aside: int
+    element: str
+
+
+class Aside:
+    """An element that by its tag or its name is no main text, which its content can refute."""
+
+    def __init__(self, parent: int, page: bool, remarks: bool):
+        self.parent, self.page, self.remarks = parent, page, remarks
+        self.plain = self.main = 0
+        self.article = self.unclosed = False
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines: the text of one block, its tags, and the container that it stands in.
+    """Turns parser events into lines: the text of one block, its tags, and where it stands.
 
-    What is inside a skipped element, or an article that is a reader's remark, never becomes text. ``weight`` of a line
-    is ``MAIN_WEIGHT`` inside an article or main element, else 1. ``articles`` has the containers of outermost articles.
+    What is inside an element of ``SKIPPED`` never becomes text. ``articles`` has for each container that of the
+    outermost article around it, or 0. ``asides`` are the marked elements; number 0 stands for none.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, weight, container
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, skipped, weight, container
+        self.lines: list[Line] = []
+        self.open: list[tuple[str, bool, bool, int, int, int]] = []  # tag, skipped, main, container, aside, own aside
         self.parents = [-1]
-        self.articles: set[int] = set()
+        self.articles = [0]
+        self.asides = [Aside(-1, False, False)]
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.links = self.linked = 0
 
-    def _state(self) -> tuple[bool, int, int]:
-        return self.open[-1][1:] if self.open else (False, 1, 0)
+    def _state(self) -> tuple[bool, bool, int, int]:
+        return self.open[-1][1:5] if self.open else (False, False, 0, 0)
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            _, weight, container = self._state()
-            self.lines.append((text, self.tags, weight, container))
+            _, main, container, aside = self._state()
+            element = next((tag for tag, *_ in reversed(self.open) if tag not in INLINE), "")
+            self.lines.append(Line(text, max(0, len(text) - self.linked), self.tags, main, container, aside, element))
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        skipped, weight, container = self._state()
+        skipped, main, container, aside = self._state()
         if tag not in INLINE and not skipped:
             self.flush()
         if tag == "br":
@@ -71,30 +100,53 @@ class Lines(HTMLParser):
             return
         if tag == "p" or tag == "li":
             self._end_implied(tag)
-            skipped, weight, container = self._state()
-        named = " ".join(v for k, v in attrs if k in ("class", "id", "role", "aria-label") and v).lower().replace("_", "-")
-        hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        if not skipped and tag not in ("html", "body", "main", "article"):
-            skipped = tag in SKIPPED or hidden or bool(named and _ASIDE_WORDS.search(named))
-        elif not skipped and tag == "article":
-            skipped = hidden or bool(named and _REMARK_WORDS.search(named))
-        if skipped:
+            skipped, main, container, aside = self._state()
+        own = 0
+        if not skipped and tag in SKIPPED:
             self.flush()
-        if tag in ("article", "main"):
-            weight = MAIN_WEIGHT
+            skipped = True
+        if not skipped and tag not in ("html", "body", "main"):
+            named = " ".join(v for k, v in attrs if v and (
+                k in ("class", "role", "aria-label") or k == "id" and tag not in _ANCHORED and not (tag == "section" and main)))
+            named = named.lower().replace("_", "-")
+            hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+            remark = bool(named and _REMARK_WORDS.search(named))
+            word = remark if tag == "article" else bool(named and _ASIDE_WORDS.search(named))
+            if hidden or word or tag in ASIDE:
+                self.flush()
+                own = aside = len(self.asides)
+                self.asides.append(Aside(self._state()[3], tag not in NEVER_PAGE, remark))
+        if tag in ("article", "main") and not skipped:
+            main = True
+            if not (tag == "article" and own):  # a remark refutes nothing
+                self.asides[aside].article = True
         if tag in CONTAINERS and not skipped:
             self.parents.append(container)
+            around = self.articles[container]
             container = len(self.parents) - 1
-            if tag == "article" and not any(name == "article" for name, *_ in self.open):
-                self.articles.add(container)
-        self.open.append((tag, skipped, weight, container))
+            self.articles.append(around or (container if tag == "article" else 0))
+        self.links += tag == "a"
+        self.open.append((tag, skipped, main, container, aside, own))
+
+    def _close(self, at: int, implied: bool = False) -> None:
+        """The elements from ``at`` on end, all but the first without an end tag of their own."""
+        for n, (tag, *_, own) in enumerate(self.open[at:]):
+            self.links -= tag == "a"
+            if own and (n or implied) and tag == "div":
+                self.asides[own].unclosed = True
+        del self.open[at:]
+
+    def close(self):
+        super().close()
+        self.flush()
+        self._close(0, True)
 
     def _end_implied(self, tag):
         """A new p or li ends an open one, with the inline elements left open in it."""
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == tag:
-                del self.open[i:]
+                self._close(i)
                 return
             if name not in INLINE and name != "p":
                 return
@@ -110,12 +162,42 @@ class Lines(HTMLParser):
             self.flush()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
+                if any(own for *_, own in self.open[i:]):
+                    self.flush()
+                self._close(i)
                 break
 
     def handle_data(self, data):
         if not self._state()[0]:
             self.text.append(data)
+            self.linked += len(data) if self.links else 0
+
+    def trust(self) -> list[float]:
+        """Weight of what stands in each aside: 0, or if it holds an article or never ends ``DOUBT_WEIGHT``, or 1.
+
+        The weight is 1 if it has over half (readers' remarks: nine tenths) of the text outside of links, of the page
+        or of what stands in article or main, unless it is of a kind that no page is in.
+        """
+        page, main = 0, 0
+        for line in self.lines:
+            page += line.plain
+            main += line.plain if line.main else 0
+            self.asides[line.aside].plain += line.plain
+            self.asides[line.aside].main += line.plain if line.main else 0
+        for aside in reversed(self.asides[1:]):  # those inside come later
+            around = self.asides[aside.parent]
+            around.plain += aside.plain
+            around.main += aside.main
+            around.article |= aside.article and not aside.remarks
+        out = [1.0]
+        for aside in self.asides[1:]:
+            least = 0.9 if aside.remarks else 0.5
+            if aside.page and (aside.plain > least * page or aside.main > least * main):
+                own = 1.0
+            else:
+                own = DOUBT_WEIGHT if aside.article or aside.unclosed else 0.0
+            out.append(own * out[aside.parent])
+        return out
 
 
 def smoothed(values: list[float], sigma: float) -> list[float]:
@@ -137,53 +219,66 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     standard deviation over zero form clusters: by outermost article, in main outside of articles, and elsewhere. If
     articles and main together outweigh the heaviest cluster elsewhere, what lies elsewhere goes, else they do. Of the
     clusters left those with a tenth of the largest total are regions: an article as a whole, of the others the
-    deepest container with nine tenths of the total. All lines of a region stay, short ones as well.
+    deepest container with nine tenths of the total. All lines of a region stay, short ones as well, and it grows over
+    the neighbouring lines (outside of articles) that are a h1, above the threshold by themselves, or prose above it.
     """
     if not html:
         return ""
     parser = Lines()
     parser.feed(html)
     parser.close()
-    parser.flush()
-    lines = parser.lines
+    trust = parser.trust()
+    parents, articles = parser.parents, parser.articles
+    lines = [line for line in parser.lines if trust[line.aside] > 0]
     if not lines:
         return ""
-    parents = parser.parents
-
-    def path(container: int) -> list[int]:
-        """The container and those it lies in, without the page."""
-        out = []
-        while container > 0:
-            out.append(container)
-            container = parents[container]
-        return out
-
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines], sigma)
-    values = [ratio * weight for ratio, (_, _, weight, _) in zip(ratios, lines, strict=True)]
+    reach = max(1, math.ceil(3 * sigma))
+    ratios = [len(line.text) / max(1, line.tags) for line in lines]
+    weights = [(MAIN_WEIGHT if line.main else 1) * trust[line.aside] for line in lines]
+    values = [ratio * weight for ratio, weight in zip(smoothed(ratios, sigma), weights, strict=True)]
     mean = sum(values) / len(values)
     threshold = 0.5 * math.sqrt(sum((x - mean) ** 2 for x in values) / len(values))
     # the cluster of a line: an article's container, -1 in main, 0 elsewhere
-    clusters = [next((c for c in path(at) if c in parser.articles), -1 if weight > 1 else 0) for _, _, weight, at in lines]
+    clusters = [articles[line.container] or (-1 if line.main else 0) for line in lines]
     totals: dict[int, float] = {}
-    inner: dict[tuple[int, int], float] = {}
-    for (_, _, _, container), cluster, value in zip(lines, clusters, values, strict=True):
-        if value >= threshold:
-            totals[cluster] = totals.get(cluster, 0.0) + value
-            for c in [*path(container), 0]:  # a region holds what lies in the containers inside it
-                inner[cluster, c] = inner.get((cluster, c), 0.0) + value
-    top = max((inner[0, c] for c in range(len(parents)) if (0, c) in inner and (c == 0 or parents[c] == 0)), default=0.0)
+    inner = {cluster: [0.0] * len(parents) for cluster in (-1, 0)}
+    for i, (line, cluster) in enumerate(zip(lines, clusters, strict=True)):
+        if values[i] >= threshold:
+            totals[cluster] = totals.get(cluster, 0.0) + values[i]
+            if cluster <= 0:  # by its own ratio: what neighbours lend would tie a region to its surroundings
+                inner[cluster][line.container] += ratios[i] * weights[i]
+    for sums in inner.values():
+        for c in range(len(parents) - 1, 0, -1):  # a region holds what lies in the containers inside it
+            sums[parents[c]] += sums[c]
+    elsewhere = totals.get(0, 0.0)
     marked = sum(v for c, v in totals.items() if c)
-    totals = {c: v for c, v in totals.items() if (c != 0) == (marked >= top and marked > 0)}
+    totals = {c: v for c, v in totals.items() if (c != 0) == (marked >= elsewhere and marked > 0)}
     least = 0.1 * max(totals.values())
-    regions = {}
-    for cluster, total in totals.items():
-        if total >= least:
-            regions[cluster] = cluster if cluster > 0 else max(c for k, c in inner if k == cluster and inner[k, c] >= 0.9 * total)
-
-    def stays(cluster: int, container: int) -> bool:
-        return cluster in regions and regions[cluster] in (*path(container), 0)
-
-    return "\n".join(text for (text, _, _, container), cluster in zip(lines, clusters, strict=True) if stays(cluster, container))
+    kept = [cluster > 0 and totals.get(cluster, -1.0) >= least for cluster in clusters]
+    for cluster in (-1, 0):
+        if totals.get(cluster, -1.0) < least:
+            continue
+        region = max(c for c, v in enumerate(inner[cluster]) if v >= 0.9 * inner[cluster][0])
+        inside = [c == region for c in range(len(parents))]
+        for c in range(1, len(parents)):
+            inside[c] |= inside[parents[c]]
+        for i, line in enumerate(lines):
+            kept[i] |= clusters[i] == cluster and inside[line.container]
+    beside = 0 if 0 in totals else -1
+    near = [i for i, cluster in enumerate(clusters) if kept[i] or cluster == beside]
+    good = [
+        lines[i].element == "h1" or ratios[i] * weights[i] >= threshold or values[i] >= threshold and lines[i].element in _PROSE
+        for i in near]
+    for order in (range(len(near)), range(len(near) - 1, -1, -1)):
+        last = None  # place of the nearest kept line on the way
+        for n in order:
+            if kept[near[n]]:
+                last = n
+            elif last is not None and good[n] and abs(n - last) <= reach:
+                for k in range(min(n, last), max(n, last) + 1):
+                    kept[near[k]] = True
+                last = n
+    return "\n".join(line.text for line, stays in zip(lines, kept, strict=True) if stays)
 
 
 def extract_text(pages: DataFrame, html: str = "html", column: str = "text") -> DataFrame:
