@@ -1,6 +1,7 @@
 """Operators of the package on small rows: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from tidemill.llm.jaccard import Bands, keep_one, similar_groups
 from tidemill.llm.licenses import scan_licenses
 from tidemill.llm.line_dedup import dedup_lines
 from tidemill.llm.mixing import balanced_copies, flight, source_targets
-from tidemill.llm.quality import keep_good, score_quality, train
+from tidemill.llm.quality import MAX_ROWS, features, keep_good, score_quality, train
 from tidemill.llm.topk import top_k
 from tidemill.llm.url_filter import Unigrams, count_words, judge_urls
 
@@ -168,6 +169,41 @@ def test_components_of_a_path(spark):
     assert {r.node: r.root for r in components(links).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_quality_learns_from_every_unlabelled_row(spark):
+    texts = [f"Some plain words in line {n} of a text." for n in range(40)] + [f"buy {n} $$$ !!! now" for n in range(160)] + ["|@|@|@|", None]
+    d = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(0, 200, 2)], "doc_id bigint, quality int, toxic int")
+    known = [i for i in range(0, 40, 2) if zlib.crc32(str(i).encode()) % 5]
+    model = train(d, labels, max_rows=len(known))
+    x = np.stack([features(t.encode() if t else None) for t in texts])
+    every = np.concatenate([x, x[known]])
+    assert np.allclose(model.mean, every.mean(0), atol=1e-6) and np.allclose(model.scale, np.maximum(every.std(0), 1e-3), atol=1e-5)
+    assert np.allclose(model.weights, dense_weights(x[known], x, model.prior), atol=2e-3)
+    assert model.scores(x[:40]).min() > model.scores(x[40:200]).max() and MAX_ROWS == 8000
+    far = model.mean + 1e6 * model.scale
+    assert np.isclose(model.scores(far[None])[0], 1 / (1 + np.exp(-np.clip(8 * model.weights.sum() + model.bias, -30, 30))))
+
+
+def dense_weights(p, u, prior):
+    """The same risk and steps on whole matrices."""
+    every = np.concatenate([p, u]).astype(np.float64)
+    mean, scale = every.mean(0), np.maximum(every.std(0), 1e-3)
+    p, u = (np.append(np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1)), 1) for x in (p, u))
+    w, first, second = np.zeros(p.shape[1]), 0, 0
+    for t in range(1, 301):
+        zp, zu = p @ w, u @ w
+        gp, gu = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+        step = u.T @ gu / len(u) - prior * (p.T @ gp) / len(p)
+        if np.logaddexp(0, zu).mean() < prior * np.logaddexp(0, zp).mean():
+            step = -step
+        else:
+            step += prior * (p.T @ (gp - 1)) / len(p)
+        step[:-1] += 1e-3 * w[:-1]
+        first, second = 0.9 * first + 0.1 * step, 0.999 * second + 0.001 * step**2
+        w = w - 0.02 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    return w[:-1]
+
+
 def test_html_cases(spark):
     assert main_text(None) == "" and main_text("<p></p>") == "" and main_text("plain &amp; text") == "plain & text"
     page = ("<body><header><h1>Site</h1></header><div class='cookie-notice'>We use cookies on this site, please accept all of them</div>"
