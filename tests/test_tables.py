@@ -344,3 +344,25 @@ def test_kafka_options():
     got = sync.kafka_options({"bootstrap_servers": ["a:1", "b:2"], "topic": "t", "security_protocol": "SASL_SSL"})
     assert got == {"kafka.bootstrap.servers": "a:1,b:2", "subscribe": "t", "startingOffsets": "earliest",
                    "kafka.security.protocol": "SASL_SSL"}
+
+
+def test_change_event_document_keeps_types_and_unknown_fields(spark):
+    kind = "operationType string, fullDocument struct<_id:bigint,n:int,tags:array<string>,kind:string>, documentKey struct<_id:bigint>, " \
+           "updateDescription struct<updatedFields:map<string,string>>, clusterTime timestamp"
+    log = spark.createDataFrame([
+        ("insert", (1, 5, ["a"], "k"), (1,), None, None), ("delete", None, (3,), None, None), ("drop", None, (4,), None, None),
+        ("update", None, (2,), ({"n": "7", "tags": '["b","c"]', "x": "new", "a.b": "deep"},), None),
+        ("update", None, (5,), ({"n": "seven", "kind": None},), None), ("update", None, (6,), ({"n": "8"},), None)], kind)
+    out = env.change_event_document(log)
+    assert out.schema["n"].dataType.simpleString() == "int" and out.schema["_id"].dataType.simpleString() == "bigint"
+    got = {r["_id"]: (r["n"], r["tags"], r["kind"], r["_updated_fields"]) for r in out.collect()}
+    assert got == {
+        1: (5, ["a"], "k", None), 3: (None, None, None, None), 2: (7, ["b", "c"], None, {"x": "new", "a.b": "deep"}),
+        5: (None, None, None, {"n": "seven", "kind": None}), 6: (8, None, None, None)}
+    mixed = log.selectExpr("operationType", "fullDocument", "documentKey", "clusterTime",
+                           "struct(parse_json('{\"n\":9,\"x\":[1]}')::map<string,variant> AS updatedFields) AS updateDescription")
+    row = env.change_event_document(mixed).where("_id = 6").selectExpr("n", "to_json(_updated_fields) AS rest").first()
+    assert tuple(row) == (9, '{"x":[1]}')
+    fields = mixed.selectExpr("operationType", "fullDocument", "documentKey", "clusterTime", "struct(struct(4 AS n, true AS y) AS updatedFields) AS updateDescription")
+    row = env.change_event_document(fields).where("_id = 6").selectExpr("n", "to_json(_updated_fields) AS rest").first()
+    assert tuple(row) == (4, '{"y":true}')

@@ -149,23 +149,34 @@ def value_size(t: Tables):
     return df.select("doc_id", env.value_size(F.col("text")).alias("size"), env.value_size(F.col("n_chars")).alias("number_size"))
 
 
-@query("change_event_document", """SELECT user_id::VARCHAR AS _id,
- CASE WHEN event_type IN ('signup', 'purchase') THEN event_type WHEN event_type = 'click' THEN 'clicked' END AS kind,
- CASE WHEN event_type IN ('signup', 'purchase') THEN event_id::VARCHAR END AS ref,
- CASE event_type WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'replace' WHEN 'click' THEN 'update' ELSE 'delete' END AS _change_operation,
- ts AS _change_timestamp FROM events WHERE event_type <> 'view'""")
-def change_event_document(t: Tables):
+def _document_log(t: Tables):
     kind = F.col("event_type")
     op = (F.when(kind == "signup", "insert").when(kind == "purchase", "replace").when(kind == "click", "update")
           .when(kind == "view", "invalidate").otherwise("delete"))
-    log = t.events.select(
+    return t.events.select(
         op.alias("operationType"),
         F.struct(F.col("user_id").alias("_id"), kind.alias("kind"), F.col("event_id").alias("ref")).alias("fullDocument"),
         F.struct(F.col("user_id").alias("_id")).alias("documentKey"),
-        F.struct(F.create_map(F.lit("kind"), F.lit("clicked")).alias("updatedFields")).alias("updateDescription"),
+        F.struct(F.create_map(F.lit("kind"), F.lit("clicked"), F.lit("note"), F.lit("new")).alias("updatedFields")).alias("updateDescription"),
         F.col("ts").alias("clusterTime"),
     )
-    return env.change_event_document(log)
+
+
+@query("change_event_document", """SELECT user_id::VARCHAR AS _id,
+ CASE WHEN event_type IN ('signup', 'purchase') THEN event_type WHEN event_type = 'click' THEN 'clicked' END AS kind,
+ CASE WHEN event_type IN ('signup', 'purchase') THEN event_id::VARCHAR END AS ref,
+ CASE event_type WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'replace' WHEN 'click' THEN 'update' ELSE 'delete' END AS _change_operation,
+ ts AS _change_timestamp FROM events WHERE event_type <> 'view'""")
+def change_event_document(t: Tables):
+    rows = env.change_event_document(_document_log(t))
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("_id", "ref")}).drop("_updated_fields")  # the SQL has texts
+
+
+@query("change_event_document_fields", """SELECT user_id AS _id, CASE WHEN event_type = 'click' THEN 'new' END AS note,
+ CASE WHEN event_type IN ('signup', 'purchase') THEN event_id END AS ref, ts AS _change_timestamp FROM events WHERE event_type <> 'view'""")
+def change_event_document_fields(t: Tables):
+    rows = env.change_event_document(_document_log(t))
+    return rows.select("_id", F.col("_updated_fields")["note"].alias("note"), "ref", "_change_timestamp")
 
 
 @query("change_event_rows", """SELECT user_id AS id, CASE WHEN event_type = 'click' THEN value * 2 ELSE value END AS amount,

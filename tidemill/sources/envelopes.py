@@ -168,23 +168,49 @@ def explode_zset(df: DataFrame, value: str = "value") -> DataFrame:
     return out.withColumns({"type": F.lit("zset"), "size": value_size(F.col("value"))})
 
 
-def change_event_document(df: DataFrame, key: str = "_id") -> DataFrame:
+def _as_kind(value: Column, given: T.DataType, kind: T.DataType) -> Column:
+    """An updated value as the type of its document field, null where it does not fit."""
+    if given == kind:
+        return value
+    if isinstance(given, T.VariantType):
+        return F.try_variant_get(value, "$", kind.simpleString())
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return F.from_json(value.cast("string"), kind)
+    return value.try_cast(kind)
+
+
+def change_event_document(df: DataFrame, key: str = "_id", rest: str = "_updated_fields") -> DataFrame:
     """Document changes as rows: whole document, updated fields only, or key only; other kinds are dropped.
 
-    Input has operationType, fullDocument, documentKey, updateDescription.updatedFields (a map of texts)
-    and clusterTime; document fields are given as text.
+    Input has operationType, fullDocument, documentKey, updateDescription.updatedFields (a map of texts, variants or
+    other values, or a struct) and clusterTime. Fields keep the document's types, object ids become text. ``rest`` maps
+    the updated fields that no column shows: names the document lacks, values of other type, and fields set to null.
     """
     doc = df.schema["fullDocument"].dataType
     op = F.col("operationType")
     updated = F.col("updateDescription").getField("updatedFields")
-    fields = [f for f in doc.fieldNames() if f != key]
-    columns = [
-        F.when(op.isin(*WHOLE_DOCUMENT_OPS), F.col("fullDocument").getField(f).cast("string"))
-        .when(op == "update", updated[f].cast("string")).alias(f)
-        for f in fields
-    ]
+    changes = df.schema["updateDescription"].dataType["updatedFields"].dataType
+    if isinstance(changes, T.StructType):
+        changes = T.MapType(T.StringType(), T.VariantType())
+        updated = F.from_json(F.to_json(updated), changes)
+    columns, shown = [], [F.lit(None).cast("string")]
+    for field in doc.fields:
+        if field.name == key:
+            continue
+        f, kind, value = field.name, field.dataType, updated[field.name]
+        if isinstance(kind, T.BinaryType) and not isinstance(changes.valueType, T.BinaryType):
+            value = _as_kind(value, changes.valueType, T.StringType())  # an id, given as text
+        else:
+            value = _stringify(_as_kind(value, changes.valueType, kind), kind)[0]
+        whole = _stringify(F.col("fullDocument").getField(f), kind)[0]
+        columns.append(F.when(op.isin(*WHOLE_DOCUMENT_OPS), whole).when(op == "update", value).alias(f))
+        shown.append(F.when(value.isNotNull(), F.lit(f)))
+    names = F.filter(F.array(*shown), lambda name: name.isNotNull())
+    hidden = F.map_filter(updated, lambda name, _: ~F.array_contains(names, name))
+    object_key = next(f.dataType for f in df.schema["documentKey"].dataType.fields if f.name == key)
     return df.filter(op.isin(*WHOLE_DOCUMENT_OPS, "update", "delete")).select(
-        F.col("documentKey").getField(key).cast("string").alias(key), *columns,
+        _stringify(F.col("documentKey").getField(key), object_key)[0].alias(key), *columns,
+        F.when((op == "update") & (F.size(hidden) > 0), hidden).alias(rest),
         op.alias("_change_operation"), F.col("clusterTime").alias("_change_timestamp"),
     )
 
