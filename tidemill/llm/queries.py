@@ -14,6 +14,8 @@ from tidemill.llm.licenses import scan_licenses
 from tidemill.llm.line_dedup import dedup_lines
 from tidemill.llm.mixing import balanced_copies
 from tidemill.llm.quality import THRESHOLD, held_out, score_quality, train
+from tidemill.llm.resampling import resample
+from tidemill.llm.spelling import spelling_groups
 from tidemill.llm.topk import top_k
 from tidemill.llm.url_filter import judge_urls
 
@@ -89,9 +91,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_quality_classifier, op3_decontamination, op4_jaccard_join, op5_html_extraction, op6_url_filter,
-    op7_line_dedup, op8_license_scan, op9_top_k, op10_mixing)}
+    op7_line_dedup, op8_license_scan, op9_top_k, op10_mixing, op11_importance_resampling, op13_spelling_variants)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MARKED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -102,6 +112,18 @@ def _words(text: str, pattern: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
 
 
+#: The crc32 ``crc`` of each ``s`` of ``strings``, byte by byte; its table of 256 values follows from the polynomial.
+_CRC = """
+bits(i, v, k) AS (
+  SELECT range, range::UBIGINT, 0 FROM range(256)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+bytes(s, h, n, c) AS (
+  SELECT s, hex(encode(s)), 0, 4294967295::UBIGINT FROM strings
+  UNION ALL SELECT s, h, n + 1, xor(c >> 8, t[1 + (xor(c, ('0x' || substr(h, 2 * n + 1, 2))::UBIGINT) & 255)::INT])
+  FROM bytes, crc_table WHERE 2 * n < length(h)),
+crcs AS (SELECT s, xor(c, 4294967295::UBIGINT) AS crc FROM bytes WHERE 2 * n = length(h))"""
+
 ORACLES = {
     "op1_chat_format": f"""
 WITH t AS (
@@ -159,4 +181,52 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_importance_resampling": f"""
+WITH RECURSIVE d AS (
+  SELECT 'S' AS side, row_number() OVER () AS row, doc_id, {_words('text', _MARKED)} AS w FROM documents
+  UNION ALL SELECT 'T', 0, NULL, {_words('text', _MARKED)} FROM benchmark),
+p AS (SELECT side, row, w, unnest(range(1, len(w) + 1)) AS o FROM d),
+f AS (SELECT side, row, array_to_string(w[o:o + k - 1], ' ') AS s FROM p, range(1, 4) AS r(k) WHERE o + k - 1 <= len(w)),
+strings AS (SELECT DISTINCT s FROM f),{_CRC},
+b AS (SELECT side, row, crc % 10000 AS bucket FROM f JOIN crcs USING (s)),
+n AS (
+  SELECT bucket, count(*) FILTER (side = 'S') AS s, count(*) FILTER (side = 'T') AS t,
+    sum(count(*) FILTER (side = 'S')) OVER () AS all_s, sum(count(*) FILTER (side = 'T')) OVER () AS all_t
+  FROM b GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+weights AS (SELECT row, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM b JOIN g USING (bucket) WHERE side = 'S' GROUP BY row),
+scored AS (
+  SELECT row, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (row) WHERE side = 'S'),
+ranked AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, 5 * count(*) OVER () // 100 AS drawn
+  FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN ranked USING (row)""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), '{_UPPER}', '{_LOWER}') AS run FROM documents),
+u AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS n FROM r GROUP BY ALL),
+strings AS (SELECT DISTINCT s FROM u),{_CRC},
+v AS (
+  SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, (crc % length(run))::BIGINT) || substr(run, (crc % length(run))::BIGINT + 2) ELSE run END AS word, n
+  FROM u JOIN crcs USING (s)),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (
+  SELECT word, n, o, substr(word, 1, o - 1) || substr(word, o + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS o FROM words)),
+shorter AS (SELECT DISTINCT word, n, rest FROM less),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.o = b.o AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION ALL SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min({{'less': -n, 'near': near}}) AS top FROM pairs GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 2 * n THEN top.near END AS form, CASE WHEN -top.less >= 2 * n THEN -top.less END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain(word, o) AS (
+  SELECT word, form FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.o WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.o AS root FROM chain c JOIN formed f ON f.word = c.o WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN ends USING (word)""",
 }
