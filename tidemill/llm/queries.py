@@ -10,6 +10,7 @@ from tidemill.llm.decontaminate import find_items
 from tidemill.llm.helpers import table
 from tidemill.llm.html_text import extract_text
 from tidemill.llm.jaccard import similar_groups
+from tidemill.llm.katz import language_scores
 from tidemill.llm.licenses import scan_licenses
 from tidemill.llm.line_dedup import dedup_lines
 from tidemill.llm.mixing import balanced_copies
@@ -95,13 +96,18 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_quality_classifier, op3_decontamination, op4_jaccard_join, op5_html_extraction, op6_url_filter,
-    op7_line_dedup, op8_license_scan, op9_top_k, op10_mixing, op11_importance_resampling, op13_spelling_variants)}
+    op7_line_dedup, op8_license_scan, op9_top_k, op10_mixing, op11_importance_resampling, op12_lm_scoring,
+    op13_spelling_variants)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MARKED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
