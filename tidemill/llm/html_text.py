@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -76,6 +77,32 @@ class Lines(HTMLParser):
         self.asides = [Aside(-1, False, False)]
         self.text: list[str] = []
         self.tags = self.links = self.linked = 0
+        self.places: dict[str, list[int]] = {}  # places in open by tag
+        self.blocks: list[int] = []  # places in open of what is not inline
+        self.last_comment_end = 0
+
+    def read(self, html: str) -> None:
+        """The whole page; what follows the last ``>`` holds no tag, and no search for the end of one runs through it."""
+        end = html.rfind(">") + 1
+        self.last_comment_end = max(html.rfind("-->"), html.rfind("--!>"))
+        self.feed(html[:end])
+        super().close()
+        if end < len(html):
+            rest = html[end:]
+            self.handle_data(unescape(rest[:rest.find("<!--")] if "<!--" in rest else rest))
+        self.flush()
+        self._close(0, True)
+
+    def parse_comment(self, i, report=1):
+        """A comment that nothing ends runs to the end of the page."""
+        if self.last_comment_end < i + 2:
+            return len(self.rawdata)
+        return super().parse_comment(i, report)
+
+    def parse_marked_section(self, i, report=1):
+        """``<![ ... >`` is skipped, whatever it says."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else len(self.rawdata)
 
     def _state(self) -> tuple[bool, bool, int, int]:
         return self.open[-1][1:5] if self.open else (False, False, 0, 0)
@@ -84,7 +111,7 @@ class Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
             _, main, container, aside = self._state()
-            element = next((tag for tag, *_ in reversed(self.open) if tag not in INLINE), "")
+            element = self.open[self.blocks[-1]][0] if self.blocks else ""
             self.lines.append(Line(text, max(0, len(text) - self.linked), self.tags, main, container, aside, element))
             self.tags = 0
         self.text, self.linked = [], 0
@@ -126,6 +153,9 @@ class Lines(HTMLParser):
             container = len(self.parents) - 1
             self.articles.append(around or (container if tag == "article" else 0))
         self.links += tag == "a"
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
         self.open.append((tag, skipped, main, container, aside, own))
 
     def _close(self, at: int, implied: bool = False) -> None:
@@ -134,21 +164,19 @@ class Lines(HTMLParser):
             self.links -= tag == "a"
             if own and (n or implied) and tag == "div":
                 self.asides[own].unclosed = True
+            self.places[tag].pop()
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
         del self.open[at:]
 
-    def close(self):
-        super().close()
-        self.flush()
-        self._close(0, True)
-
     def _end_implied(self, tag):
         """A new p or li ends an open one, with the inline elements left open in it."""
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in reversed(self.blocks):  # never two p in a row
             name = self.open[i][0]
             if name == tag:
                 self._close(i)
                 return
-            if name not in INLINE and name != "p":
+            if name != "p":
                 return
 
     def handle_startendtag(self, tag, attrs):
@@ -160,12 +188,11 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag not in INLINE and not self._state()[0]:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if any(own for *_, own in self.open[i:]):
-                    self.flush()
-                self._close(i)
-                break
+        if self.places.get(tag):
+            at = self.places[tag][-1]
+            if any(own for *_, own in self.open[at:]):
+                self.flush()
+            self._close(at)
 
     def handle_data(self, data):
         if not self._state()[0]:
@@ -225,8 +252,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not html:
         return ""
     parser = Lines()
-    parser.feed(html)
-    parser.close()
+    parser.read(html)
     trust = parser.trust()
     parents, articles = parser.parents, parser.articles
     lines = [line for line in parser.lines if trust[line.aside] > 0]
