@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -16,6 +16,7 @@ from tidemill.session import scratch_path
 MIN_CHARS = 10
 BATCHES = 4
 RUNS_PER_LEVEL = 2
+_SAMPLE = 1000
 KEY = ["k1", "k2"]
 
 
@@ -53,6 +54,20 @@ class LevelledRuns:
         return self.spark.read.parquet(*paths) if paths else None
 
 
+def id_cuts(rows: DataFrame, batches: int) -> list[Column]:
+    """Ids that cut the rows into ``batches`` ranges of about the same size, as literals of the id's own type and order.
+
+    They come from 1,000 ids, those of the smallest hashes, so reruns agree.
+    """
+    if batches <= 1:
+        return []
+    kind = rows.schema["id"].dataType
+    sample = rows.where(F.col("id").isNotNull()).select("id").orderBy(F.xxhash64("id"), "id").limit(_SAMPLE)
+    ids = [r["id"] for r in sample.orderBy("id").collect()]
+    picked = [ids[i * len(ids) // batches] for i in range(1, batches)] if ids else []
+    return [F.lit(x).cast(kind) for i, x in enumerate(picked) if x not in picked[:i]]
+
+
 def repeated_lines(
     documents: DataFrame, id_column: str, text: str, min_chars: int = MIN_CHARS, batches: int = BATCHES,
     runs_per_level: int = RUNS_PER_LEVEL,
@@ -65,13 +80,10 @@ def repeated_lines(
     """
     spark = documents.sparkSession
     rows = documents.select(quoted(id_column).alias("id"), quoted(text).cast("binary").alias("text"))
-    cuts: list = []
-    if batches > 1:
-        shares = [i / batches for i in range(1, batches)]
-        cuts = sorted(set(rows.agg(F.percentile_approx(F.col("id").cast("double"), shares, 1000)).first()[0] or []))
+    cuts = id_cuts(rows, batches)
     batch = F.lit(0)
     for cut in cuts:
-        batch = batch + F.when(F.col("id").cast("double") > cut, 1).otherwise(0)
+        batch = batch + F.when(F.col("id") > cut, 1).otherwise(0)
     rows = rows.select("id", "text", F.coalesce(F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(batch), F.lit(len(cuts))).alias("batch"))
 
     def hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
