@@ -36,6 +36,7 @@ _PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 _ANCHORED = _PROSE | {"li", "dt", "dd"}
 _REMARK_WORDS = re.compile(r"(?:^|[^a-z])(?:comments?|disqus|repl(?:y|ies)|respond)(?:$|[^a-z])")
 _SPACE = re.compile(r"\s+")
+_TAG_START = re.compile(r"<[!?/A-Za-z]")
 MAIN_WEIGHT = 8
 DOUBT_WEIGHT = 0.25
 
@@ -88,8 +89,7 @@ class Lines(HTMLParser):
         self.feed(html[:end])
         super().close()
         if end < len(html):
-            rest = html[end:]
-            self.handle_data(unescape(rest[:rest.find("<!--")] if "<!--" in rest else rest))
+            self.handle_data(unescape(_TAG_START.split(html[end:], maxsplit=1)[0]))  # a tag cut short is no text
         self.flush()
         self._close(0, True)
 
