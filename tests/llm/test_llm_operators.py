@@ -1,6 +1,7 @@
 """Operators of the package on small rows: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -149,19 +150,33 @@ def test_jaccard_against_brute_force(spark):
         assert got == {i: (len(sets[i]), root[i]) for i in range(len(texts))}
 
 
-def test_signatures_meet():
-    luck = np.random.default_rng(1)
-    bands = Bands(8, 10, 3000)
-    for n in (5, 9, 17, 40, 90, 300, 1200):
-        one = np.unique(luck.integers(0, 2**63, n, dtype=np.uint64))
-        other = one.copy()
-        change = n // 9
-        if change:
-            other[:change] = luck.integers(0, 2**63, change, dtype=np.uint64)
-        other = np.unique(other)
-        both = set(bands.signatures(one).tolist()) & set(bands.signatures(other).tolist())
-        if change:
-            assert sum(1 + (x & 1) for x in both) >= 2
+@pytest.mark.parametrize("num", [8, 9])
+def test_signatures_meet(num):
+    """Sets at the limit of similarity meet twice, or once in an elastic band: by replaced, added and lost elements."""
+    luck = np.random.default_rng(num)
+    bands = Bands(num, 10, 9000)
+    for n in [*range(1, 60), 75, 90, 130, 189, 190, 240, 300, 420, 700, 1121, 1200, 3400, 4300, 6600]:
+        for trial in range(40 if n < 500 else 3):
+            one = np.unique(luck.integers(0, 2**63, n, dtype=np.uint64))
+            most = n * (10 - num) // num  # lost elements, or added ones
+            half = n * (10 - num) // (10 + num)  # replaced ones
+            k = int(luck.integers(0, half + 1)) if trial % 4 == 3 else half
+            other = {0: one[:n - n * (10 - num) // 10], 1: np.append(one, luck.integers(0, 2**63, most, dtype=np.uint64))}.get(
+                trial % 4, np.append(one[k:], luck.integers(0, 2**63, k, dtype=np.uint64)))
+            other = np.unique(other)
+            common = len(np.intersect1d(one, other))
+            if 10 * common < num * (len(one) + len(other) - common) or len(one) == len(other) == common:
+                continue
+            both = set(bands.signatures(one).tolist()) & set(bands.signatures(other).tolist())
+            assert sum(1 + (x & 1) for x in both) >= 2, (n, trial)
+
+
+def test_unlike_sets_rarely_meet():
+    """Nearly empty segments make no candidates of long sets."""
+    luck = np.random.default_rng(5)
+    bands = Bands(8, 10, 20000)
+    sets = [set(bands.signatures(np.unique(luck.integers(0, 2**63, n, dtype=np.uint64))).tolist()) for n in luck.integers(1200, 9000, 120)]
+    assert sum(len(a & b) for i, a in enumerate(sets) for b in sets[:i]) <= 5
 
 
 def test_components_of_a_path(spark):
@@ -272,19 +287,54 @@ def test_licence_chains(spark):
     assert got[1][0] == ["mit"] and 0.6 <= got[1][2] < 1 and got[2] == ([], [], 0.0) and got[3][1] == ["cc-by-nc"] and got[3][2] == 1.0
 
 
-def test_top_k_against_brute_force(spark):
+@pytest.mark.parametrize("block_rows", [30, 1000])
+def test_top_k_against_brute_force(spark, block_rows):
+    """Rows that repeat an id are candidates, also for a query of this id; only the query's own row is not."""
     luck = np.random.default_rng(2)
-    vectors = [(i, [float(x) for x in luck.normal(size=6).round(1)]) for i in range(120)] + [(200, None), (201, [float("nan")] * 6), (None, [1.0] * 6), (7, [9.0] * 6)]
-    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
-    whole = {}
-    for i, v in vectors:
-        if i is not None and v and v[0] == v[0]:
-            ints = [int(np.floor(x * 256)) for x in v]
-            whole[i] = min(ints, whole.get(i, ints))
-    got = top_k(df, df.where("vec_id % 10 = 0"), 5, block_rows=30, query_rows=5).collect()
-    for asked in [i for i in whole if i % 10 == 0]:
-        wanted = sorted((-sum(a * b for a, b in zip(whole[asked], v, strict=True)), i) for i, v in whole.items() if i != asked)[:5]
-        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == asked), key=lambda r: r.rank)] == wanted
+    vectors = [(i, [float(x) for x in luck.normal(size=6).round(1)]) for i in range(120)] + [(200, None), (201, [float("nan")] * 6), (None, [1.0] * 6)]
+    vectors += [(7, [9.0] * 6), (10, [8.0] * 6), (10, [8.0] * 6), (20, [0.5] * 6), (30, [7.0, 1.0]), (40, [])] + [(50, [-3.0] * 6)] * 8
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").withColumns({"copies": F.lit("x"), "score": F.lit(None).cast("string")})
+    whole = [(i, [int(np.floor(x * 256)) for x in v]) for i, v in vectors if i is not None and v is not None and i != 201]
+    got = [r for r in top_k(df, df.where("vec_id % 10 = 0"), 5, block_rows=block_rows, query_rows=5).collect()]
+    wanted = []
+    for n, (asked, query) in enumerate(whole):
+        if asked % 10 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(query, v, strict=False)), i) for m, (i, v) in enumerate(whole) if m != n)[:5]
+            wanted += [(asked, rank, i, -score) for rank, (score, i) in enumerate(scores, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(wanted)
+
+
+def test_line_dedup_by_ids_of_any_type(spark):
+    """Text ids keep their own order, whole numbers are told apart above 2**53, null is the largest."""
+    lines = "a line that repeats\nown {} line of it"
+    for ids, kind in ((["b", "a", "10", "9", None], "string"), ([2**60 + 3, 2**60 + 1, 2**60 + 2, 2**60, None], "bigint"), ([0.5, float("nan"), -1.5, 2.0, None], "double")):
+        df = spark.createDataFrame([(i, lines.format(n)) for n, i in enumerate(ids)], f"doc_id {kind}, text string")
+        kept = {str(r.doc_id): r.n_dropped for r in dedup_lines(df).collect()}
+        first = {"string": "10", "bigint": str(2**60), "double": "-1.5"}[kind]
+        assert kept == {str(i): int(str(i) != first) for i in ids}
+
+
+@pytest.mark.parametrize("page", ["<p>a</p><![foo bar]]>", "<![CDATA[ x ]]><p>a</p>", "<![if !IE]><p>a</p><![endif]>", "<p>a</p><!-- never ended <p>b</p>", "<p>a</p><!DOCTYPE [<!ELEMENT"])
+def test_broken_markup_is_skipped(page):
+    assert main_text(page) == "a"
+
+
+def test_any_markup_has_a_text():
+    luck = random.Random(4)
+    parts = ["<", ">", "!", "[", "]", "--", "p", "/p", " a=", "'", '"', "&", "#x", "; ", "<![", "<!", "<?", "</", "<p>", "text ", "<b>", "<script>", "</script>", "<li>", "<div class=ad>", "\x00", "é"]
+    for _ in range(3000):
+        assert isinstance(main_text("".join(luck.choices(parts, k=luck.randint(1, 30)))), str)
+
+
+@pytest.mark.parametrize("form", ["<b>x|</i>", "<b>|<p>x</p>", "<!--|", "<p>a<!-- x > |", "|</b>", "<a b='|", "<ul><li>|", "<![x|>"])
+def test_odd_pages_take_linear_time(form):
+    one, two = form.split("|")
+    times = []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        main_text(one * n + two * n)
+        times.append(time.perf_counter() - start)
+    assert times[1] < 10 * times[0] + 0.3
 
 
 def test_flight_keeps_totals():
