@@ -68,13 +68,17 @@ def set_print(elements: np.ndarray) -> tuple[int, int]:
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes up to ``high`` and how their universe is cut: ``elastic`` segments are indexed with one-deletions."""
+    """Sizes up to ``high`` and how their universe is cut: ``elastic`` segments are indexed with one-deletions.
+
+    Sets with at most ``slack`` small segments leave keys that stand for fewer than ``least`` elements out of the index.
+    """
 
     number: int
     high: int
     segments: int
     elastic: bool
     slack: int
+    least: int
 
 
 class Bands:
@@ -96,25 +100,48 @@ class Bands:
     def _allocate(self, number: int, high: int) -> Band:
         """Exact segments or segments with one-deletions, whichever costs less.
 
-        The cost counts index rows plus chance meetings on small subsets. Exact segments may be empty by chance; an
-        agreement on such says nothing, so there are ``slack`` more segments than the argument needs, enough for all
-        but very few sets to leave their empty ones out of the index, and one more: two similar sets agree in at
-        least two indexed segments, so one chance meeting makes no candidate.
+        The cost counts index rows plus chance meetings on small subsets. An agreement on a subset that chance left
+        empty says nothing, so there are ``slack`` more segments than the argument needs, enough for all but very few
+        of the sets of the band, the smallest included, to leave such subsets out of the index:
+
+        * Exact segments: of ``d + 1 + slack`` segments at least ``slack + 1`` agree, one more than a set with fewer than
+          ``slack`` empty ones needs, and one more: two similar sets agree in at least two indexed segments, so one
+          chance meeting makes no candidate.
+        * Elastic segments: fewer than ``need`` of ``need + slack`` hold two or more differences, so at least ``slack + 1``
+          hold one at most. A set with at most ``slack`` small segments (``least`` elements or fewer) has a larger one
+          among them. There the other set has at least ``least`` elements, and so has the subset they share: the
+          equal ones, or the larger one less its extra element. Keys of fewer elements are left out.
+
+        Sets with more empty or small segments index all keys: two of these meet in any segment that agrees.
         """
-        d, middle = self.differences(high), max(1.0, high * self.num / self.den)
+        ratio = self.num / self.den
+        d, middle = self.differences(high), max(1.0, high * ratio)
         chance = lambda g, most: sum(math.exp(-g) * g**i / math.factorial(i) for i in range(most + 1))
-        need = -(-(d + 1) // 2)
-        elastic = need + middle + 5 * need * chance(middle / need, 3)
-        slack, exact = 0, math.inf
-        for slack in range(0, d + 2):
+        half = lambda d: -(-(d + 1) // 2)
+        sizes = [max(1.0, high * ratio**k) for k in (0, 0.5, 1, 1.5, 2, 2.5, 3)]  # from two bands below on
+
+        def least_slack(taken, most: int) -> int | None:
+            for slack in range(d + 2):
+                m = taken(d) + slack
+                small = [(taken(self.differences(int(s))) + slack) * chance(s / m, most) for s in sizes]
+                if max(x + 4 * math.sqrt(x) for x in small) + 1 <= slack:
+                    return slack
+            return None
+
+        slack, exact = least_slack(lambda d: d + 1, 0), math.inf
+        if slack is not None:
             m = d + 1 + slack
-            empty = m * chance(middle / m, 0)
-            if empty + 4 * math.sqrt(empty) + 1 <= slack:
-                exact = m + 5 * m * chance(middle / m, 2)
+            exact = m + 5 * m * chance(middle / m, 2)
+        need, spare, least = half(d), 0, 0
+        for most in (2, 1):
+            found = least_slack(half, most)
+            if found is not None and found <= need:
+                spare, least = found, most
                 break
-        if exact <= elastic:
-            return Band(number, high, d + 1 + slack, False, slack)
-        return Band(number, high, need, True, 0)
+        m = need + spare
+        if exact <= m + middle + 5 * m * chance(middle / m, 3):
+            return Band(number, high, d + 1 + slack, False, slack, 1)
+        return Band(number, high, m, True, spare, least)
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """Index keys of a set: those of its own band, and of the next if a similar set may lie there.
@@ -136,7 +163,7 @@ class Bands:
 
     def _in_band(self, elements: np.ndarray, band: Band) -> np.ndarray:
         d = self.differences(len(elements))
-        take = min(band.segments, -(-(d + 1) // 2) if band.elastic else d + 1 + band.slack)
+        take = min(band.segments, (-(-(d + 1) // 2) if band.elastic else d + 1) + band.slack)
         salt = np.uint64(pow(_ODD, 2 * band.number + 1, 1 << 64) | 1)
         place = ((elements * salt) >> np.uint64(32)) * np.uint64(band.segments) >> np.uint64(32)
         inside = place < take
@@ -152,11 +179,15 @@ class Bands:
                 tag = (segment + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + count.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
                 return mixed(mixed(total + salt) ^ tag)
 
-        out = [key(sums, segments, sizes)]
-        if band.elastic:
-            out.append(key(np.repeat(sums, sizes) - values, place, np.repeat(sizes, sizes) - 1))
         empty = take - len(starts)
-        if empty and (band.elastic or empty >= band.slack):
+        if band.elastic:
+            least = band.least if empty + int((sizes <= band.least).sum()) <= band.slack else 0
+            full, less = sizes >= least, np.repeat(sizes, sizes) > least
+            out = [key(sums[full], segments[full], sizes[full]),
+                   key((np.repeat(sums, sizes) - values)[less], place[less], np.repeat(sizes, sizes)[less] - 1)]
+        else:
+            least, out = int(empty < band.slack), [key(sums, segments, sizes)]
+        if empty and not least:
             missing = np.setdiff1d(np.arange(take, dtype=np.uint64), segments)
             out.append(key(np.zeros(len(missing), np.uint64), missing, np.zeros(len(missing), np.int64)))
         return np.concatenate(out)
