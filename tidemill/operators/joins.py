@@ -1,10 +1,11 @@
 """Equi-joins with dataframe null semantics, cross join, and join diagnostics.
 
 No side is broadcast by hand: the optimizer does that below its size threshold, at planning time or from
-runtime statistics. Skewed keys are split at run time, but only on the preserved side of an outer join and on
-neither side of a full join. So outer joins count the rows of the other side's most frequent key first; when a
-task could not hold them, the join is composed of an inner join, which splits both sides, and anti joins
-against distinct keys.
+runtime statistics. It splits skewed keys at run time, but only on the preserved side of an outer join and on
+neither side of a full join. So outer joins salt the frequent keys of the side that cannot be split. A bounded
+frequent-items summary of its keys, which the plan reads as a scalar subquery, names them. Rows of such a key are dealt
+out by a salt, the other side's rows of it are repeated once per salt, and what such a repeated row finds nothing for
+is dropped: as the key was seen on the salted side, some copy has a partner.
 """
 
 from __future__ import annotations
@@ -26,14 +27,59 @@ JOIN_TYPES = {
 }
 
 
-# Rows of one key that a single task may read from the side that cannot be split.
-HOT_KEY_ROWS = 5_000_000
+# Tasks that a frequent key is dealt out to.
+SALTS = 16
+# Fewer rows of a key than this are no burden for a task.
+HOT_KEY_ROWS = 1_000_000
 
 
-def hottest_key_rows(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the most frequent key."""
-    counts = df.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+# Key types whose text says exactly which keys are equal.
+_SALTABLE = (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
+
+
+def _common_types(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[T.DataType] | None:
+    """The types in which the keys of both sides are compared; None if one of them has no exact text."""
+    found = []
+    for lk, rk in pairs:
+        kinds = [df.schema[k].dataType for df, k in ((left, lk), (right, rk))]
+        if kinds[0] == kinds[1]:
+            kind = kinds[0]
+        elif all(isinstance(k, T.NumericType) for k in kinds):
+            kind = left.sparkSession.range(0).select(F.coalesce(*[F.lit(None).cast(k) for k in kinds]).alias("k")).schema["k"].dataType
+        else:
+            return None
+        if not (isinstance(kind, _SALTABLE) or kind == T.StringType()):
+            return None
+        found.append(kind)
+    return found
+
+
+def _key_text(columns: Sequence[Column], kinds: Sequence[T.DataType]) -> Column:
+    """Keys as one text: equal keys, and only they, give equal texts."""
+    texts = []
+    for column, kind in zip(columns, kinds, strict=True):
+        column = column.cast(kind)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            column = column + F.lit(0).cast(kind)  # 0.0 and -0.0 are equal
+        elif isinstance(kind, T.TimestampType):
+            column = F.unix_micros(column)  # two instants may have one local time
+        elif isinstance(kind, T.BinaryType):
+            column = F.hex(column)
+        texts.append(column.cast("string"))
+    return F.to_json(F.struct(*[t.alias(f"k{i}") for i, t in enumerate(texts)]))
+
+
+def frequent_keys(text: DataFrame, least_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """One row with an array ``items``: texts of at least ``least_rows`` rows that are more than a shuffle partition's share.
+
+    One scan. The summary has a bounded size, whatever the number of rows, and is combined before the shuffle; its
+    counts err by a small part of that share.
+    """
+    partitions = int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most, tracked = min(2 * partitions, 100_000), min(max(10_000, 8 * partitions), 1_000_000)
+    summary = text.select(text[text.columns[0]].alias("k")).agg(F.expr(f"approx_top_k(k, {most}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n"))
+    least = F.greatest(F.lit(least_rows), F.col("n") / F.lit(partitions))
+    return summary.select(F.transform(F.filter("top", lambda t: t["count"] >= least), lambda t: t["item"]).alias("items"))
 
 
 def key_pairs(on) -> list[tuple[str, str]]:
@@ -78,6 +124,7 @@ def join(
     left_prefix: str | None = None,
     right_prefix: str | None = None,
     hot_key_rows: int = HOT_KEY_ROWS,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join two frames; null keys match null keys unless ``null_safe`` is off.
 
@@ -122,46 +169,41 @@ def join(
     )
     key_place = {k: i for i, k in enumerate(left_keys)}
 
-    def only(side: DataFrame, other: DataFrame, other_keys: Sequence[str], mine: Sequence[Column]) -> DataFrame:
-        """Rows of a side without a partner; the other side is reduced to its distinct keys."""
-        keys = other.select(*[named(k).alias(f"__o{i}") for i, k in enumerate(other_keys)]).distinct()
-        match = [_equal(c, F.col(f"__o{i}"), null_safe) for i, c in enumerate(mine)]
-        return side.join(keys, reduce(lambda a, b: a & b, match), "left_anti")
-
-    def left_only() -> DataFrame:
-        rest = only(left, right, right_keys, [named(k) for k in left_keys])
-        kinds = [right.schema[c].dataType for c in right_values]
-        nulls = [F.lit(None).cast(t).alias(out_right[c]) for c, t in zip(right_values, kinds, strict=True)]
-        return rest.select(*left_part, *nulls)
-
-    def right_only() -> DataFrame:
-        rest = only(r, left, left_keys, [F.col(f"__k{i}") for i in range(len(pairs))])
-        return rest.select(*[
-            F.col(f"__k{key_place[c]}").alias(c) if c in key_place
-            else F.lit(None).cast(left.schema[c].dataType).alias(out_left[c])
-            for c in left.columns
-        ], *right_part)
-
-    def too_hot(side: DataFrame, keys: Sequence[str]) -> bool:
-        return not side.isStreaming and hottest_key_rows(side, keys) > hot_key_rows
-
-    inner = left.join(r, cond).select(*left_part, *right_part)
     if kind == "inner":
-        return inner
-    if kind == "right":
-        if too_hot(left, left_keys):
-            return inner.unionByName(right_only())
-        coalesced = [
-            F.coalesce(named(c), F.col(f"__k{key_place[c]}")).alias(c) if c in key_place
-            else named(c).alias(out_left[c])
-            for c in left.columns
-        ]
-        return left.join(r, cond, "right").select(*coalesced, *right_part)
-    if too_hot(right, right_keys):
-        matched = inner.unionByName(left_only())
-    else:
-        matched = left.join(r, cond, "left").select(*left_part, *right_part)
-    return matched if kind == "left" else matched.unionByName(right_only())
+        return left.join(r, cond).select(*left_part, *right_part)
+    coalesced = [
+        F.coalesce(named(c), F.col(f"__k{key_place[c]}")).alias(c) if c in key_place else named(c).alias(out_left[c])
+        for c in left.columns
+    ]
+    left_part = coalesced if kind in ("right", "full") else left_part
+    kinds = None if left.isStreaming or right.isStreaming else _common_types(left, right, pairs)
+    if kinds is None:
+        return left.join(r, cond, kind).select(*left_part, *right_part)
+
+    # keys frequent on the right are salted there, all others that are frequent on the left there
+    columns = {"left": [named(k) for k in left_keys], "right": [F.col(f"__k{i}") for i in range(len(pairs))]}
+    unsplit = {"left": ("right",), "right": ("left",), "full": ("left", "right")}[kind]
+    frame = {"left": left, "right": r}
+    found = {side: frequent_keys(frame[side].select(_key_text(columns[side], kinds)), hot_key_rows).scalar() for side in unsplit}
+
+    def dealt(side: str, tag: str) -> DataFrame:
+        """Rows with a salt: of the keys frequent on their own side by hash, of those frequent on the other once each."""
+        df, text = frame[side], _key_text(columns[side], kinds)
+        here = lambda s: F.array_contains(found[s], text) if s in found else F.lit(False)
+        own, again = (here("right"), here("left") & ~here("right")) if side == "right" else (here("left") & ~here("right"), here("right"))
+        if not null_safe:  # a null key meets nothing
+            known = reduce(lambda a, b: a & b, [c.isNotNull() for c in columns[side]])
+            own, again = own & known, again & known
+        by_row = F.xxhash64(*[named(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+        every = F.sequence(F.lit(0), F.lit(salts - 1))
+        one = F.array(F.when(F.coalesce(own, F.lit(False)), F.pmod(by_row, F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+        marked = df.withColumn(f"{tag}again", F.coalesce(again, F.lit(False)))
+        return marked.withColumn(f"{tag}salt", F.explode(F.when(F.col(f"{tag}again"), every).otherwise(one)))
+
+    a, b = dealt("left", "__l"), dealt("right", "__r")
+    both = a.join(b, cond & (F.col("__lsalt") == F.col("__rsalt")), kind)
+    alone = (F.col("__lagain") & F.col("__rsalt").isNull()) | (F.col("__ragain") & F.col("__lsalt").isNull())
+    return both.where(~F.coalesce(alone, F.lit(False))).select(*left_part, *right_part)
 
 
 def join_check(left: DataFrame, right: DataFrame, on, null_safe: bool = True) -> DataFrame:
