@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import aggregate, fill, medians
-from tidemill.operators.ordering import bucket_number, cut_points, dense_ids
+from tidemill.operators import aggregate, fill, joins, medians
+from tidemill.operators.ordering import dense_ids, with_range_bucket
 from tidemill.operators.rows import page, set_operation
 
 
@@ -28,10 +28,10 @@ def frame(spark):
 
 @pytest.mark.parametrize("direction", ["forward", "backward"])
 @pytest.mark.parametrize("keys", [[], ["g"]])
-@pytest.mark.parametrize("size", [60, 10**6])
+@pytest.mark.parametrize("size", [None, 1, 50, 10_000])
 def test_fill_carried(frame, direction, keys, size):
     df, pdf = frame
-    out = fill.fill_carried(df, ["v", "s"], ["t", "i"], keys, direction, rows_per_bucket=size)
+    out = fill.fill_carried(df, ["v", "s"], ["t", "i"], keys, direction, buckets=size)
     got = {r["i"]: (r["v"], r["s"]) for r in out.collect()}
     ordered = pdf.sort_values(["t", "i"]).copy()
     source = ordered.groupby(keys, dropna=False)[["v", "s"]] if keys else ordered[["v", "s"]]
@@ -50,19 +50,30 @@ def test_fill_needs_order(frame):
 
 def test_buckets_follow_order_and_stay_small(frame):
     df, _ = frame
-    cuts = cut_points(df, ["t", "i"], 100)
-    sized = df.groupBy(bucket_number(["t", "i"], cuts).alias("b")).agg(
+    sized = with_range_bucket(df, ["t", "i"], "b", 30).groupBy("b").agg(
         F.count("*").alias("n"), F.min(F.struct("t", "i")).alias("lo"), F.max(F.struct("t", "i")).alias("hi")
     ).orderBy("b").collect()
-    assert len(sized) > 20 and max(r["n"] for r in sized) < 400
+    assert len(sized) == 30 and max(r["n"] for r in sized) < 400
     assert all(a["hi"] < b["lo"] for a, b in zip(sized, sized[1:], strict=False))
+    other = {(r["i"], r["b"]) for r in with_range_bucket(df.repartition(3, "v"), ["t", "i"], "b", 30).collect()}
+    assert other == {(r["i"], r["b"]) for r in with_range_bucket(df, ["t", "i"], "b", 30).collect()}
+
+
+def test_no_job_runs_while_the_plan_is_built(frame, spark):
+    df, _ = frame
+    spark.sparkContext.setJobGroup("plans", "plans")
+    fill.fill_carried(df, ["v", "s"], ["t", "i"], ["g"])
+    fill.fill_median(df, "v")
+    aggregate.aggregate(df, ["g"], [{"column": "v", "function": "median"}])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    spark.sparkContext.setJobGroup("tests", "tests")
 
 
 def test_cut_points_of_times_and_nulls(spark):
     df = spark.range(1000).select(
         F.when(F.col("id") % 10 != 0, F.timestamp_seconds(F.col("id") * 37)).cast("timestamp_ntz").alias("t"), "id"
     )
-    out = fill.fill_carried(df.withColumn("v", F.when(F.col("id") % 4 == 0, F.col("id"))), ["v"], ["t", "id"], rows_per_bucket=50)
+    out = fill.fill_carried(df.withColumn("v", F.when(F.col("id") % 4 == 0, F.col("id"))), ["v"], ["t", "id"], buckets=20)
     # null times come first in order
     ordered = sorted(range(1000), key=lambda i: (i % 10 != 0, i * 37 if i % 10 else 0, i))
     last, want = None, {}
@@ -79,11 +90,10 @@ def test_dense_ids(frame):
 
 
 @pytest.mark.parametrize("keys", [[], ["g"]])
-@pytest.mark.parametrize("few", [True, False])
-@pytest.mark.parametrize("size", [60, 10**6])
-def test_median_by_rank(frame, keys, few, size):
+@pytest.mark.parametrize("size", [None, 1, 60, 5000])
+def test_exact_median(frame, keys, size):
     df, pdf = frame
-    got = medians.median_by_rank(df, keys, "v", "m", size, few).collect()
+    got = medians.exact_median(df, keys, "v", "m", size).collect()
     if not keys:
         assert got[0]["m"] == pdf["v"].median()
         return
@@ -91,20 +101,23 @@ def test_median_by_rank(frame, keys, few, size):
     assert {r["g"]: r["m"] for r in got} == {None if pd.isna(k) else k: v for k, v in want.items()}
 
 
-def test_aggregate_is_the_same_by_rank(frame, rows):
-    df, _ = frame
-    spec = [{"column": "v", "function": f} for f in ("median", "count", "sum", "avg", "min", "max", "nunique")]
-    inline = aggregate.aggregate(df, ["g"], spec)
-    ranked = aggregate.aggregate(df, ["g"], spec, median_inline_rows=0)
-    assert rows(inline) == rows(ranked)
-    assert aggregate.aggregate(df, [], spec[:1], median_inline_rows=0).first()[0] == aggregate.aggregate(df, [], spec[:1]).first()[0]
-
-
-def test_median_of_extreme_values_is_the_same_by_rank(spark):
-    for values, want in (([1.7e308, 1.7e308], 1.7e308), ([-1.7e308, 1.7e308], 0.0)):
+def test_aggregate_with_medians(frame):
+    df, pdf = frame
+    spec = [{"column": c, "function": f} for f in ("median", "count") for c in ("v", "t")]
+    got = {r["g"]: (r["v_median"], r["t_median"], r["v_count"]) for r in aggregate.aggregate(df, ["g"], spec).collect()}
+    want = {k: (x["v"].median(), x["t"].median(), x["v"].count()) for k, x in pdf.dropna(subset=["g"]).groupby("g")}
+    assert {k: v for k, v in got.items() if v[2]} == {k: v for k, v in want.items() if v[2]} and set(got) == set(want)
+    assert aggregate.aggregate(df, [], spec[:1]).first()[0] == pdf["v"].median()
+    none = aggregate.aggregate(df.filter("false"), [], spec[:1]).collect()
+    assert len(none) == 1 and none[0][0] is None
+
+
+def test_median_of_extreme_values(spark):
+    inf = float("inf")
+    for values, want in (([1.7e308, 1.7e308], 1.7e308), ([-1.7e308, 1.7e308], 0.0), ([-inf, 5.0, inf], 5.0), ([5e-324, 5e-324, -1.0], 5e-324)):
         df = spark.createDataFrame([(v,) for v in values], "v double")
-        for limit in (0, 10):
-            assert medians.exact_median(df, [], "v", "m", inline_rows=limit).first()["m"] == want
+        for buckets in (1, 7, None):
+            assert medians.exact_median(df, [], "v", "m", buckets).first()["m"] == want
 
 
 def test_fill_statistics(frame):
@@ -117,7 +130,7 @@ def test_fill_statistics(frame):
         holes = pdf[pdf["v"].isna()]["i"]
         assert {filled[i] for i in holes} == {value}, name
     assert fill.fill_mean(df, "s").schema == df.schema
-    by_rank = fill.fill_median(df, "v", inline_rows=0, rows_per_bucket=60)
+    by_rank = fill.fill_median(df, "v", 60)
     assert {r["v"] for r in by_rank.join(df.filter("v is null").select("i"), "i").collect()} == {want["fill_median"]}
 
 
@@ -126,11 +139,10 @@ def test_mode_takes_the_smallest_on_ties(spark):
     assert [r[0] for r in fill.fill_mode(df, "v").collect()].count(1) == 3
 
 
-def test_only_bucket_edges_meet_in_one_task(frame):
+def test_only_range_edges_meet_in_one_task(frame):
     df, _ = frame
-    plan = fill.fill_carried(df, ["v"], ["t", "i"], rows_per_bucket=100)._jdf.queryExecution().executedPlan().toString()
-    # the one single-partition exchange holds one row per bucket
-    assert plan.count("SinglePartition") == 1 and "hashpartitioning(__bucket" in plan
+    plan = fill.fill_carried(df, ["v"], ["t", "i"], buckets=100)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__bucket" in plan
     assert "BroadcastNestedLoop" not in plan and "CartesianProduct" not in plan
 
 
@@ -150,3 +162,57 @@ def test_deep_page_equals_shallow_page(frame):
     shallow = page(df, ["t", "i"], page=20, page_size=30)
     deep = page(df, ["t", "i"], page=20, page_size=30)
     assert shallow.collect() == deep.collect()
+
+
+def joined_plainly(left, right, how, null_safe):
+    def same(a, b):
+        return a == b if a is not None and b is not None else null_safe and a is b
+
+    pairs = [(a, b) for a in left for b in right if same(a[0], b[0])]
+    out = [(a[0], a[1], b[1]) for a, b in pairs]
+    if how in ("left", "full"):
+        out += [(a[0], a[1], None) for a in left if not any(same(a[0], b[0]) for b in right)]
+    if how in ("right", "full"):
+        out += [(b[0], None, b[1]) for b in right if not any(same(a[0], b[0]) for a in left)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+@pytest.mark.parametrize("null_safe", [True, False])
+@pytest.mark.parametrize("types", [("bigint", "bigint"), ("int", "double"), ("string", "string"), ("double", "double")])
+def test_outer_joins_with_frequent_keys(spark, how, null_safe, types):
+    rng = random.Random(9)
+    keys = {"string": ["x", "", None, "y", "é"], "double": [0.0, -0.0, None, 1.5, 2.0]}.get(types[0], [0, 1, None, 7, 2])
+    left = [(rng.choice([*keys, keys[0], keys[2]]), i) for i in range(60)]
+    right = [(None if (k := rng.choice([*keys[1:], keys[1], keys[2]])) is None else float(k) if types[1] == "double" else k, i) for i in range(50)]
+    sides = [spark.createDataFrame(rows, f"k {kind}, {v} int").repartition(3) for rows, kind, v in ((left, types[0], "a"), (right, types[1], "b"))]
+    spark.sparkContext.setJobGroup("joins", "joins")
+    out = joins.join(*sides, "k", how, null_safe, hot_key_rows=0, salts=4)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("joins")
+    spark.sparkContext.setJobGroup("tests", "tests")
+
+    def plain(found):
+        return sorted(((k if k is None or isinstance(k, str) else float(k) + 0.0, a, b) for k, a, b in found), key=repr)
+
+    assert plain(map(tuple, out.collect())) == plain(joined_plainly(left, right, how, null_safe))
+
+
+def test_outer_joins_scan_each_side_once_and_once_for_its_keys(spark, tmp_path):
+    for name in "ab":
+        spark.range(100).select(F.col("id").alias("k"), F.lit(name).alias(name)).write.parquet(f"{tmp_path}/{name}")
+    a, b = (spark.read.parquet(f"{tmp_path}/{name}") for name in "ab")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = joins.join(a, b, "k", "full")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert len(scans) >= 2 and "array_contains" in plan.lower()
+    assert joins.join(a, b, "k", "full").count() == 100
+
+
+def test_frequent_keys_are_few_and_exact(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    assert joins.frequent_keys(df, 100).first()["items"] == ["hot"]
+    assert joins.frequent_keys(df, 4000).first()["items"] == []
+    assert joins.frequent_keys(df.filter("false"), 0).first()["items"] == []

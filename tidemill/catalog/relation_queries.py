@@ -64,7 +64,7 @@ for _name, _function, _expr, _digits in [
 @query("agg_median_price", "SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS price FROM lineitem GROUP BY ALL")
 def agg_median_price(t: Tables):
     spec = [{"column": "l_extendedprice", "function": "median", "alias": "price"}]
-    return agg.aggregate(t.lineitem, ["l_returnflag", "l_linestatus"], spec, median_inline_rows=10_000)
+    return agg.aggregate(t.lineitem, ["l_returnflag", "l_linestatus"], spec)
 
 
 _FIRST_LAST = """SELECT l_suppkey, arg_min(l_quantity, (l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS first_qty,

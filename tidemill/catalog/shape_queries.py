@@ -127,7 +127,7 @@ def fill_backward(t: Tables):
  last_value(event_type IGNORE NULLS) OVER w AS event_type FROM d
  WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def fill_forward_all(t: Tables):
-    return fill.fill_carried(_gaps(t), ["value", "event_type"], ["ts", "event_id"], rows_per_bucket=2_000)
+    return fill.fill_carried(_gaps(t), ["value", "event_type"], ["ts", "event_id"], buckets=512)
 
 
 @query("fill_mean", _GAPS + "SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM d)), 6) AS value FROM d")

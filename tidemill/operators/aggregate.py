@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemill.functions.predicates import combine, rule_predicate
 from tidemill.functions.quoting import named
-from tidemill.operators.medians import BROADCAST_GROUPS, INLINE_ROWS, group_sizes, median_by_rank
+from tidemill.operators.medians import exact_median
 from tidemill.session import require_columns
 
 # Accepted spellings of each aggregate function.
@@ -57,7 +57,7 @@ def _expression(function: str, column: str, order_by: Sequence[str]) -> Column:
         key = F.when(col.isNotNull(), order)
         return F.min_by(col, key) if function == "first" else F.max_by(col, key)
     simple = {
-        "count": F.count, "avg": F.avg, "min": F.min, "max": F.max, "median": F.median,
+        "count": F.count, "avg": F.avg, "min": F.min, "max": F.max,
         "std": F.stddev_samp, "var": F.var_samp, "count_distinct": F.count_distinct,
         "approx_count_distinct": F.approx_count_distinct,
     }
@@ -73,7 +73,6 @@ def aggregate(
     having: Sequence[Mapping[str, Any]] = (),
     order_by: Sequence[str] = (),
     keep_null_keys: bool = False,
-    median_inline_rows: int = INLINE_ROWS,
 ) -> DataFrame:
     """Aggregate over ``group_by`` (none: one row); rows with a null key are dropped by default."""
     specs = expand_aggregations(aggregations)
@@ -84,15 +83,11 @@ def aggregate(
     df = df.withColumns({c: named(c).cast("int") for c in flags}) if flags else df
     source = df if keep_null_keys or not group_by else df.dropna(subset=list(group_by))
     groups = [named(c) for c in group_by]
-    sizes = {
-        s["column"]: group_sizes(source, group_by, s["column"]) for s in specs if s["function"] == "median"
-    }
-    ranked = [s for s in specs if s["function"] == "median" and sizes[s["column"]].largest > median_inline_rows]
+    ranked = [s for s in specs if s["function"] == "median"]
     exprs = [_expression(s["function"], s["column"], order_by).alias(s["alias"]) for s in specs if s not in ranked]
     result = source.groupBy(*groups).agg(*(exprs or [F.count(F.lit(1)).alias("__rows")]))
     for spec in ranked:
-        few = sizes[spec["column"]].groups <= BROADCAST_GROUPS
-        medians = median_by_rank(source, group_by, spec["column"], spec["alias"], few_groups=few)
+        medians = exact_median(source, group_by, spec["column"], spec["alias"])
         if not group_by:
             result = result.withColumn(spec["alias"], medians.scalar())
             continue

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tidemill.functions.predicates import is_missing
 from tidemill.functions.quoting import named
 from tidemill.operators.medians import exact_median
-from tidemill.operators.ordering import ROWS_PER_BUCKET, bucket_number, cut_points
+from tidemill.operators.ordering import with_range_bucket
 from tidemill.session import require_columns
 
 
@@ -49,13 +49,14 @@ def fill_carried(
     order_by: Sequence[str],
     partition_by: Sequence[str] = (),
     direction: str = "forward",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Last (``forward``) or next (``backward``) non-null value in ``order_by`` order.
 
-    ``order_by`` must order rows uniquely. Rows are cut into order buckets; one extra row per bucket holds
-    the value carried over from its neighbours, so a window task never sees more than one bucket of a
-    group however large the group is.
+    ``order_by`` must order the rows of a group uniquely. Rows are cut into ``buckets`` ranges of group and order. Each
+    range gives one row: its last non-null value of each column, with its group. A scan over these rows carries them
+    on, and what a range is handed fills the rows of the same group that its own values do not reach. So a task holds
+    one range of a group, however large the group is, and the table of carried values one row per range.
     """
     if not order_by:
         raise ValueError("order_by is required: rows have no order of their own")
@@ -65,30 +66,24 @@ def fill_carried(
     columns = [c for c in df.columns if c not in taken] if columns is None else list(columns)
     require_columns(df, [*columns, *order_by, *partition_by])
     forward = direction == "forward"
-    cuts = cut_points(df, order_by, rows_per_bucket)
     work = df.withColumns({c: _without_nan(df, c) for c in columns})
-    work = work.withColumn("__bucket", bucket_number(order_by, cuts)).withColumn("__seq", F.lit(1))
+    ranged = with_range_bucket(work, [*partition_by, *order_by], "__bucket", buckets)
     groups = [named(c) for c in partition_by]
-    if cuts:
-        key = F.struct(*[named(c) for c in order_by])  # a struct: a null order key is smallest, not absent
-        nearest = F.max_by if forward else F.min_by
-        edges = work.groupBy(*groups, "__bucket").agg(
-            *[nearest(named(c), F.when(named(c).isNotNull(), key)).alias(c) for c in columns]
-        )
-        step = F.col("__bucket").asc() if forward else F.col("__bucket").desc()
-        before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(step)
-        before = before.rowsBetween(Window.unboundedPreceding, -1)
-        carried = edges.select(
-            *groups, "__bucket", F.lit(0).alias("__seq"),
-            *[F.last(named(c), ignorenulls=True).over(before).alias(c) for c in columns],
-        )
-        work = work.unionByName(carried, allowMissingColumns=True)
-    order = [F.col("__seq").asc()]
-    order += [named(c).asc_nulls_first() if forward else named(c).desc_nulls_last() for c in order_by]
-    inside = Window.partitionBy(*groups, "__bucket").orderBy(*order)
-    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = work.withColumns({c: F.last(named(c), ignorenulls=True).over(inside) for c in columns})
-    return filled.filter(F.col("__seq") == 1).select(*[named(c) for c in df.columns])
+    place = F.struct(*groups, *[named(c) for c in order_by])  # a struct: a null order key is smallest, not absent
+    nearest = F.max_by if forward else F.min_by
+    group = F.struct(F.lit(0).alias("one"), *[g.alias(f"g{i}") for i, g in enumerate(groups)])
+    edges = ranged.groupBy("__bucket").agg(*[
+        nearest(F.struct(group.alias("group"), named(c).alias("value")), F.when(named(c).isNotNull(), place)).alias(f"__e{i}")
+        for i, c in enumerate(columns)])
+    # one row per range
+    before = Window.orderBy(F.col("__bucket").asc() if forward else F.col("__bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select(F.col("__bucket").alias("__at"), *[F.last(f"__e{i}", ignorenulls=True).over(before).alias(f"__e{i}") for i in range(len(columns))])
+    order = [named(c).asc_nulls_first() if forward else named(c).desc_nulls_last() for c in order_by]
+    inside = Window.partitionBy("__bucket", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    handed = [F.when(F.col(f"__e{i}.group").eqNullSafe(group), F.col(f"__e{i}.value")) for i in range(len(columns))]
+    filled = ranged.withColumns({c: F.last(named(c), ignorenulls=True).over(inside) for c in columns})
+    filled = filled.join(F.broadcast(carried), F.col("__bucket") == F.col("__at"), "left")
+    return filled.withColumns({c: F.coalesce(named(c), h) for c, h in zip(columns, handed, strict=True)}).select(*[named(c) for c in df.columns])
 
 
 def _is_numeric(df: DataFrame, column: str) -> bool:
@@ -108,13 +103,13 @@ def fill_mean(df: DataFrame, column: str) -> DataFrame:
     return _fill_from(df, column, df.agg(F.avg(_without_nan(df, column)).alias("m")))
 
 
-def fill_median(df: DataFrame, column: str, **limits: int) -> DataFrame:
+def fill_median(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """Exact median of a numeric column; other columns are left alone."""
     require_columns(df, [column])
     if not _is_numeric(df, column):
         return df
     values = df.select(_without_nan(df, column).alias(column))
-    return _fill_from(df, column, exact_median(values, [], column, "m", **limits))
+    return _fill_from(df, column, exact_median(values, [], column, "m", buckets))
 
 
 def fill_mode(df: DataFrame, column: str) -> DataFrame:

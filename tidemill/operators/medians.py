@@ -3,60 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.quoting import named
-from tidemill.operators.ordering import ROWS_PER_BUCKET, bucket_number, cut_points
+from tidemill.operators.ordering import with_range_bucket
 
-# The built-in median keeps every distinct value of a group in one buffer; larger groups go by rank.
-INLINE_ROWS = 200_000
-# A table of the middle ranks has at most two rows per group; up to this many groups it is broadcast.
-BROADCAST_GROUPS = 50_000
 
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str, buckets: int | None = None) -> DataFrame:
+    """One row per key group that has a value, with the exact median of ``value``; without keys one row.
 
-@dataclass(frozen=True)
-class GroupSizes:
-    """Measured number of groups and row count of the largest one, counting non-null values only."""
-
-    groups: int
-    largest: int
-
-
-def group_sizes(df: DataFrame, keys: Sequence[str], value: str) -> GroupSizes:
-    """Measure the groups of a median."""
-    rows = df.filter(named(value).isNotNull())
-    counts = rows.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).first()
-    return GroupSizes(row["groups"], row["largest"])
-
-
-def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, alias: str,
-    inline_rows: int = INLINE_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
-    """One row per key group that has a value, with the exact median of ``value``; without keys one row."""
-    sizes = group_sizes(df, keys, value)
-    if sizes.largest <= inline_rows:
-        present = df.filter(named(value).isNotNull()) if keys else df
-        return present.groupBy(*[named(k) for k in keys]).agg(F.median(named(value)).alias(alias))
-    return median_by_rank(df, keys, value, alias, rows_per_bucket, sizes.groups <= BROADCAST_GROUPS)
-
-
-def median_by_rank(
-    df: DataFrame, keys: Sequence[str], value: str, alias: str,
-    rows_per_bucket: int = ROWS_PER_BUCKET, few_groups: bool = False,
-) -> DataFrame:
-    """Median by rank: count per value range, then rank only the range that holds the middle rows."""
-    slim = df.select(*[named(k) for k in keys], named(value).alias("__v")).filter(F.col("__v").isNotNull())
-    cuts = cut_points(slim, ["__v"], rows_per_bucket)
+    Selection by rank, one way for groups of all sizes. Rows are first counted by group and value, combined before the
+    shuffle. The counts are cut into ranges of group and value; how many rows each range holds tells which one has
+    the middle rows, and only that is ranked. No buffer holds the values of a group, and no job runs while the plan
+    is built.
+    """
     groups = [named(k) for k in keys]
+    slim = df.select(*groups, named(value).alias("__v")).filter(F.col("__v").isNotNull())
     per_value = slim.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    per_value = per_value.withColumn("__bucket", bucket_number(["__v"], cuts))
+    per_value = with_range_bucket(per_value, [*keys, "__v"], "__bucket", buckets)
     per_bucket = per_value.groupBy(*groups, "__bucket").agg(F.sum("__n").alias("__n"))
-    # at most one row per bucket and group: the window stays small even for a hot group
+    # at most one row per range and group: the window stays small even for a hot group
     all_buckets = Window.partitionBy(*(groups or [F.lit(0)]))
     before = all_buckets.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("__n").over(all_buckets)
@@ -73,7 +41,6 @@ def median_by_rank(
         *[named(k).alias(f"__t{i}") for i, k in enumerate(keys)],
         F.col("__bucket").alias("__tb"), "__base", "__low", "__high",
     )
-    targets = F.broadcast(targets) if few_groups else targets.hint("merge")
     same = F.col("__bucket") == F.col("__tb")
     for i, k in enumerate(keys):
         same = same & named(k).eqNullSafe(F.col(f"__t{i}"))
@@ -87,4 +54,5 @@ def median_by_rank(
         return F.max(F.when((F.col(rank) > start) & (F.col(rank) <= F.col("__end")), F.col("__v").cast("double")))
 
     # halves are added, because the sum of two large values is no number
-    return ranked.groupBy(*groups).agg((at("__low") * 0.5 + at("__high") * 0.5).alias(alias))
+    middle = F.when(at("__low") == at("__high"), at("__low")).otherwise(at("__low") * 0.5 + at("__high") * 0.5)
+    return ranked.groupBy(*groups).agg(middle.alias(alias))

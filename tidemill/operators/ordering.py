@@ -1,61 +1,60 @@
 """Splitting a frame by row order, so no window ever holds one hot group or the whole table.
 
-Cut points come from a bounded sample and become literals of the plan; the bucket of a row is then a
-pure function of its order key and stays the same when a lost executor forces a recomputation.
+Cut points are found by the plan itself: an aggregate keeps the rows with the smallest hash in each of a fixed number
+of residue classes, whose order keys are a sample that does not depend on how the rows were partitioned. The plan reads
+it as a scalar subquery, so no job runs while the plan is built, and the bucket of a row is a pure function of its key
+and stays the same when a lost executor forces a recomputation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.quoting import named
 from tidemill.session import materialize, require_columns
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
-_SAMPLES_PER_BUCKET = 20
+_SAMPLES_PER_BUCKET = 8
+_BUCKETS_PER_PARTITION = 4
 
 
-def cut_points(
-    df: DataFrame, order_by: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET
-) -> list[Column]:
-    """Literal order keys that cut ``df`` into buckets of about ``rows_per_bucket`` rows; may be empty."""
-    keys = df.select(*[named(c) for c in order_by])
-    total = keys.count()
-    buckets = min(MAX_BUCKETS, -(-total // rows_per_bucket))
+def default_buckets(df: DataFrame) -> int:
+    """Four buckets per shuffle partition: the setting that fits partitions to the data fits buckets too."""
+    return _BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def range_cuts(df: DataFrame, order_by: Sequence[str], buckets: int) -> DataFrame:
+    """One row with an array ``cuts`` of fewer than ``buckets`` order keys that cut ``df`` evenly."""
+    key = F.struct(*[named(c).alias(f"k{i}") for i, c in enumerate(order_by)])
+    luck = df.select(key.alias("key")).withColumn("hash", F.xxhash64("key"))
+    kept = luck.groupBy(F.pmod("hash", F.lit(_SAMPLES_PER_BUCKET * buckets)).alias("class")).agg(
+        F.min(F.struct("hash", "key")).alias("first"))
+    sample = kept.agg(F.array_sort(F.collect_list("first.key")).alias("sample"))
+    at = F.sequence(F.lit(1), F.lit(buckets - 1)) if buckets > 1 else F.array().cast("array<int>")
+    picked = F.transform(at, lambda i: F.get("sample", F.floor(i * F.size("sample") / F.lit(buckets)).cast("int")))
+    return sample.select(F.filter(picked, lambda c: c.isNotNull()).alias("cuts"))
+
+
+def with_range_bucket(df: DataFrame, order_by: Sequence[str], column: str, buckets: int | None = None) -> DataFrame:
+    """Add the number of the row's order bucket: how many cut points lie at or before it.
+
+    The binary search is unrolled into one projection per halving, which generated code runs.
+    """
+    buckets = buckets or default_buckets(df)
     if buckets <= 1:
-        return []
-    wanted = _SAMPLES_PER_BUCKET * buckets
-    sample = keys if total <= wanted else keys.sample(fraction=min(1.0, 1.2 * wanted / total), seed=17)
-    rows = sample.orderBy(*order_by).select(*[named(c).cast("string") for c in order_by]).collect()
-    if not rows:
-        return []
-    picks = sorted({len(rows) * i // buckets for i in range(1, buckets)})
-    types = [df.schema[c].dataType for c in order_by]
-    seen, cuts = set(), []
-    for i in picks:
-        if tuple(rows[i]) in seen:
-            continue
-        seen.add(tuple(rows[i]))
-        fields = [F.lit(v).cast(t).alias(c) for v, t, c in zip(rows[i], types, order_by, strict=True)]
-        cuts.append(F.struct(*fields))
-    return cuts
-
-
-def bucket_number(order_by: Sequence[str], cuts: Sequence[Column]) -> Column:
-    """How many cut points lie at or before the row, found by binary search."""
-    key = F.struct(*[named(c) for c in order_by])
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key >= cuts[middle], search(middle + 1, high)).otherwise(search(low, middle))
-
-    return search(0, len(cuts))
+        return df.withColumn(column, F.lit(0))
+    cuts = range_cuts(df, order_by, buckets).scalar()
+    key = F.struct(*[named(c).alias(f"k{i}") for i, c in enumerate(order_by)])
+    out = df.withColumn(column, F.lit(0))
+    step = 1 << (buckets - 2).bit_length()
+    while step:
+        # beyond the end there is no cut, which counts as none before the row
+        before = F.get(cuts, named(column) + F.lit(step - 1)) <= key
+        out = out.withColumn(column, named(column) + F.when(before, F.lit(step)).otherwise(F.lit(0)))
+        step >>= 1
+    return out
 
 
 def dense_ids(df: DataFrame, order_by: Sequence[str], id_column: str = "id", start: int = 1) -> DataFrame:
