@@ -152,6 +152,72 @@ def test_failed_replace_leaves_the_table(spark, rows):
     sink.create_table(spark, fresh_name("made"), {"id": "BIGINT", "name": "VARCHAR(20)"})
 
 
+def test_versions_and_the_warehouse(spark, rows):
+    """Without a location a table lives in the warehouse; the last versions stay and can be restored."""
+    table = fresh_name("homed")
+    try:
+        for n in range(1, 6):
+            sink.save(spark.range(n), table)
+        warehouse = spark.catalog.getDatabase(spark.catalog.currentDatabase()).locationUri
+        assert sink.location_of(spark, table).startswith(f"{warehouse}/{table}/v_")
+        kept = sink.table_versions(spark, table)
+        assert len(kept) == sink.KEEP_VERSIONS and [spark.read.parquet(v).count() for v in kept] == [3, 4, 5]
+        sink.restore_version(spark, table, kept[0])
+        assert spark.table(table).count() == 3
+        sink.save(spark.range(7), table)
+        assert spark.table(table).count() == 7
+        with pytest.raises(ValueError, match="no version"):
+            sink.restore_version(spark, table, kept[0] + "x")
+        for mode in ("append", "fail"):
+            other = fresh_name(mode)
+            sink.save(spark.range(2), other, mode)
+            assert sink.location_of(spark, other).startswith(warehouse) and spark.table(other).count() == 2
+            spark.sql(f"DROP TABLE {other}")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def test_a_failing_change_of_schema_leaves_the_table(spark, rows, monkeypatch):
+    table, path = fresh_name("t"), scratch_path(spark, "t")
+    sink.save(spark.range(3), table, location=path)
+    sink.set_keys(spark, table, ["id"])
+    real, calls = sink._rename, []
+
+    def failing(spark, old, new):
+        calls.append((old, new))
+        if len(calls) == 2:
+            raise RuntimeError("lost the catalog")
+        real(spark, old, new)
+
+    monkeypatch.setattr(sink, "_rename", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        sink.save(spark.range(2).withColumn("x", F.lit(1)), table, location=path)
+    assert spark.table(table).columns == ["id"] and spark.table(table).count() == 3
+    monkeypatch.setattr(sink, "_rename", real)
+    sink.save(spark.range(2).withColumn("x", F.lit(1)), table, location=path)
+    assert spark.table(table).columns == ["id", "x"] and sink.table_keys(spark, table) == ["id"]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(f"{table}__")]
+
+
+def test_upsert_by_the_keys_of_the_table(spark, rows):
+    """Keys are kept with the table; the batch is computed once, also if it isn't deterministic."""
+    table, path = fresh_name("t"), scratch_path(spark, "t")
+    sink.save_upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string"), table, ["k"], location=path)
+    assert sink.table_keys(spark, table) == ["k"]
+    sink.save_upsert(spark.createDataFrame([(2, "B"), (3, "c")], "k int, s string"), table)
+    assert rows(spark.table(table)) == [(1, "a"), (2, "B"), (3, "c")]
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for part in parts:
+            runs.add(part.num_rows)
+            yield part
+
+    batch = spark.range(4, 6, numPartitions=1).selectExpr("cast(id as int) k", "'x' s").mapInArrow(seen, "k int, s string")
+    sink.save_upsert(batch, table)
+    assert runs.value == 2 and spark.table(table).count() == 5
+
+
 def test_text_lines_by_brute_force(spark):
     path, texts = scratch_path(spark, "lines"), []
     for i in range(3):
@@ -333,13 +399,73 @@ def test_stream_restart_and_batch_agree(spark, rows):
     table, path = fresh_name("compacted"), scratch_path(spark, "compacted")
     sink.save(base, table, location=path)
     for _ in range(2):
-        sync.compact(spark, log, table, ["k"], ["seq"], location=path)
+        sync.compact(spark, log, table, ["k"], ["seq"], location=path, remove_folded=False)
         assert rows(spark.table(table)) == want
     # a restart finds nothing new
     sync.changes_stream(stream, log, mark).awaitTermination()
     assert sync.read_batches(spark, log).count() == 5
 
 
+def test_a_new_checkpoint_keeps_earlier_batches(spark, rows):
+    inbox, target = scratch_path(spark, "inbox"), scratch_path(spark, "target")
+    for n in (5, 2):
+        source = f"{inbox}_{n}"
+        spark.range(n).write.json(source)
+        stream = sync.stream_source(spark, {"format": "json", "path": source, "schema": "id long"})
+        sync.write_batches(stream, target, scratch_path(spark, "mark")).awaitTermination()
+    assert sync.read_batches(spark, target).count() == 7
+
+
+def test_compaction_reads_only_what_is_new(spark, rows):
+    """Twice folded between changes: late changes lose, deletes stay, folded batches go."""
+    log, mark, inbox = (scratch_path(spark, n) for n in ("log", "mark", "inbox"))
+    table, path = fresh_name("folded"), scratch_path(spark, "folded")
+    schema = "k int, seq int, v string, op string"
+    waves = [
+        [(1, 10, "a", "insert"), (2, 11, "b", "insert"), (None, 12, "n", "insert")],
+        [(1, 20, None, "delete"), (2, 5, "late", "update"), (3, 21, "c", "insert")],
+        [(1, 15, "late", "insert"), (3, 30, "C", "update")],
+        [(1, 40, "again", "insert")],
+    ]
+    state, seen = {}, {}
+    for n, wave in enumerate(waves):
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").json(inbox)
+        stream = sync.stream_source(spark, {"format": "json", "path": inbox, "schema": schema})
+        sync.changes_stream(stream, log, mark if n < 2 else scratch_path(spark, "mark2")).awaitTermination()
+        for k, seq, v, op in wave:
+            if seq > seen.get(k, -1):
+                seen[k] = seq
+                state[k] = (k, seq, v, op)
+        want = sorted((r for r in state.values() if r[3] != "delete"), key=repr)
+        if n:
+            assert rows(sync.state_of_table(spark, log, table, ["k"], ["seq"])) == want
+        sync.compact(spark, log, table, ["k"], ["seq"], location=path)
+        assert rows(spark.table(table)) == want
+        assert not sync._batches(spark, log, {})
+        before = sink.location_of(spark, table)
+        sync.compact(spark, log, table, ["k"], ["seq"], location=path)
+        assert sink.location_of(spark, table) == before  # nothing new, nothing written
+
+
+def test_a_failure_before_the_commit_folds_again(spark, rows, monkeypatch):
+    log, inbox = scratch_path(spark, "log"), scratch_path(spark, "inbox")
+    table, path = fresh_name("folded"), scratch_path(spark, "folded")
+    schema = "k int, seq int, op string"
+    spark.createDataFrame([(1, 1, "insert"), (2, 2, "insert")], schema).write.json(inbox)
+    sync.changes_stream(sync.stream_source(spark, {"format": "json", "path": inbox, "schema": schema}), log, scratch_path(spark, "m")).awaitTermination()
+
+    def failing(*args, **options):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(sync.tables, "publish", failing)
+        with pytest.raises(RuntimeError):
+            sync.compact(spark, log, table, ["k"], ["seq"], location=path)
+    assert not spark.catalog.tableExists(table) and len(sync._batches(spark, log, {})) == 1
+    sync.compact(spark, log, table, ["k"], ["seq"], location=path)
+    assert spark.table(table).count() == 2
+
+
 def test_kafka_options():
     got = sync.kafka_options({"bootstrap_servers": ["a:1", "b:2"], "topic": "t", "security_protocol": "SASL_SSL"})
     assert got == {"kafka.bootstrap.servers": "a:1,b:2", "subscribe": "t", "startingOffsets": "earliest",

@@ -1,12 +1,15 @@
 """Table sinks: replace, append, fail, upsert.
 
-A table is a catalog table over a Parquet folder. Replacing or merging writes a new folder beside the old
-one and then points the table at it, so a failed write leaves the old table readable and a plan that reads
-the table it replaces never overwrites its own input.
+A table is a catalog table over a folder of Parquet files. Replacing or merging writes a new numbered folder beside the
+old ones and then points the table at it, which is one change in the catalog. A failed write leaves the old table, and
+a plan that reads the table it replaces never overwrites its own input. The last versions stay, so that running reads
+end and ``restore_version`` can go back; older ones are removed. Without a location a table lives in its database's
+folder in the warehouse.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -20,7 +23,12 @@ from tidemill.functions.conversion import spark_type_name
 from tidemill.functions.quoting import named
 from tidemill.operators.columns import sanitize_name
 from tidemill.operators.inspect import infer_types
-from tidemill.session import require_columns, scratch_path
+from tidemill.session import materialize, require_columns
+from tidemill.sinks import versions
+
+#: Versions that stay when a table gets a new one, the new one included.
+KEEP_VERSIONS = 3
+_KEYS = "tidemill.keys"
 
 SAVE_MODES = ("replace", "append", "fail", "upsert", "merge", "replace_rows")
 
@@ -29,45 +37,96 @@ def _quoted(table: str) -> str:
     return ".".join("`" + part.replace("`", "``") + "`" for part in table.split("."))
 
 
-def _location(spark: SparkSession, table: str) -> str:
+def location_of(spark: SparkSession, table: str) -> str:
+    """Folder that the table points at."""
     rows = spark.sql(f"DESCRIBE TABLE EXTENDED {_quoted(table)}").filter("col_name = 'Location'").collect()
     return rows[0]["data_type"]
 
 
-def _base(spark: SparkSession, table: str, location: str | None) -> str:
+def base_of(spark: SparkSession, table: str, location: str | None = None) -> str:
+    """Folder that holds the table's versions."""
     if location:
         return location.rstrip("/")
     if spark.catalog.tableExists(table):
-        return _location(spark, table).rsplit("/", 1)[0]
-    return scratch_path(spark, table)
+        return location_of(spark, table).rsplit("/", 1)[0]
+    *database, name = table.split(".")
+    found = spark.catalog.getDatabase(database[-1] if database else spark.catalog.currentDatabase())
+    return f"{found.locationUri.rstrip('/')}/{name.lower()}"
+
+
+def _create(spark: SparkSession, table: str, folder: str, schema: T.StructType, properties: Mapping[str, str]) -> None:
+    columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+    marks = ", ".join(f"'{k}' = '{v}'" for k, v in properties.items())
+    spark.sql(f"CREATE TABLE {_quoted(table)} ({columns}) USING parquet LOCATION '{folder}'" + (f" TBLPROPERTIES ({marks})" if marks else ""))
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    spark.sql(f"ALTER TABLE {_quoted(old)} RENAME TO {_quoted(new)}")
+
+
+def _properties(spark: SparkSession, table: str) -> dict[str, str]:
+    rows = spark.sql(f"SHOW TBLPROPERTIES {_quoted(table)}").collect()
+    return {r["key"]: r["value"] for r in rows if r["key"].startswith("tidemill.")}
 
 
 def _point_at(spark: SparkSession, table: str, folder: str, schema: T.StructType) -> None:
-    """Make the table read ``folder``: one metadata change when the schema stays the same."""
-    name = _quoted(table)
-    if spark.catalog.tableExists(table):
-        old = spark.table(table).schema
-        if [(f.name, f.dataType) for f in old.fields] == [(f.name, f.dataType) for f in schema.fields]:
-            spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
-            spark.catalog.refreshTable(table)
-            return
-        spark.sql(f"DROP TABLE {name}")
-    columns = ", ".join(f"{_quoted(f.name) if '.' not in f.name else '`' + f.name + '`'} {f.dataType.simpleString()}"
-                        for f in schema.fields)
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{folder}'")
-
-
-def _write_version(df: DataFrame, base: str) -> str:
-    folder = f"{base}/v_{uuid.uuid4().hex}"
+    """Make the table read ``folder``: one metadata change when the schema stays the same.
+
+    With another schema a table of a new name is made first and the two change names; the old one goes last, and gets
+    its name back if the change fails.
+    """
+    if not spark.catalog.tableExists(table):
+        _create(spark, table, folder, schema, {})
+        return
+    old = spark.table(table).schema
+    if [(f.name, f.dataType) for f in old.fields] == [(f.name, f.dataType) for f in schema.fields]:
+        spark.sql(f"ALTER TABLE {_quoted(table)} SET LOCATION '{folder}'")
+        spark.catalog.refreshTable(table)
+        return
+    mark = uuid.uuid4().hex[:12]
+    new, aside = f"{table}__new_{mark}", f"{table}__old_{mark}"
+    _create(spark, new, folder, schema, _properties(spark, table))
+    _rename(spark, table, aside)
+    try:
+        _rename(spark, new, table)
+    except Exception:
+        _rename(spark, aside, table)
+        spark.sql(f"DROP TABLE IF EXISTS {_quoted(new)}")
+        raise
+    spark.sql(f"DROP TABLE {_quoted(aside)}")
+
+
+def write_version(df: DataFrame, base: str) -> str:
+    """Rows as a new version below ``base``, which no table points at yet."""
+    folder = versions.next_version(df.sparkSession, base)
     df.write.mode("errorifexists").parquet(folder)
     return folder
 
 
+def publish(spark: SparkSession, table: str, folder: str, schema: T.StructType, keep_versions: int = KEEP_VERSIONS) -> None:
+    """Point the table at a version that is written, then remove old ones."""
+    _point_at(spark, table, folder, schema)
+    versions.expire(spark, folder.rsplit("/", 1)[0], folder, keep_versions)
+
+
+def table_versions(spark: SparkSession, table: str) -> list[str]:
+    """Folders of the versions that stay, up to the one the table points at, oldest first."""
+    current = location_of(spark, table)
+    name = current.rsplit("/", 1)[1]
+    return [v for v in versions.versions(spark, current.rsplit("/", 1)[0]) if v.rsplit("/", 1)[1] <= name]
+
+
+def restore_version(spark: SparkSession, table: str, folder: str) -> None:
+    """Point the table at one of its older versions."""
+    if folder not in table_versions(spark, table):
+        raise ValueError(f"'{folder}' is no version of table '{table}'")
+    _point_at(spark, table, folder, spark.read.parquet(folder).schema)
+
+
 def save_replace(df: DataFrame, table: str, location: str | None = None) -> None:
     """Table with exactly these rows; an older one is replaced."""
     spark = df.sparkSession
-    folder = _write_version(df, _base(spark, table, location))
-    _point_at(spark, table, folder, df.schema)
+    publish(spark, table, write_version(df, base_of(spark, table, location)), df.schema)
 
 
 def save_fail(df: DataFrame, table: str, location: str | None = None) -> None:
@@ -144,6 +203,18 @@ def upserted(
     return updated.unionByName(inserted)
 
 
+def set_keys(spark: SparkSession, table: str, keys: Sequence[str]) -> None:
+    """Keep the key columns with the table, for upserts that name none."""
+    require_columns(spark.table(table), keys)
+    text = json.dumps(list(keys)).replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"ALTER TABLE {_quoted(table)} SET TBLPROPERTIES ('{_KEYS}' = '{text}')")
+
+
+def table_keys(spark: SparkSession, table: str) -> list[str]:
+    """The key columns kept with a table, none if it has none."""
+    return json.loads(_properties(spark, table).get(_KEYS, "[]"))
+
+
 def save_upsert(
     df: DataFrame,
     table: str,
@@ -152,20 +223,29 @@ def save_upsert(
     location: str | None = None,
     keep_missing: bool = True,
 ) -> None:
-    """Upsert into a table; without keys the rows are appended, without a table it is made."""
+    """Upsert into a table; without a table it is made, with its keys.
+
+    Without ``keys`` those kept with the table count; a table that has none gets the rows appended. The batch is
+    computed once and written to the shared folder, so that the check of its keys and the merge see the same rows.
+    """
     spark = df.sparkSession
+    exists = spark.catalog.tableExists(table)
+    keys = list(keys) or (table_keys(spark, table) if exists else [])
     if not keys:
         save_append(df, table, location)
         return
-    if not spark.catalog.tableExists(table):
-        save_replace(latest_rows(df, keys, order_by) if order_by else df, table, location)
-        return
-    if not order_by and df.groupBy(*[named(k) for k in keys]).count().filter("count > 1").limit(1).count():
+    require_columns(df, keys)
+    batch = materialize(latest_rows(df, keys, order_by) if order_by else df)
+    if not order_by and batch.groupBy(*[named(k) for k in keys]).count().filter("count > 1").limit(1).count():
         raise ValueError("several batch rows share a key: order_by must say which one wins")
-    target = spark.table(table)
-    merged = upserted(target, df, keys, order_by, keep_missing)
-    folder = _write_version(merged, _base(spark, table, location))
-    _point_at(spark, table, folder, merged.schema)
+    if not exists:
+        save_replace(batch, table, location)
+        set_keys(spark, table, keys)
+        return
+    merged = upserted(spark.table(table), batch, keys, (), keep_missing)
+    publish(spark, table, write_version(merged, base_of(spark, table, location)), merged.schema)
+    if table_keys(spark, table) != keys:
+        set_keys(spark, table, keys)
 
 
 def save_replace_rows(df: DataFrame, table: str, keys: Sequence[str], order_by: Sequence[str] = (), **kw) -> None:
@@ -208,5 +288,5 @@ def ddl_for(df: DataFrame, table: str, numeric_text: bool = True) -> str:
 def create_table(spark: SparkSession, table: str, columns: Mapping[str, str], location: str | None = None) -> None:
     """Create an empty table from relational column types when it does not exist."""
     body = ", ".join(f"`{c}` {spark_type_name(t)}" for c, t in columns.items())
-    folder = f"{_base(spark, table, location)}/v_{uuid.uuid4().hex}"
+    folder = versions.next_version(spark, base_of(spark, table, location))
     spark.sql(f"CREATE TABLE IF NOT EXISTS {_quoted(table)} ({body}) USING parquet LOCATION '{folder}'")

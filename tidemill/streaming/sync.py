@@ -1,11 +1,13 @@
 """Streaming synchronisation: follow a source, reshape its messages, append or apply changes.
 
-Each micro-batch is written to a folder named by its batch id, overwritten as a whole. A batch that is
-replayed after a failure therefore replaces its own rows and nothing is lost or repeated.
+Each micro-batch is written to a folder named by the run and the batch id, overwritten as a whole. A batch that is
+replayed after a failure therefore replaces its own rows and nothing is lost or repeated. The run is the id that the
+checkpoint gave the query: a query that starts with a new checkpoint counts its batches anew, in folders of its own.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -17,9 +19,12 @@ from tidemill.functions.cleaning import value_transformed
 from tidemill.functions.quoting import named
 from tidemill.operators.changes import apply_changes, current_state
 from tidemill.operators.columns import add_metadata, rename, select_columns
-from tidemill.sinks.tables import save_replace
+from tidemill.session import materialize
+from tidemill.sinks import tables, versions
 
+RUN = "_run"
 BATCH = "_batch"
+_SEQUENCES = "_sequences"
 
 
 def kafka_options(config: Mapping[str, Any]) -> dict[str, str]:
@@ -90,17 +95,32 @@ def write_batches(
 ) -> StreamingQuery:
     """Append a stream to a Parquet folder, exactly once per batch."""
 
+    run: list[str] = []
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        if not run:  # written before the first batch
+            run.append(json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"])
         out = prepare(batch) if prepare else batch
-        out.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
+        out.write.mode("overwrite").parquet(f"{target}/{RUN}={run[0]}/{BATCH}={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**({"availableNow": True} if available_now else trigger)).start()
 
 
 def read_batches(spark: SparkSession, target: str) -> DataFrame:
-    """All rows a stream has appended."""
-    return spark.read.parquet(target)
+    """All rows a stream has appended, each with the number of its batch."""
+    return spark.read.parquet(target).drop(RUN)
+
+
+def _batches(spark: SparkSession, log: str, after: Mapping[str, int]) -> dict[tuple[str, int], str]:
+    """Folders of the batches of a log by run and number, later ones than ``after`` says for their run."""
+    found = {}
+    for path in versions.matching(spark, f"{log}/{RUN}=*/{BATCH}=*"):
+        *_, run, batch = path.split("/")
+        run, number = run.removeprefix(f"{RUN}="), int(batch.removeprefix(f"{BATCH}="))
+        if number > after.get(run, -1) and versions.folder_exists(spark, f"{path}/_SUCCESS"):
+            found[run, number] = path
+    return found
 
 
 def sync_stream(
@@ -134,8 +154,8 @@ def state_of(
 ) -> DataFrame:
     """Table behind a change log: the base table with the newest change per key applied.
 
-    Merging at read time keeps each micro-batch as small as its own events; ``save_replace`` of this frame
-    is the compaction.
+    Merging at read time keeps each micro-batch as small as its own events; ``compact`` folds the log from time to time.
+    For a table that ``compact`` has made see ``state_of_table``.
     """
     changes = read_batches(spark, log).drop(BATCH)
     if base is None:
@@ -143,10 +163,66 @@ def state_of(
     return apply_changes(base, changes, keys, sequence, operation)
 
 
+def _later_changes(spark: SparkSession, log: str, table: str, keys: Sequence[str], sequence: Sequence[str]):
+    """``(newest, sequences, batches)``: per key the newest change not yet folded into the table, unless the table holds a later one.
+
+    ``sequences`` are those of the changes folded so far, by key, deleted keys included; None before the first fold.
+    """
+    folder = tables.location_of(spark, table) if spark.catalog.tableExists(table) else None
+    facts = versions.read_facts(spark, folder) if folder else {}
+    batches = _batches(spark, log, facts.get("folded", {}))
+    known = spark.read.parquet(f"{folder}/{_SEQUENCES}") if facts else None
+    if not batches:
+        return None, known, batches, facts
+    changes = spark.read.option("basePath", log).parquet(*batches.values()).drop(RUN, BATCH)
+    newest = tables.latest_rows(changes, keys, sequence)
+    if known is not None:
+        seen = known.select(*[F.col(f"k{i}").alias(f"__k{i}") for i in range(len(keys))], F.col("sequence").alias("__seen"))
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & named(k).eqNullSafe(F.col(f"__k{i}"))
+        place = F.struct(*[named(c).alias(f"s{i}") for i, c in enumerate(sequence)])
+        newest = newest.join(seen, same, "left").where(F.col("__seen").isNull() | (place > F.col("__seen"))).select(*[named(c) for c in changes.columns])
+    return newest, known, batches, facts
+
+
+def state_of_table(
+    spark: SparkSession, log: str, table: str, keys: Sequence[str], sequence: Sequence[str], operation: str = "op",
+) -> DataFrame:
+    """A table that ``compact`` keeps, with the changes that it has not folded yet; earlier batches are not read."""
+    newest, *_ = _later_changes(spark, log, table, keys, sequence)
+    base = spark.table(table)
+    return base if newest is None else apply_changes(base, newest, keys, sequence, operation)
+
+
 def compact(
     spark: SparkSession, log: str, table: str, keys: Sequence[str], sequence: Sequence[str], operation: str = "op",
-    location: str | None = None,
+    location: str | None = None, remove_folded: bool = True,
 ) -> None:
-    """Fold a change log into its base table (made when absent). Folding the same log again changes nothing."""
-    base = spark.table(table) if spark.catalog.tableExists(table) else None
-    save_replace(state_of(spark, log, keys, sequence, operation, base), table, location)
+    """Fold the batches that came since the last time into the base table (made when absent).
+
+    What has been folded, and the sequence of each key's last change, is kept with the new version of the table, so both
+    hold from the same moment on. A change that arrives after a later one of its key was folded changes nothing. A
+    failure before the table points at its new version leaves the old one, and the next call folds the same batches
+    again; a failure after it leaves folders that are no longer read. Folded batches are removed.
+    """
+    newest, known, batches, facts = _later_changes(spark, log, table, keys, sequence)
+    if newest is None:
+        return
+    newest = materialize(newest)
+    exists = spark.catalog.tableExists(table)
+    folded = apply_changes(spark.table(table), newest, keys, sequence, operation) if exists else current_state(newest, keys, sequence, operation)
+    folder = tables.write_version(folded, tables.base_of(spark, table, location))
+    names = [F.col(f"k{i}") for i in range(len(keys))]
+    places = newest.select(*[named(k).alias(f"k{i}") for i, k in enumerate(keys)], F.struct(*[named(c).alias(f"s{i}") for i, c in enumerate(sequence)]).alias("sequence"))
+    if known is not None:
+        places = known.unionByName(places).groupBy(*names).agg(F.max("sequence").alias("sequence"))
+    places.write.parquet(f"{folder}/{_SEQUENCES}")
+    last = dict(facts.get("folded", {}))
+    for run, number in batches:
+        last[run] = max(number, last.get(run, -1))
+    versions.write_facts(spark, folder, {"folded": last})
+    tables.publish(spark, table, folder, folded.schema)
+    if remove_folded:
+        for path in batches.values():
+            versions.remove(spark, path)
