@@ -26,8 +26,8 @@ from tidemill.llm.jaccard import WordHashes, _keyed, mixed
 from tidemill.session import materialize
 
 #: Tokens that a task sorts at once, and tokens that a bucket holds on average.
-CHUNK_TOKENS = 3_000_000
-BUCKET_TOKENS = 6_000_000
+CHUNK_TOKENS = 1_800_000
+BUCKET_TOKENS = 4_600_000
 #: Counts up to this one are discounted by Good-Turing's estimate.
 LARGEST = 5
 _MOST_DOCS = 65_535
@@ -88,7 +88,7 @@ def discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Counts after the discount. Larger ones lose as much as the largest that Good-Turing covers, so that every word
     leaves something for pairs not seen."""
     largest = len(factors)
-    small = np.minimum(counts, largest)
+    small = np.minimum(counts, largest).astype(np.intp)
     return np.where(counts <= largest, counts * np.append(0.0, factors)[small], counts - largest * (1 - factors[-1]))
 
 
@@ -118,34 +118,52 @@ def _bucket(before: np.ndarray, token: np.ndarray, buckets: int, frequent: np.nd
 
 
 def _chunks(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Keys and tokens of whole documents, about ``most`` tokens at a time."""
+    """Keys and tokens of whole documents, about ``most`` tokens at a time; a longer document comes alone."""
     hashes, keys, found, size = WordHashes(), [], [], 0
     for part in parts:
         for key, raw in zip(part["key"].to_pylist(), part["text"].to_pylist(), strict=True):
-            keys.append(key)
-            found.append(tokens(raw, hashes))
-            size += len(found[-1])
-            if size >= most or len(keys) == _MOST_DOCS:
+            own = tokens(raw, hashes)
+            if keys and (size + len(own) > most or len(keys) == _MOST_DOCS):
                 yield keys, found
                 keys, found, size = [], [], 0
+            keys.append(key)
+            found.append(own)
+            size += len(own)
     if keys:
         yield keys, found
+    pa.default_memory_pool().release_unused()
 
 
-def _sorted_pairs(found: list[np.ndarray], buckets: int, frequent: np.ndarray):
-    """Places of all tokens in the order of bucket, token, word before and document, with these four arrays."""
-    sizes = np.array([len(f) for f in found])
+def _postings(found: list[np.ndarray], buckets: int, frequent: np.ndarray, by_document: bool):
+    """Bucket, token, word before, document and times of every different pair (by document), in this order.
+
+    Empties ``found``. Tokens go by their rank in the chunk, so that rank, rank of the word before and document make
+    one number to sort by: fewer than 2**23 tokens and 2**16 documents, or one document, stay below 2**64.
+    """
+    docs, sizes = np.uint64(len(found) if by_document else 1), np.array([len(f) for f in found])
     token = np.concatenate(found)
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[np.append(0, np.cumsum(sizes)[:-1])] = START
-    doc = np.repeat(np.arange(len(found), dtype=np.uint16), sizes)
+    found.clear()
+    names, rank = np.unique(token, return_inverse=True)
+    del token
+    rank, most = rank.astype(np.uint64), np.uint64(len(names) + 1)
+    key = rank * most
+    key[1:] += rank[:-1]
+    starts = np.append(0, np.cumsum(sizes)[:-1])
+    key[starts] = rank[starts] * most + most - np.uint64(1)
+    del rank
+    if by_document:
+        key = key * docs + np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    key.sort()
+    at = _starts(key)
+    times, key = _runs(at, len(key)), key[at]
+    key, doc = np.divmod(key, docs) if by_document else (key, np.zeros(len(key), np.uint64))
+    rank, before = np.divmod(key, most)
+    token, before, doc = names[rank], np.append(names, np.uint64(START))[before], doc.astype(np.uint16)
     bucket = _bucket(before, token, buckets, frequent)
-    order = np.argsort(before, kind="stable")
-    order = order[np.argsort(token[order], kind="stable")]
-    if buckets > 1:
-        order = order[np.argsort(bucket[order], kind="stable")]
-    return bucket[order], token[order], before[order], doc[order]
+    if buckets == 1:
+        return bucket, token, before, doc, times
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 65_536 else bucket, kind="stable")
+    return tuple(x[order] for x in (bucket, token, before, doc, times))
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -227,11 +245,9 @@ def train(rows: DataFrame) -> Model:
     def own_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared_value(shared)[0]
         for _, found in _chunks(parts, CHUNK_TOKENS):
-            bucket, token, before, _ = _sorted_pairs(found, buckets, often)
-            at = _starts(bucket, token, before)
-            n = _runs(at, len(token))
-            kept = before[at] != np.uint64(START)
-            bucket, token, before, n = bucket[at][kept], token[at][kept], before[at][kept], n[kept]
+            bucket, token, before, _, n = _postings(found, buckets, often, False)
+            kept = before != np.uint64(START)
+            bucket, token, before, n = bucket[kept], token[kept], before[kept], n[kept]
             at = _starts(bucket)
             if len(at):
                 cut = [np.split(x, at[1:]) for x in (token, before, n)]
@@ -252,15 +268,19 @@ def train(rows: DataFrame) -> Model:
         order = np.argsort(token)
         later, before, count = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (empty, empty, np.empty(0, np.uint32))
         pairs.clear()
-        where = np.argsort(before, kind="stable")
-        where = where[np.argsort(later[where], kind="stable")]
-        later, before, count = later[where], before[where], count[where]
-        at = _starts(later, before)
-        count = np.add.reduceat(count.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+        key = pair_key(before, later)
+        where = np.argsort(key)
+        at = _starts(key[where])
+        count = np.add.reduceat(count[where], at, dtype=np.int64) if len(at) else np.empty(0, np.int64)
+        where = where[at]
+        later, before = later[where], before[where]
+        del key, where, at
+        by_token = np.argsort(later)
+        count = count.astype(np.uint32) if count.max(initial=0) < 2**32 else count
         few = np.bincount(np.minimum(count, LARGEST + 2), minlength=LARGEST + 3)[1:LARGEST + 2]
         return pa.table({
             "bucket": group["bucket"].slice(0, 1), "words": pa.array([pack(token[order], n[order])], pa.binary()),
-            "pairs": pa.array([_pack_pairs(later[at], before[at], count)], pa.binary()), "few": pa.array([few.tolist()], pa.list_(pa.int64()))})
+            "pairs": pa.array([_pack_pairs(later[by_token], before[by_token], count[by_token])], pa.binary()), "few": pa.array([few.tolist()], pa.list_(pa.int64()))})
 
     pairs = materialize(parts.groupBy("bucket").applyInArrow(add_up, "bucket int, words binary, pairs binary, few array<bigint>"))
     few = pairs.agg(*[F.coalesce(F.sum(F.col("few")[r]), F.lit(0)) for r in range(LARGEST + 1)]).first()
@@ -328,11 +348,8 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         often = shared_value(shared)[0]
         for keys, found in _chunks(parts, CHUNK_TOKENS):
             keys = np.array(keys, np.int64)
-            bucket, token, before, doc = _sorted_pairs(found, buckets, often)
-            found.clear()
-            at = _starts(bucket, token, before, doc)
-            times, doc, pair = _runs(at, len(token)), doc[at], np.zeros(len(at), bool)
-            bucket, token, before = bucket[at], token[at], before[at]
+            bucket, token, before, doc, times = _postings(found, buckets, often, True)
+            pair = np.zeros(len(token), bool)
             pair[_starts(bucket, token, before)] = True
             edges = np.append(_starts(bucket), len(bucket))
             for i, k in zip(edges[:-1], edges[1:], strict=True):
@@ -357,7 +374,8 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
             token, before, n = _unpack_pairs(group["b"][i].as_py())
             pair = pair_key(before, token)
             order = np.argsort(pair)
-            pair, seen = pair[order], n[order].astype(np.int64)
+            pair, seen = pair[order], n[order]
+            del token, before, n, order
         counts, pairs = _Counts(own, frequent), _Counts((pair, seen), (empty, empty))
         out = []
         for i in (i for i, a in enumerate(asks) if a):
@@ -377,6 +395,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
                 "n": np.append(np.bincount(doc, times, n).astype(np.int64), times[missing].astype(np.int64)),
                 "known": np.append(of((single > 0).astype(np.float64)).astype(np.int64), np.zeros(m, np.int64)),
                 "base": np.append(of(np.log10((single + 0.5) / base)), np.zeros(m)), "gain": np.append(of(gain), np.zeros(m))}))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], k) for c, k in (
             ("key", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64()))})
 
