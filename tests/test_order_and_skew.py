@@ -157,11 +157,21 @@ def test_set_operations_keep_every_copy(spark, kind, per_task):
         assert got == sorted(map(tuple, builtin(b).collect()), key=repr)
 
 
-def test_deep_page_equals_shallow_page(frame):
+@pytest.mark.parametrize("order", [["t", "i"], ["-t", "-i"], ["g", "t"], ["-v"], ["s"]])
+def test_deep_page_equals_shallow_page(frame, order):
     df, _ = frame
-    shallow = page(df, ["t", "i"], page=20, page_size=30)
-    deep = page(df, ["t", "i"], page=20, page_size=30)
-    assert shallow.collect() == deep.collect()
+    df = df.unionAll(df.filter("i < 40"))  # rows that repeat
+    for number in (1, 2, 57, 101, 200):
+        deep = page(df, order, page=number, page_size=30, shallow=0, with_total=True)
+        assert deep.collect() == page(df, order, page=number, page_size=30, with_total=True).collect()
+    plan = page(df, order, page=57, page_size=30, shallow=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Offset" not in plan
+
+
+def test_pages_by_expressions(frame):
+    df, pdf = frame
+    got = [r["i"] for r in page(df, [F.col("t").desc(), F.col("i").asc()], page=3, page_size=20, shallow=0).collect()]
+    assert got == pdf.sort_values(["t", "i"], ascending=[False, True])["i"].tolist()[40:60]
 
 
 def joined_plainly(left, right, how, null_safe):

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.catalog.registry import fresh_name
-from tidemill.operators import columns, inspect, quality, rows
+from tidemill.operators import columns, inspect, quality
+from tidemill.operators import rows as rows_module
 from tidemill.operators.snapshots import snapshot_hash
 from tidemill.operators.sql import step_sql
 from tidemill.operators.changes import apply_changes
@@ -218,6 +219,42 @@ def test_upsert_by_the_keys_of_the_table(spark, rows):
     assert runs.value == 2 and spark.table(table).count() == 5
 
 
+def test_ids_and_numbers_are_not_lost(spark, rows):
+    """Fractions and long numbers stay: as original id, as decimals with the scale they need, or as text."""
+    df = spark.createDataFrame([("1.5", "a"), ("2", "b"), (None, "c"), ("2", "d")], "id string, n string")
+    out_ids = columns.add_surrogate_id(df, ["n"])
+    assert rows(out_ids.select("id", "id_original")) == [(1, "1.5"), (2, "2"), (3, None), (4, "2")]
+    assert columns.id_report(df).first().asDict() == {"rows": 4, "null_ids": 1, "other_ids": 1, "repeated_ids": 1}
+    assert columns.id_report(df.filter("false")).first().asDict() == {"rows": 0, "null_ids": 0, "other_ids": 0, "repeated_ids": 0}
+    long = "1234567890" * 4
+    cells = spark.createDataFrame([("12.5", long, "1e400", "7", "x"), ("-0.25", "1", "2", "00012.500", "3"), (None, None, None, " 5 ", None)], "a string, b string, c string, d string, e string")
+    for cast in (lambda: rows_module.cast_to_ddl(cells, dict.fromkeys("abcde", "NUMERIC")), lambda: rows_module.preserve_big_integers(cells, list("abcde"))):
+        found = cast()
+        assert dict(found.dtypes) == {"a": "decimal(38,2)", "b": "string", "c": "string", "d": "decimal(38,1)", "e": "decimal(38,0)"}
+        got = found.select([F.col(c).cast("string") for c in found.columns]).collect()
+        assert [tuple(r) for r in got] == [("12.50", long, "1e400", "7.0", None), ("-0.25", "1", "2", "12.5", "3"), (None, None, None, "5.0", None)]
+        assert rows_module.lost_cells(cells, found, list("abcde")) == {"a": 0, "b": 0, "c": 0, "d": 0, "e": 1}
+
+
+def test_lines_are_numbered_where_they_are_read(spark):
+    path = scratch_path(spark, "numbered")
+    spark.range(3000).selectExpr("repeat(cast(id as string), 50) value").repartition(3).write.text(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = files.read_text_lines(spark, path, keep_source=True)
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert lines.rdd.getNumPartitions() > 10
+        found = {}
+        for r in lines.collect():
+            found.setdefault(r["file"], {})[r["line_number"]] = r["content"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(found) == 3
+    for name, numbered in found.items():
+        assert [numbered[i + 1] for i in range(len(numbered))] == Path(name.removeprefix("file://").removeprefix("file:")).read_text().splitlines()
+
+
 def test_text_lines_by_brute_force(spark):
     path, texts = scratch_path(spark, "lines"), []
     for i in range(3):
@@ -374,7 +411,7 @@ def test_quarantine_ids_stay_text(spark):
 
 def test_pages_lose_no_ties(spark):
     df = spark.range(100).selectExpr("id", "id % 3 AS k")
-    pages = [rows.page(df, [F.col("k").desc()], n, 30) for n in range(1, 5)]
+    pages = [rows_module.page(df, [F.col("k").desc()], n, 30) for n in range(1, 5)]
     assert sorted(r.id for p in pages for r in p.collect()) == list(range(100))
 
 

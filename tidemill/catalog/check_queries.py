@@ -1,5 +1,7 @@
 """Queries for data quality, inspection and snapshots."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidemill.catalog.registry import Tables, nulled, query
@@ -112,24 +114,32 @@ def quarantine_table(t: Tables):
     return quality.list_quarantine(t.spark, path)
 
 
-@query("auto_profile", """SELECT * FROM (VALUES ('not_null', 'priority'), ('data_type', 'priority'), ('data_type', 'o_orderkey'),
- ('range', 'o_orderkey'), ('unique', 'o_orderkey'), ('data_type', 'o_totalprice'), ('range', 'o_totalprice')) v(kind, column_name)
- WHERE (SELECT count(*) FROM orders) > 0""")
+def _profiled(column: str, value: str, number: str | None) -> str:
+    kinds = [("not_null", f"count({value}) < count(*)", "NULL", "NULL"), ("unique", f"count(DISTINCT {value}) = count({value})", "NULL", "NULL"),
+             ("data_type", "true", "NULL", "NULL")]
+    if number:
+        kinds.append(("range", "true", f"min({value})::DOUBLE", f"max({value})::DOUBLE"))
+    return " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, '{column}' AS column_name, {low}::DOUBLE AS low, {high}::DOUBLE AS high FROM orders HAVING {holds}"
+        for kind, holds, low, high in kinds)
+
+
+@query("auto_profile", " UNION ALL ".join((
+    _profiled("o_orderkey", "o_orderkey", "int"), _profiled("priority", "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END", None),
+    _profiled("o_custkey", "o_custkey", "int"), _profiled("o_totalprice", "o_totalprice", "float"))))
 def auto_profile(t: Tables):
-    # enough rows that prices repeat in the profile
-    df = t.orders.select("o_orderkey", nulled("o_orderpriority", "o_orderkey", 7).alias("priority"),
-                         F.round("o_totalprice", -4).alias("o_totalprice"))
-    rules = quality.auto_profile(df)
-    return t.spark.createDataFrame([(r.kind, r.column) for r in rules], "kind string, column_name string")
+    """The rules that the data itself suggests, with the bounds of its values."""
+    df = t.orders.select("o_orderkey", nulled("o_orderpriority", "o_orderkey", 7).alias("priority"), "o_custkey", "o_totalprice")
+    found = [(r.kind, r.column, *(None if (v := r.params.get(k)) is None else float(v) for k in ("low", "high"))) for r in quality.auto_profile(df)]
+    return t.spark.createDataFrame(found, "kind string, column_name string, low double, high double")
 
 
 @query("export_report", _DIRTY + " UNION ALL ".join(
     f"SELECT o_orderkey, '{k}' AS issue_type, {_VALUE[k][1]}::VARCHAR AS value FROM d WHERE {w}"
-    for k, w in _BAD.items() if k != "range_violation"))
+    for k, w in _BAD.items()))
 def export_report(t: Tables):
     path = t.scratch("report")
-    rules = [r for r in _rules() if r.kind != "range"]
-    quality.export_report(_dirty(t), rules, ["o_orderkey"], path, "json")
+    quality.export_report(_dirty(t), _rules(), ["o_orderkey"], path, "json")
     found = t.spark.read.schema("o_orderkey long, issue_type string, value string").json(f"{path}/issues")
     return found
 
@@ -196,24 +206,42 @@ def preview_steps(t: Tables):
     return t.spark.createDataFrame([row], "rows_in long, rows_out long, names string")
 
 
-@query("file_inventory", "SELECT k AS extension, count(*) > 0 AS counted, count(*) > 0 AS sized FROM supplier, (VALUES ('csv'), ('parquet')) v(k) GROUP BY k")
+@query("file_inventory", """SELECT 'txt' AS extension, count(DISTINCT n_regionkey * 5 + n_nationkey % 5) AS file_count,
+ sum(strlen(n_name) + 1)::BIGINT AS total_size, least(count(DISTINCT n_regionkey * 5 + n_nationkey % 5), 5)::INTEGER AS samples, true AS first_ones FROM nation
+ UNION ALL SELECT 'dat', count(DISTINCT r_regionkey), sum(strlen(r_name) + 1)::BIGINT, least(count(DISTINCT r_regionkey), 5)::INTEGER, true FROM region""")
 def file_inventory(t: Tables):
+    """More files of one kind than samples, of known sizes."""
     root = t.scratch("inventory")
-    out.write_csv(t.supplier, f"{root}/a")
-    out.write_parquet(t.supplier, f"{root}/b")
-    found = inspect.file_inventory(file_listing(t.spark, root))
-    return found.select("extension", (F.col("file_count") == F.size("sample_files")).alias("counted"),
-                        (F.col("total_size") > 0).alias("sized"))
-
-
-@query("snapshot_hash", "SELECT count(*) AS data_rows, true AS stable FROM lineitem")
+    part = (F.col("n_regionkey") * 5 + F.col("n_nationkey") % 5).alias("part")
+    t.nation.select("n_name", part).repartition("part").write.partitionBy("part").text(f"{root}/a")
+    t.region.select("r_name", F.col("r_regionkey").alias("part")).repartition("part").write.partitionBy("part").text(f"{root}/b")
+    listing = file_listing(t.spark, root, "*.txt")
+    listing = listing.withColumn("path", F.when(F.col("path").contains("/b/"), F.regexp_replace("path", "txt$", "DAT")).otherwise(F.col("path")))
+    found = inspect.file_inventory(listing)
+    paths = listing.groupBy(F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("extension")).agg(
+        F.slice(F.sort_array(F.collect_list("path")), 1, 5).alias("wanted"))
+    return found.join(paths, "extension").select(
+        "extension", "file_count", "total_size", F.size("sample_files").alias("samples"), (F.col("sample_files") == F.col("wanted")).alias("first_ones"))
+
+
+@query("snapshot_hash", """SELECT k AS kind, count(*) + (k = 'repeated')::INTEGER AS data_rows, k IN ('same', 'moved') AS alike
+ FROM lineitem, (VALUES ('same'), ('moved'), ('changed'), ('swapped'), ('repeated')) v(k) GROUP BY k""")
 def snapshot_hash_query(t: Tables):
-    one = snapshot_hash(t.lineitem)
-    two = snapshot_hash(t.lineitem.repartition(5, "l_partkey"))
-    both = one.unionByName(two)
-    return both.groupBy("data_rows").agg(
-        ((F.count_distinct("hash_sum", "hash_xor") == 1) & (F.count(F.lit(1)) == 2)).alias("stable")
-    )
+    """Row order changes nothing; one changed cell, two swapped cells or a repeated row do."""
+    df = t.lineitem
+    row = F.struct(*df.columns)
+    one = row == df.agg(F.min(row)).scalar()
+    kinds = {
+        "same": df, "moved": df.repartition(5, "l_partkey"),
+        "changed": df.withColumn("l_tax", F.when(one, F.col("l_tax") + 0.01).otherwise(F.col("l_tax"))),
+        "swapped": df.withColumns({"l_returnflag": F.when(one, F.col("l_linestatus")).otherwise(F.col("l_returnflag")),
+                                   "l_linestatus": F.when(one, F.col("l_returnflag")).otherwise(F.col("l_linestatus"))}),
+        "repeated": df.unionByName(df.filter(one)),
+    }
+    found = reduce(lambda a, b: a.unionByName(b), [snapshot_hash(d).withColumn("kind", F.lit(k)) for k, d in kinds.items()])
+    plain = snapshot_hash(df).select(F.col("hash_sum").alias("s"), F.col("hash_xor").alias("x"))
+    alike = (F.col("hash_sum") == F.col("s")) & (F.col("hash_xor") == F.col("x"))
+    return found.join(F.broadcast(plain)).select("kind", "data_rows", alike.alias("alike"))
 
 
 @query("snapshot_step", "SELECT 0 AS step_index, 'keep' AS step_name, count(*) AS data_rows, 6 AS data_columns FROM orders WHERE o_orderstatus = 'F'")

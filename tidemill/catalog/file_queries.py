@@ -1,5 +1,7 @@
 """Queries for sources, extraction and sinks: Spark writes the given tables in a format and reads them back."""
 
+import time
+from datetime import timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -64,13 +66,15 @@ def read_parquet(t: Tables):
     return files.read_parquet(t.spark, t.path("orders"), ["o_orderkey", "o_totalprice"], {"o_orderstatus": "F"})
 
 
-@query("read_text_lines", r"""SELECT content, count(*) AS n, true AS numbered FROM
- (SELECT unnest(string_split(text, chr(10))) AS content FROM documents) WHERE regexp_matches(content, '\S') GROUP BY content""")
+@query("read_text_lines", r"""WITH d AS (SELECT row_number() OVER () AS place, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+ b AS (SELECT place, ls, coalesce(sum(len(ls)) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM d)
+ SELECT (base + i)::BIGINT AS line_number, ls[i] AS content FROM (SELECT base, ls, unnest(range(1, len(ls) + 1)) AS i FROM b)
+ WHERE regexp_matches(ls[i], '\S')""")
 def read_text_lines(t: Tables):
+    """Every line of a file of all texts with its number, blank lines counted."""
     path = t.scratch("read_text_lines")
-    t.documents.select("text").write.text(path)
-    lines = files.read_text_lines(t.spark, path)
-    return lines.groupBy("content").agg(F.count(F.lit(1)).alias("n"), (F.min("line_number") >= 1).alias("numbered"))
+    t.documents.select("text").write.text(path)  # one row group, one file
+    return files.read_text_lines(t.spark, path)
 
 
 @query("read_by_extension", """SELECT c_custkey::VARCHAR AS c_custkey, c_name,
@@ -172,12 +176,17 @@ def extract_since_mark(t: Tables):
     return first.agg(count).select(F.lit(1).alias("run"), "n").unionByName(second.agg(count).select(F.lit(2).alias("run"), "n"))
 
 
-@query("incremental_object_mtime", "SELECT c_custkey, c_name FROM customer")
+@query("incremental_object_mtime", "SELECT c_custkey, c_name, true AS later FROM customer WHERE c_custkey % 3 = 0")
 def incremental_object_mtime(t: Tables):
-    old = t.scratch("mtime")
-    out.write_parquet(t.customer.select("c_custkey", "c_name"), old)
-    recent = ex.modified_after(t.spark, old, "2000-01-01T00:00:00")
-    return recent.filter(F.col("_s3_last_modified") > F.lit("2000-01-01").cast("timestamp")).drop("_s3_last_modified")
+    """Only the files that came after the newest of a first run."""
+    path, df = t.scratch("mtime"), t.customer.select("c_custkey", "c_name")
+    out.write_parquet(df.filter("c_custkey % 3 <> 0"), path)
+    newest = files.file_listing(t.spark, path, "*.parquet").agg(F.max("modificationTime").alias("m")).first()["m"]
+    mark = newest.replace(microsecond=0) + timedelta(seconds=1)
+    time.sleep(max(0.0, mark.timestamp() - time.time()) + 1.1)  # modification times may be whole seconds
+    out.write_parquet(df.filter("c_custkey % 3 = 0"), path, mode="append")
+    recent = ex.modified_after(t.spark, path, mark.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S"))
+    return recent.select("c_custkey", "c_name", (F.col("_s3_last_modified") > F.lit(newest)).alias("later"))
 
 
 @query("extract_ordered", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice")
@@ -190,15 +199,24 @@ def extract_count(t: Tables):
     return ex.extract_count(t.lineitem, {"l_quantity": {"gt": 25.0}, "l_returnflag": "R"})
 
 
-@query("extract_and_load", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
+@query("extract_and_load", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE o_custkey::VARCHAR END AS dirty, o_totalprice + 0.5 AS half,
+ '12345678901234567890123456789012345678' || o_orderkey::VARCHAR AS long_number,
  TIMESTAMP '2024-06-01 00:00:00' AS created_at FROM orders""")
 def extract_and_load(t: Tables):
+    """All columns as text, with a column of mixed texts, fractions and numbers beyond 38 digits."""
     table, path = fresh_name("loaded"), t.scratch("extract_and_load")
-    text = t.orders.drop("o_orderdate").select([F.col(c).cast("string").alias(c) for c in t.orders.columns if c != "o_orderdate"])
+    key = F.col("o_orderkey").cast("string")
+    text = t.orders.select(
+        *[F.col(c).cast("string").alias(c) for c in t.orders.columns],
+        F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("dirty"),
+        (F.col("o_totalprice") + 0.5).cast("string").alias("half"),
+        F.concat(F.lit("12345678901234567890123456789012345678"), key).alias("long_number"))
     ex.extract_and_load(text, table, path, "2024-06-01 00:00:00")
     loaded = t.spark.table(table)
-    return loaded.withColumns({"created_at": F.col("created_at").cast("timestamp_ntz"),
-                               "o_orderkey": F.col("o_orderkey").cast("long"), "o_custkey": F.col("o_custkey").cast("long")})
+    return loaded.withColumns({
+        "created_at": F.col("created_at").cast("timestamp_ntz"), "o_orderdate": F.col("o_orderdate").cast("timestamp_ntz"),
+        "o_orderkey": F.col("o_orderkey").cast("long"), "o_custkey": F.col("o_custkey").cast("long")})
 
 
 @query("save_replace", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
@@ -293,14 +311,17 @@ def write_parquet(t: Tables):
     return t.spark.read.parquet(path)
 
 
-@query("file_listing", "SELECT 'csv' AS kind, true AS sized, count(*) > 0 AS found FROM supplier")
+@query("file_listing", """SELECT 'segment=' || c_mktsegment AS folder, 'txt' AS kind, 1 AS file_count, sum(strlen(c_name) + 1)::BIGINT AS bytes
+ FROM customer GROUP BY c_mktsegment""")
 def file_listing(t: Tables):
+    """One file per segment, of known sizes, beside a file of another kind."""
     path = t.scratch("file_listing")
-    out.write_csv(t.supplier, path)
-    listed = files.file_listing(t.spark, path, "*.csv")
-    return listed.groupBy(F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind")).agg(
-        (F.min("length") > 0).alias("sized"), (F.count(F.lit(1)) > 0).alias("found")
-    )
+    by_segment = t.customer.select("c_name", F.col("c_mktsegment").alias("segment")).repartition("segment")
+    by_segment.write.partitionBy("segment").text(path)
+    out.write_csv(t.region, f"{path}/other")
+    listed = files.file_listing(t.spark, path, "*.txt")
+    return listed.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind")).agg(
+        F.count(F.lit(1)).alias("file_count"), F.sum("length").alias("bytes"))
 
 
 @query("infer_types", """SELECT 'o_orderkey' AS column_name, CASE WHEN max(o_orderkey) <= 32767 THEN 'SMALLINT' ELSE 'INTEGER' END AS sql_type FROM orders

@@ -218,8 +218,16 @@ def limit_offset(t: Tables):
     return rows.page(t.customer.select("c_custkey", "c_name"), ["c_name", "c_custkey"], page=3, with_total=True)
 
 
-@query("page", "SELECT * FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 25")
+@query("page", """SELECT l_shipdate, l_orderkey, l_linenumber, (SELECT count(*) FROM lineitem) AS total_count FROM lineitem
+ ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC LIMIT 25 OFFSET 2975""")
 def page(t: Tables):
+    """A deep page in falling order; many rows share a day."""
+    df = t.lineitem.select("l_shipdate", "l_orderkey", "l_linenumber")
+    return rows.page(df, ["-l_shipdate", "-l_orderkey", "-l_linenumber"], page=120, with_total=True, shallow=0)
+
+
+@query("page_after", "SELECT * FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 25")
+def page_after(t: Tables):
     return rows.page_after(t.orders, "o_orderkey", 500)
 
 

@@ -26,10 +26,13 @@ def stream_source(t: Tables):
     return sync.read_batches(t.spark, target).drop(sync.BATCH)
 
 
-@query("stream_preview", "SELECT 50 AS n FROM events LIMIT 1")
+@query("stream_preview", "SELECT least(count(*), 50) AS n, least(count(*), 50) AS of_the_source FROM events")
 def stream_preview(t: Tables):
+    """Different messages, all of them rows of the source."""
     source = {"format": "parquet", "path": t.path("events"), "schema": t.events.schema}
-    return sync.stream_preview(t.spark, source, 50).agg(F.count(F.lit(1)).alias("n"))
+    found = sync.stream_preview(t.spark, source, 50)
+    same = found.intersect(t.events).agg(F.count(F.lit(1))).scalar()
+    return found.distinct().agg(F.count(F.lit(1)).alias("n")).withColumn("of_the_source", same)
 
 
 @query("stream_payload", "SELECT event_id, props, (props::JSON ->> 'k')::BIGINT AS props_k FROM events")

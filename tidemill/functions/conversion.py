@@ -33,6 +33,7 @@ DDL_SYNONYMS = {
     "NUMERIC": "DECIMAL(38,0)", "DECIMAL": "DECIMAL(38,0)",
 }
 NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)$"
 WHOLE_TEXT = r"^\s*[+-]?\d+\s*$"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.functions.conversion import to_double, to_whole
+from tidemill.functions.conversion import to_whole
 from tidemill.functions.quoting import named
 from tidemill.operators.ordering import dense_ids
 from tidemill.session import require_columns
@@ -120,13 +120,13 @@ def add_metadata(df: DataFrame, operation: str, timestamp=None) -> DataFrame:
 
 
 def add_surrogate_id(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
-    """Numeric ``id`` column: kept as BIGINT when all its values are numbers, else generated.
+    """Numeric ``id`` column: kept as BIGINT when all its values are whole numbers of that range, else generated.
 
-    A non-numeric ``id`` is kept as ``id_original``; generated ids follow ``order_by`` and have no gaps.
+    Any other ``id`` is kept as ``id_original``, so that no value is lost; generated ids follow ``order_by`` and have no
+    gaps. Ids that are kept may repeat or be null: ``id_report`` counts such rows.
     """
     if "id" in df.columns:
-        bad = named("id").isNotNull() & to_double(named("id")).isNull()
-        if df.agg(F.count_if(bad)).first()[0] == 0:
+        if id_report(df).first()["other_ids"] == 0:
             return df.withColumn("id", to_whole(named("id")))
         df = df.withColumnRenamed("id", "id_original")
     if not order_by:
@@ -135,6 +135,21 @@ def add_surrogate_id(df: DataFrame, order_by: Sequence[str] | None = None) -> Da
     return dense_ids(df, order, "id")
 
 
+def id_report(df: DataFrame, column: str = "id") -> DataFrame:
+    """One row: rows, null ids, ids that are no whole number of 64 bits, and rows beyond the first of their id."""
+    require_columns(df, [column])
+    other = named(column).isNotNull() & to_whole(named(column)).isNull()
+    per_id = df.groupBy(named(column).alias("v"), other.alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("v").isNotNull()
+
+    def total(value, keep):
+        return F.coalesce(F.sum(F.when(keep, value)), F.lit(0))
+
+    return per_id.agg(
+        total(F.col("n"), F.lit(True)).alias("rows"), total(F.col("n"), ~known).alias("null_ids"),
+        total(F.col("n"), F.col("other")).alias("other_ids"), total(F.col("n") - 1, known).alias("repeated_ids"))
+
+
 def with_defaults(df: DataFrame, column_configs: Sequence[Mapping[str, Any]]) -> DataFrame:
     """Fill nulls of configured columns with their default value, cast to the column's type."""
     require_columns(df, [c["name"] for c in column_configs])

@@ -6,13 +6,14 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.cleaning import cleaned
-from tidemill.functions.conversion import DATE_FORMATS, WHOLE_TEXT, converted, loaded, parsed_with
+from tidemill.functions.conversion import DATE_FORMATS, NUMBER_TEXT, PLAIN_NUMBER, converted, loaded, parsed_with
 from tidemill.functions.predicates import combine, rule_predicate
 from tidemill.functions.quoting import named
+from tidemill.operators.ordering import with_range_bucket
 from tidemill.session import require_columns
 
 
@@ -56,16 +57,60 @@ def cast_on_load(
 
 
 def cast_to_ddl(df: DataFrame, column_types: Mapping[str, str]) -> DataFrame:
-    """Cast to user-declared types; an unknown boolean text is false here."""
-    out = {c: loaded(named(c), t, boolean_default=False) for c, t in column_types.items() if c in df.columns}
+    """Cast to user-declared types; an unknown boolean text is false here.
+
+    A NUMERIC without precision gets the scale that its values need (one job finds it). Where they need more than 38
+    digits the column stays text, so that no number is rounded or lost; ``lost_cells`` counts what other casts lose.
+    """
+    open_ended = [c for c, t in column_types.items() if c in df.columns and t.strip().upper() in ("NUMERIC", "DECIMAL")]
+    kinds = decimal_types(df, open_ended)
+    out = {c: _decimal(named(c), kinds[c]) if c in kinds else loaded(named(c), t, boolean_default=False)
+           for c, t in column_types.items() if c in df.columns}
     return df.withColumns(out) if out else df
 
 
+def decimal_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """For each column the decimal type that holds all its plain numbers exactly, ``string`` if none does.
+
+    Texts that are no number at all count for nothing; a number with an exponent keeps its column text.
+    """
+    if not columns:
+        return {}
+    facts = []
+    for i, c in enumerate(columns):
+        text = F.trim(named(c).cast("string"))
+        plain, number = text.rlike(PLAIN_NUMBER), text.rlike(NUMBER_TEXT)
+        whole = F.regexp_extract(text, r"^[+-]?0*(\d*)", 1)
+        part = F.regexp_extract(text, r"\.(\d*?)0*$", 1)
+        facts += [F.max(F.when(plain, F.length(whole))).alias(f"w{i}"), F.max(F.when(plain, F.length(part))).alias(f"s{i}"),
+                  F.count_if(number & ~plain).alias(f"e{i}")]
+    row = df.agg(*facts).first()
+    out = {}
+    for i, c in enumerate(columns):
+        digits, scale = row[f"w{i}"] or 0, row[f"s{i}"] or 0
+        out[c] = "string" if row[f"e{i}"] or digits + scale > 38 else f"decimal(38,{scale})"
+    return out
+
+
+def _decimal(col: Column, kind: str) -> Column:
+    text = F.trim(col.cast("string"))
+    return col.cast("string") if kind == "string" else F.when(text.rlike(PLAIN_NUMBER), text.try_cast(kind))
+
+
+def lost_cells(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Per column the cells that hold a value in ``before`` but none in ``after``: one count of each frame."""
+    old, new = (df.agg(*[F.count(named(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first() for df in (before, after))
+    return {c: old[f"c{i}"] - new[f"c{i}"] for i, c in enumerate(columns)}
+
+
 def preserve_big_integers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Whole numbers of up to 38 digits as exact decimals; other text becomes null."""
+    """Numbers as exact decimals of the scale they need; columns that need more than 38 digits stay text.
+
+    Texts that are no plain number become null, numbers never.
+    """
     require_columns(df, columns)
-    texts = {c: named(c).cast("string") for c in columns}
-    return df.withColumns({c: F.when(t.rlike(WHOLE_TEXT), t.try_cast("decimal(38,0)")) for c, t in texts.items()})
+    kinds = decimal_types(df, columns)
+    return df.withColumns({c: _decimal(named(c), kinds[c]) for c in columns})
 
 
 # Copies of one row that a single task writes; more are spread over tasks.
@@ -132,20 +177,56 @@ def sort(df: DataFrame, column: str, direction: str = "ASC") -> DataFrame:
 
 def page(
     df: DataFrame, order_by: Sequence[str | Column], page: int = 1, page_size: int = 25, with_total: bool = False,
+    shallow: int = 10_000,
 ) -> DataFrame:
-    """One page of the ordered rows; ``with_total`` adds the count of all rows.
+    """One page of the rows ordered by columns, ``-column`` for falling order; ``with_total`` adds the count of all rows.
 
-    Ties are ordered by the whole row, so pages neither lose nor repeat rows. The rows before the page are read as part
-    of a top-k; for deep pages ``page_after`` is as cheap as for the first.
+    Ties are ordered by the whole row, so pages neither lose nor repeat rows. A page among the first ``shallow`` rows is
+    read off a top-k. For a deeper one the rows are cut into ranges of the order, and the ranges' counts tell in which
+    the page lies; only these are sorted. That takes one direction for all columns and, as ``order_by`` may hold any
+    expressions, names; with others the page is always read off a top-k.
     """
     skip = (page - 1) * page_size
     whole = F.to_json(F.struct(*[named(c) for c in df.columns]))
-    out = df.orderBy(*order_by, whole).offset(skip).limit(page_size)
+    names, falling = _directions(df, order_by)
+    if skip + page_size <= shallow or names is None:
+        order = order_by if names is None else [named(c).desc() if d else named(c).asc() for c, d in zip(names, falling, strict=True)]
+        out = df.orderBy(*order, whole.desc() if falling and all(falling) else whole).offset(skip).limit(page_size)
+    else:
+        out = _located_page(df.withColumn("__whole", whole), names, falling[0], skip, page_size).select(*[named(c) for c in df.columns])
     if not with_total:
         return out
     return out.withColumn("total_count", df.agg(F.count(F.lit(1))).scalar())
 
 
+def _directions(df: DataFrame, order_by: Sequence[str | Column]) -> tuple[list[str] | None, list[bool]]:
+    """Column names and whether each falls; no names if an entry is an expression or the directions differ."""
+    names, falling = [], []
+    for entry in order_by:
+        if not isinstance(entry, str):
+            return None, []
+        down = entry not in df.columns and entry.startswith("-")
+        names.append(entry[1:] if down else entry)
+        falling.append(down)
+    require_columns(df, names)
+    return (names, falling) if len(set(falling)) <= 1 else (None, [])
+
+
+def _located_page(df: DataFrame, names: Sequence[str], falling: bool, skip: int, size: int) -> DataFrame:
+    keys = [*names, "__whole"]
+    ranged = with_range_bucket(df, keys, "__bucket")
+    # one row per range
+    order = F.col("__bucket").desc() if falling else F.col("__bucket").asc()
+    earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).select(
+        F.col("__bucket").alias("__at"), "__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    holds = counts.where((F.col("__base") < skip + size) & (F.col("__base") + F.col("__n") > skip))
+    near = ranged.join(F.broadcast(holds), F.col("__bucket") == F.col("__at"))
+    inside = Window.partitionBy("__bucket").orderBy(*[named(c).desc() if falling else named(c).asc() for c in keys])
+    place = near.withColumn("__place", F.col("__base") + F.row_number().over(inside))
+    return place.where(F.col("__place").between(skip + 1, skip + size)).orderBy("__place")
+
+
 def page_after(df: DataFrame, key: str, last_value: Any, page_size: int = 25) -> DataFrame:
     """Page that follows ``last_value`` of a unique key: as cheap for deep pages as for the first."""
     return df.filter(named(key) > F.lit(last_value)).orderBy(key).limit(page_size)

@@ -117,7 +117,8 @@ def read_text_lines(
     """Lines of text files as (line_number, content); blank lines are dropped but counted.
 
     Files are split across tasks. A line's number is its place in its file block plus the line counts of
-    the file's earlier blocks, so no task reads a whole file.
+    the file's earlier blocks, so no task reads a whole file. Lines are numbered where they are read and never move:
+    every task gets the table of blocks, two numbers each, which is smaller than the listing that the driver holds.
     """
     text = spark.read.options(**options).option("lineSep", "\n").text(path)
     if file_filter is not None:
@@ -126,15 +127,16 @@ def read_text_lines(
     lines = text.select(
         F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__slot"), F.col("value").alias("content"),
+        F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("__at"),
     )
-    blocks = lines.groupBy("__file", "__block").agg(
+    blocks = lines.groupBy("__file", "__block", "__at").agg(
         F.min("__slot").alias("__first"), F.count(F.lit(1)).alias("__lines")
     )
     # one row per file block
     earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("__base", F.coalesce(F.sum("__lines").over(earlier), F.lit(0))).drop("__lines")
-    number = F.col("__base") + F.col("__slot") - F.col("__first") + 1
-    out = lines.join(blocks, ["__file", "__block"]).filter(F.col("content").rlike(r"\S"))
+    blocks = blocks.select("__at", (F.coalesce(F.sum("__lines").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    number = F.col("__slot") + F.col("__shift") + 1
+    out = lines.join(F.broadcast(blocks), "__at").filter(F.col("content").rlike(r"\S"))
     columns = [number.alias("line_number"), F.col("content")]
     return out.select(*columns, F.col("__file").alias("file")) if keep_source else out.select(*columns)
 
