@@ -14,7 +14,8 @@ from tidemill.llm.helpers import WORD_BYTES, map_batches, marked_words, new_name
 from tidemill.session import materialize
 
 WINDOW = 10
-BLOCK_BYTES = 16_000_000
+#: Item text of one automaton: 2 MB take some 400 MB while it is built on the driver, and 40 MB as sent to the tasks.
+BLOCK_BYTES = 2_000_000
 SPANS = "array<struct<first:bigint,last:bigint>>"
 
 
@@ -107,7 +108,6 @@ def remove_items(
     ``n_chars``, where there is one, follows the text. Nulls, empty texts and extra columns pass unchanged. With more
     than one block of items the blocks take turns until a whole round cuts nothing.
     """
-    blocks = list(item_blocks(benchmark, item_id, item_text, block_bytes))
     at = documents.columns.index(text)
     sizes = documents.columns.index(n_chars) if n_chars in documents.columns else None
     mark = new_name(documents, "hit_words")
@@ -136,12 +136,12 @@ def remove_items(
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
         return clean
 
-    shared = [share(documents.sparkSession, Matcher(b, window)) for b in blocks]
     hits = -1
     while True:
-        for number, one in enumerate(shared):
+        for number, items in enumerate(item_blocks(benchmark, item_id, item_text, block_bytes)):
+            one = share(documents.sparkSession, Matcher(items, window))  # one block's automaton at a time
             rows = map_batches(materialize(rows) if number else rows, cleaner(one), rows.schema)
-        if len(shared) == 1:
+        if not number:
             break
         rows = materialize(rows)
         now = rows.agg(F.sum(quoted(mark)[1])).first()[0] or 0
