@@ -529,3 +529,56 @@ def test_change_event_document_keeps_types_and_unknown_fields(spark):
     fields = mixed.selectExpr("operationType", "fullDocument", "documentKey", "clusterTime", "struct(struct(4 AS n, true AS y) AS updatedFields) AS updateDescription")
     row = env.change_event_document(fields).where("_id = 6").selectExpr("n", "to_json(_updated_fields) AS rest").first()
     assert tuple(row) == (4, '{"y":true}')
+
+
+def csv_of(spark, text):
+    path = scratch_path(spark, "import")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return files.read_csv(spark, path)
+
+
+def test_import_of_untidy_files(spark, rows):
+    """Ids that are no numbers, numbers of many digits, empty columns, special names: nothing is lost, ids go on."""
+    mixed = csv_of(spark, "id,Name,Category Type,notes\n1,a,x,\n2,b,y,n\n,c,x,\n4,d,y,\ninvalid,e,x,\n6,f,y,z")
+    table, path = fresh_name("mixed"), scratch_path(spark, "mixed")
+    report = ex.import_table(mixed, table, path, [{"name": "notes", "default_value": "-"}])
+    assert report["names"]["Category Type"] == "category_type" and report["ids"]["other_ids"] == 1 and report["ids"]["null_ids"] == 1
+    got = rows(spark.table(table).select("id", "id_original", "name", "notes"))
+    assert got == [(1, "1", "a", "-"), (2, "2", "b", "n"), (3, None, "c", "-"), (4, "4", "d", "-"), (5, "invalid", "e", "-"), (6, "6", "f", "z")]
+    ex.import_table(mixed, table, path)
+    assert sorted(r["id"] for r in spark.table(table).collect()) == list(range(1, 13))
+
+    large = csv_of(spark, "id,account number,balance,amount\n1,12345678901234567890123456789012,0.5,9223372036854775807\n2,99999999999999999999999999999999,12.25,1")
+    table = fresh_name("large")
+    report = ex.import_table(large, table, scratch_path(spark, "large"))
+    assert report["lost_cells"] == {} and report["types"]["id"] == "bigint"
+    cells = spark.table(table).select("id", F.col("account_number").cast("string"), "balance", F.col("amount").cast("string"))
+    assert rows(cells) == [(1, "12345678901234567890123456789012", 0.5, "9223372036854775807"), (2, "9" * 32, 12.25, "1")]
+
+    holes = csv_of(spark, "name,e-mail,1st\na,,\n,b@c,")
+    table = fresh_name("holes")
+    report = ex.import_table(holes, table, scratch_path(spark, "holes"))
+    assert list(report["names"].values()) == ["name", "e_mail", "col_1st"] and report["ids"] is None
+    assert spark.table(table).columns[0] == "id" and spark.table(table).count() == 2
+
+
+def test_views_of_a_table(spark):
+    df = spark.createDataFrame([(i, f"n{i % 3}", i % 4) for i in range(40)], "k int, name string, v int")
+    view = rows_module.table_view(df, "name", "n1", "v", "desc", 2, 5)
+    ordered = sorted(((v, f'{{"k":{k},"name":"{n}","v":{v}}}', k) for k, n, v in ((i, f"n{i % 3}", i % 4) for i in range(40)) if n == "n1"), reverse=True)
+    assert [(r["k"], r["total_count"]) for r in view.collect()] == [(k, 13) for *_, k in ordered[5:10]]
+    assert rows_module.table_view(df).count() == 25 and rows_module.table_view(df, page_number=2, shallow=0).count() == 15
+    with pytest.raises(ValueError, match="direction"):
+        rows_module.table_view(df, order_by="v", direction="up")
+
+
+def test_dump_of_empty_and_unknown_values(spark, rows):
+    schema = "key string, type string, ttl int, string string, hash map<string,string>, list array<string>, `set` array<string>, zset array<struct<value:string,score:double>>"
+    dump = spark.createDataFrame([
+        ("a", "string", -1, None, None, None, None, None), ("b", "string", 5, "", None, None, None, None), ("c", "hash", -1, None, {}, None, None, None),
+        ("d", "list", -1, None, None, ["x", None, "x"], None, None), ("e", "set", -1, None, None, None, ["x", "x"], None), ("f", "zset", -1, None, None, None, None, [("m", 1.5)]),
+        ("g", "stream", -1, "lost?", None, None, None, None), ("h", "list", -1, "no", None, None, ["no"], None)], schema)
+    found = rows(env.dump_rows(dump).select("key", "index", "value", "score", "ttl", "size"))
+    assert found == sorted([
+        ("a", None, None, None, -1, 0), ("b", None, "", None, 5, 0), ("d", 0, "x", None, -1, 1), ("d", 1, None, None, -1, 0), ("d", 2, "x", None, -1, 1),
+        ("e", None, "x", None, -1, 1), ("f", None, "m", 1.5, -1, 1)], key=repr)

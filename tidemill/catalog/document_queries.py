@@ -142,6 +142,26 @@ def explode_zset(t: Tables):
     return env.explode_zset(t.part.select(F.col("p_partkey").alias("key"), pairs.alias("value")))
 
 
+@query("dump_rows", """WITH d AS (SELECT p_partkey AS key, ['string', 'hash', 'list', 'set', 'zset', 'stream'][1 + p_partkey % 6] AS type, p_name, p_brand, p_type,
+ p_retailprice, string_split(p_name || ' ' || p_type || ' ' || p_type, ' ') AS w FROM part)
+ SELECT key, type, NULL AS field, NULL::INTEGER AS index, CASE WHEN key % 4 <> 0 THEN p_name END AS value, NULL::DOUBLE AS score, -1 AS ttl,
+  coalesce(length(CASE WHEN key % 4 <> 0 THEN p_name END), 0)::INTEGER AS size FROM d WHERE type = 'string'
+ UNION ALL SELECT key, type, f.field, NULL, f.value, NULL, -1, length(f.value)::INTEGER FROM d,
+  LATERAL (SELECT 'brand' AS field, p_brand AS value UNION ALL SELECT 'type', p_type) f WHERE type = 'hash'
+ UNION ALL SELECT key, type, NULL, (i - 1)::INTEGER, w[i], NULL, -1, length(w[i])::INTEGER FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d WHERE type = 'list')
+ UNION ALL SELECT key, type, NULL, NULL, value, NULL, -1, length(value)::INTEGER FROM (SELECT DISTINCT key, type, unnest(w) AS value FROM d WHERE type = 'set')
+ UNION ALL SELECT key, type, NULL, NULL, p_name, p_retailprice, -1, length(p_name)::INTEGER FROM d WHERE type = 'zset'""")
+def dump_rows(t: Tables):
+    """A dump in which every part is a key, of the five types in turn and of one that is not known."""
+    words = F.split(F.concat_ws(" ", "p_name", "p_type", "p_type"), " ")
+    kinds = F.array(*[F.lit(k) for k in ("string", "hash", "list", "set", "zset", "stream")])
+    return env.dump_rows(t.part.select(
+        F.col("p_partkey").alias("key"), F.get(kinds, (F.col("p_partkey") % 6).cast("int")).alias("type"), F.lit(-1).alias("ttl"),
+        nulled("p_name", "p_partkey", 4).alias("string"), F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type").alias("hash"),
+        words.alias("list"), words.alias("set"),
+        F.array(F.struct(F.col("p_name").alias("value"), F.col("p_retailprice").alias("score"))).alias("zset")))
+
+
 @query("value_size", """SELECT doc_id, coalesce(length(CASE WHEN doc_id % 9 <> 0 THEN text END), 0)::INTEGER AS size,
  length(n_chars::VARCHAR)::INTEGER AS number_size FROM documents""")
 def value_size(t: Tables):

@@ -141,6 +141,23 @@ def batch_import(t: Tables):
     return t.spark.createDataFrame(found, "source string, status string, row_count long")
 
 
+@query("import_table", """SELECT row_number() OVER (ORDER BY o_orderkey) AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'x' || o_orderkey::VARCHAR ELSE o_orderkey::VARCHAR END AS id_original,
+ o_totalprice AS total_price, o_orderdate AS order_date, '12345678901234567890' || o_orderkey::VARCHAR AS big_number,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'none' ELSE o_orderpriority END AS priority FROM orders""")
+def import_table(t: Tables):
+    """CSV text with untidy names, an id that is no number everywhere, long numbers and holes, imported in one call."""
+    key = F.col("o_orderkey")
+    path, table = t.scratch("import_table"), fresh_name("imported")
+    untidy = t.orders.orderBy("o_orderkey").select(
+        F.when(key % 7 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(key.cast("string")).alias("ID"),
+        F.col("o_totalprice").alias("Total-Price"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias(" Order Date"),
+        F.concat(F.lit("12345678901234567890"), key.cast("string")).alias("Big Number"), F.when(key % 5 != 0, F.col("o_orderpriority")).alias("priority"))
+    out.write_csv(untidy, path)
+    ex.import_table(files.read_csv(t.spark, path), table, t.scratch("import_tables"), [{"name": "priority", "default_value": "none"}])
+    loaded = t.spark.table(table)
+    return loaded.withColumns({"order_date": F.col("order_date").cast("timestamp_ntz"), "big_number": F.col("big_number").cast("string")})
+
+
 @query("extract_columns", "SELECT o_orderkey, o_totalprice FROM orders")
 def extract_columns(t: Tables):
     return files.extract_columns(t.orders, ["o_orderkey", "no_such_column", "o_totalprice"])

@@ -226,6 +226,16 @@ def page(t: Tables):
     return rows.page(df, ["-l_shipdate", "-l_orderkey", "-l_linenumber"], page=120, with_total=True, shallow=0)
 
 
+@query("table_view", """SELECT p_partkey, p_name, p_retailprice, (SELECT count(*) FROM part WHERE contains(p_name, 'ring')) AS total_count FROM part
+ WHERE contains(p_name, 'ring') ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 5 OFFSET 5""")
+def table_view(t: Tables):
+    """Second page of the parts found; prices repeat, ties go by the whole row."""
+    price = F.col("p_retailprice")
+    df = t.part.select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("p_partkey"), "p_name", price)
+    found = rows.table_view(df, "p_name", "ring", "p_retailprice", "DESC", 2, 5, shallow=0)
+    return found.withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
 @query("page_after", "SELECT * FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 25")
 def page_after(t: Tables):
     return rows.page_after(t.orders, "o_orderkey", 500)

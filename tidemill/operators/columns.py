@@ -119,7 +119,7 @@ def add_metadata(df: DataFrame, operation: str, timestamp=None) -> DataFrame:
     return df.withColumns({"_sync_timestamp": when, "_sync_operation": F.lit(operation)})
 
 
-def add_surrogate_id(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
+def add_surrogate_id(df: DataFrame, order_by: Sequence[str] | None = None, start: int = 1) -> DataFrame:
     """Numeric ``id`` column: kept as BIGINT when all its values are whole numbers of that range, else generated.
 
     Any other ``id`` is kept as ``id_original``, so that no value is lost; generated ids follow ``order_by`` and have no
@@ -132,7 +132,7 @@ def add_surrogate_id(df: DataFrame, order_by: Sequence[str] | None = None) -> Da
     if not order_by:
         raise ValueError("order_by is required to generate ids: rows have no order of their own")
     order = ["id_original" if c == "id" else c for c in order_by]
-    return dense_ids(df, order, "id")
+    return dense_ids(df, order, "id", start)
 
 
 def id_report(df: DataFrame, column: str = "id") -> DataFrame:

@@ -193,7 +193,7 @@ def page(
         order = order_by if names is None else [named(c).desc() if d else named(c).asc() for c, d in zip(names, falling, strict=True)]
         out = df.orderBy(*order, whole.desc() if falling and all(falling) else whole).offset(skip).limit(page_size)
     else:
-        out = _located_page(df.withColumn("__whole", whole), names, falling[0], skip, page_size).select(*[named(c) for c in df.columns])
+        out = _located_page(df.withColumn("__whole", whole), names, any(falling), skip, page_size).select(*[named(c) for c in df.columns])
     if not with_total:
         return out
     return out.withColumn("total_count", df.agg(F.count(F.lit(1))).scalar())
@@ -232,6 +232,21 @@ def page_after(df: DataFrame, key: str, last_value: Any, page_size: int = 25) ->
     return df.filter(named(key) > F.lit(last_value)).orderBy(key).limit(page_size)
 
 
+def table_view(
+    df: DataFrame, search_column: str | None = None, search_value: str | None = None, order_by: str | None = None,
+    direction: str = "ASC", page_number: int = 1, page_size: int = 25, shallow: int = 10_000,
+) -> DataFrame:
+    """A page of a table as a viewer wants it: searched, ordered, and with the count of all rows that the search found.
+
+    Without a column to search or a text, all rows count; without an order, rows go by their content.
+    """
+    if direction.upper() not in ("ASC", "DESC"):
+        raise ValueError(f"Unknown direction: {direction}")
+    found = search(df, search_column, search_value) if search_column and search_value else df
+    order = [f"-{order_by}" if direction.upper() == "DESC" else order_by] if order_by else []
+    return page(found, order, page_number, page_size, with_total=True, shallow=shallow)
+
+
 def search(df: DataFrame, column: str, text: str) -> DataFrame:
     """Rows whose column contains the literal text."""
     require_columns(df, [column])

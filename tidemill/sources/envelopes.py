@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,6 +168,34 @@ def explode_zset(df: DataFrame, value: str = "value") -> DataFrame:
     return out.withColumns({"type": F.lit("zset"), "size": value_size(F.col("value"))})
 
 
+def dump_rows(df: DataFrame, columns: Mapping[str, str] | None = None) -> DataFrame:
+    """A key-value dump of mixed types as one frame: ``(key, type, field, index, value, score, ttl, size)``.
+
+    ``df`` has ``key``, ``type``, ``ttl`` and a value column for each type, named like it or as ``columns`` says:
+    ``string`` text, ``hash`` map, ``list`` and ``set`` arrays, ``zset`` array of value and score. A string gives one row, also
+    if it is null; the others one row per field, element, distinct member or scored member, none if they are empty. Keys
+    of another type give no row. All kinds are opened in one pass.
+    """
+    place = {k: named((columns or {}).get(k, k)) for k in ("string", "hash", "list", "set", "zset")}
+
+    def entry(field=None, index=None, value=None, score=None) -> Column:
+        given = {"field": (field, "string"), "index": (index, "int"), "value": (value, "string"), "score": (score, "double")}
+        return F.struct(*[(F.lit(None) if v is None else v).cast(t).alias(k) for k, (v, t) in given.items()])
+
+    opened = {
+        "string": F.array(entry(value=place["string"])),
+        "hash": F.transform(F.map_entries(place["hash"]), lambda e: entry(field=e["key"], value=e["value"])),
+        "list": F.transform(place["list"], lambda v, i: entry(index=i, value=v)),
+        "set": F.transform(F.array_distinct(place["set"]), lambda v: entry(value=v)),
+        "zset": F.transform(place["zset"], lambda e: entry(value=e["value"], score=e["score"])),
+    }
+    entries = F.lit(None)
+    for kind, rows in opened.items():
+        entries = F.when(named("type") == kind, rows).otherwise(entries)
+    out = df.select("key", "type", F.inline(entries), "ttl")
+    return out.select("key", "type", "field", "index", "value", "score", "ttl", value_size(F.col("value")).alias("size"))
+
+
 def _as_kind(value: Column, given: T.DataType, kind: T.DataType) -> Column:
     """An updated value as the type of its document field, null where it does not fit."""
     if given == kind:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.predicates import extraction_predicate
 from tidemill.functions.quoting import named
+from tidemill.operators.columns import add_surrogate_id, id_report, sanitize_columns, with_defaults
 from tidemill.operators.inspect import infer_types
-from tidemill.operators.rows import cast_on_load, sort
+from tidemill.operators.rows import cast_on_load, lost_cells, preserve_big_integers, sort
 from tidemill.session import require_columns
 from tidemill.sinks.tables import save_append
 from tidemill.sources.files import extract_columns
@@ -102,16 +103,53 @@ def extract_and_load(df: DataFrame, table: str, location: str | None = None, cre
     return {c: t.load_type for c, t in inferred.items()}
 
 
+def import_table(
+    df: DataFrame, table: str, location: str | None = None, column_configs: Sequence[Mapping[str, Any]] = (),
+) -> dict[str, Any]:
+    """Import a frame of texts, as a CSV reader gives it: clean names, types, ids, defaults, and load, in one call.
+
+    Names are sanitised. Types are inferred; numbers that no type holds exactly stay text. An ``id`` of whole numbers is
+    kept, any other becomes ``id_original`` and ids are generated in the order of the rows, from the table's largest on.
+    Nulls get the defaults of ``column_configs`` (by clean name). The table is made if there is none. The report has the
+    new names, the types, the ids' problems and the cells that no longer hold a value.
+    """
+    spark = df.sparkSession
+    clean = sanitize_columns(df)
+    names = dict(zip(df.columns, clean.columns, strict=True))
+    inferred = infer_types(clean)
+    text = [c for c, kind in clean.dtypes if kind == "string"]
+    types = {c: inferred[c].load_type for c in text if c != "id"}
+    numeric = [c for c, kind in types.items() if kind.upper() in ("NUMERIC", "DECIMAL")]
+    formats = {c: inferred[c].date_format for c in types if inferred[c].date_format}
+    typed = cast_on_load(preserve_big_integers(clean, numeric) if numeric else clean, {c: k for c, k in types.items() if c not in numeric}, formats)
+    lost = {c: n for c, n in lost_cells(clean, typed, text).items() if n} if text else {}
+    ids = id_report(clean).first().asDict() if "id" in clean.columns else None
+    if ids is None or ids["other_ids"] or ids["null_ids"] == ids["rows"]:
+        start = 1
+        if spark.catalog.tableExists(table) and "id" in spark.table(table).columns:
+            start = (spark.table(table).agg(F.max("id")).first()[0] or 0) + 1
+        if ids is not None:
+            typed = typed.withColumnRenamed("id", "id_original")
+        placed = typed.withColumn("__place", F.monotonically_increasing_id())
+        typed = add_surrogate_id(placed, ["__place"], start).drop("__place")
+    else:
+        typed = add_surrogate_id(typed)
+    typed = with_defaults(typed, [c for c in column_configs if c["name"] in typed.columns])
+    save_append(typed, table, location)
+    return {"names": names, "types": dict(typed.dtypes), "ids": ids, "lost_cells": lost}
+
+
 def batch_import(
-    spark: SparkSession, files: Mapping[str, str], reader, location: str | None = None
+    spark: SparkSession, files: Mapping[str, str], reader, location: str | None = None,
+    column_configs: Sequence[Mapping[str, Any]] = (),
 ) -> list[dict[str, Any]]:
-    """Load each file into its own table; the report holds one entry per file, failures do not stop the rest."""
+    """Import each file into its own table; the report holds one entry per file, failures do not stop the rest."""
     report = []
     for table, path in files.items():
         try:
             df = reader(spark, path)
-            types = extract_and_load(df, table, f"{location}/{table}" if location else None)
-            report.append({"table": table, "path": path, "status": "success", "columns": types, "error": None})
+            done = import_table(df, table, f"{location}/{table}" if location else None, column_configs)
+            report.append({"table": table, "path": path, "status": "success", "columns": done["types"], "error": None})
         except Exception as error:  # noqa: BLE001 - any failure of one file is reported
             report.append({"table": table, "path": path, "status": "error", "columns": {}, "error": str(error)})
     return report
