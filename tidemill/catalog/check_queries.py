@@ -258,6 +258,22 @@ def snapshot_list(t: Tables):
     return store.list().select(F.col("step_index").cast("long").alias("step_index"), "status", "data_rows")
 
 
+@query("snapshot_before", """SELECT 'before_step' AS type, 0 AS step_index, count(*) AS data_rows, 0 AS next_step, 1 AS active FROM orders
+ UNION ALL SELECT 'after_step', 1, count(*), 2, 3 FROM orders WHERE o_orderstatus = 'F'""")
+def snapshot_before(t: Tables):
+    """State of a run whose first step fails, and of the run that resumes with the stored input."""
+    store = Snapshots(t.spark, t.scratch("snapshots"), "run")
+    broken = {"type": "custom_python", "config": {"function": lambda df: df.select("no_such_column")}}
+    try:
+        run_steps(t.orders, [broken], snapshots=store, snapshot_before=True)
+    except Exception:  # noqa: BLE001 - the failure is the point
+        pass
+    names = ["type", "step_index", "data_rows", "next_step", "active"]
+    failed = t.spark.createDataFrame(store.state().select(*names).collect(), "type string, step_index int, data_rows long, next_step int, active long")
+    run_steps(t.orders.limit(0), _STEPS[:2], snapshots=store, resume=True)
+    return failed.unionByName(store.state().select(*names))
+
+
 @query("resume_from", """SELECT lower(o_orderpriority) AS priority, count(o_orderkey) AS n, max(o_totalprice) AS top
  FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
 def resume_from(t: Tables):

@@ -78,13 +78,25 @@ class Snapshots:
         except AnalysisException:
             return self.spark.createDataFrame([], MANIFEST_SCHEMA)
         newest = log.groupBy("checkpoint_id").agg(F.max_by(F.struct(*log.columns), "version").alias("r"))
-        return newest.select("r.*").orderBy(F.col("step_index").desc(), F.col("timestamp").desc())
+        return newest.select("r.*").orderBy(F.col("step_index").desc(), (F.col("type") == "before_step").asc(), F.col("timestamp").desc())
+
+    def state(self) -> DataFrame:
+        """One row: the run, its newest active snapshot, the step to run next, and how many snapshots are active."""
+        active = self.list().filter("status = 'active'")
+        after = F.col("type") != "before_step"
+        place = F.struct("step_index", after.alias("after"))
+        return active.agg(
+            F.max_by(F.struct("step_index", "step_name", "type", "data_rows"), place).alias("newest"), F.count(F.lit(1)).alias("active"),
+        ).select(
+            F.lit(self.run_id).alias("run_id"), "newest.step_index", "newest.step_name", "newest.type", "newest.data_rows",
+            F.coalesce(F.col("newest.step_index") + F.when(F.col("newest.type") == "before_step", 0).otherwise(1), F.lit(0)).alias("next_step"), "active")
 
     def resume(self) -> tuple[DataFrame, int] | None:
-        """Data of the newest active snapshot and the index of the step to run next."""
+        """Data of the newest active snapshot and the index of the step to run next; of one step, after comes last."""
         for row in self.list().filter("status = 'active'").toLocalIterator():
             try:
-                return self.spark.read.parquet(self._data(row["checkpoint_id"])), row["step_index"] + 1
+                after = row["type"] != "before_step"
+                return self.spark.read.parquet(self._data(row["checkpoint_id"])), row["step_index"] + after
             except AnalysisException:
                 continue
         return None
@@ -92,7 +104,7 @@ class Snapshots:
     def rollback_to(self, step_index: int) -> DataFrame:
         """Data of the snapshot of a step; later snapshots become inactive."""
         rows = [r for r in self.list().toLocalIterator() if r["status"] == "active"]
-        keep = [r for r in rows if r["step_index"] == step_index]
+        keep = [r for r in rows if r["step_index"] == step_index and r["type"] != "before_step"]
         if not keep:
             raise ValueError(f"no active snapshot of step {step_index}")
         for r in rows:

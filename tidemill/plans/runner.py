@@ -120,11 +120,13 @@ def run_steps(
     fail_on_empty: bool = False,
     snapshots: Snapshots | None = None,
     resume: bool = False,
+    snapshot_before: bool = False,
 ) -> DataFrame:
     """Fold the steps over a frame; steps with ``enabled: false`` are skipped.
 
     With ``snapshots`` each result is stored and the next step reads the stored rows; ``resume`` continues
-    after the newest stored step.
+    after the newest stored step. ``snapshot_before`` also stores what goes into the first step that runs and into each
+    step marked ``checkpoint_before: true``, so that a run which fails there resumes with its very input.
     """
     made = [(s.get("name", str(i)), make_step(s, sources) if s.get("enabled", True) else None)
             for i, s in enumerate(steps)]
@@ -133,9 +135,12 @@ def run_steps(
         found = snapshots.resume()
         if found:
             df, start = found
+    first = next((i for i, (_, step) in enumerate(made) if i >= start and step is not None), None)
     for i, (name, step) in enumerate(made):
         if i < start or step is None:
             continue
+        if snapshots is not None and snapshot_before and (i == first or steps[i].get("checkpoint_before")):
+            df = snapshots.save(df, i, name, "before_step")
         df = df.transform(step)
         if snapshots is not None:
             df = snapshots.save(df, i, name)
