@@ -126,7 +126,8 @@ def add_surrogate_id(df: DataFrame, order_by: Sequence[str] | None = None, start
     gaps. Ids that are kept may repeat or be null: ``id_report`` counts such rows.
     """
     if "id" in df.columns:
-        if id_report(df).first()["other_ids"] == 0:
+        other = named("id").isNotNull() & to_whole(named("id")).isNull()
+        if df.agg(F.count_if(other)).first()[0] == 0:
             return df.withColumn("id", to_whole(named("id")))
         df = df.withColumnRenamed("id", "id_original")
     if not order_by:
