@@ -278,6 +278,11 @@ def test_urls(spark):
     empty = spark.createDataFrame([], "host string, path string")
     split: Unigrams = count_words(empty, ["garden", "book"], 20)
     assert split.segment("gardenbook") == ["garden", "book"]
+    names = ["essex", "alphabet", "loads", "pads", "sussex", "roadside"]
+    hosts = spark.createDataFrame([(i, f"http://{h}.example.com/es/{i}") for i, h in enumerate([*names, "freecasino", "winbets", "bestpills"])], "page_id int, url string")
+    got = {r.page_id: (r.words[0], r.verdict) for r in judge_urls(hosts).collect()}
+    assert [got[i] for i in range(len(names))] == [(n, "allow") for n in names]
+    assert [got[i][1] for i in range(len(names), len(names) + 3)] == ["block"] * 3
 
 
 def test_licence_chains(spark):

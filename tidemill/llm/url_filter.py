@@ -29,6 +29,10 @@ PLAIN_WORDS = (
 BUCKETS = 1 << 18
 CLASS_BUCKETS = 1 << 16
 LONGEST_WORD = 24
+#: Letters that a counted word has at least: shorter path parts are codes, with which any name could be split.
+SHORTEST_WORD = 3
+#: A word not counted is no likelier than one of so many, however small the corpus.
+LEAST_TOTAL = 1_000_000
 _PIECES = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -71,9 +75,10 @@ class Unigrams:
             return 3.0
         a, b = _slots(word, len(self.first))
         count = min(self.first[a], self.second[b])
-        if count > 0 and len(word) > 1:
-            return -math.log(count / self.total)
-        return math.log(self.total) + 2.5 * len(word)  # unknown: dearer with each letter
+        total = max(self.total, LEAST_TOTAL)
+        if count > 0 and len(word) >= SHORTEST_WORD:
+            return -math.log(count / total)
+        return math.log(total) + 2.5 * len(word)  # unknown: dearer with each letter
 
     def segment(self, name: str) -> list[str]:
         """The cheapest split of a run of letters into words (Viterbi)."""
@@ -103,7 +108,8 @@ class Unigrams:
 def count_words(urls: DataFrame, seeds: Sequence[str], seed_count: int) -> Unigrams:
     """Counts of the words of all paths and of hyphenated names in hosts, in ``BUCKETS`` slots; ``seeds`` are added.
 
-    Other names of hosts may be words run together, so they do not count as words.
+    Other names of hosts may be words run together, so they do not count as words. Words of fewer letters than
+    ``SHORTEST_WORD`` count for the total only.
     """
     hyphened = F.array_join(F.regexp_extract_all("host", F.lit("([a-z]+(?:-[a-z]+)+)"), F.lit(1)), "/")
     pieces = F.regexp_extract_all(F.lower(F.concat_ws("/", hyphened, "path")), F.lit("([a-z]+)"), F.lit(1))
