@@ -59,6 +59,15 @@ def test_column_preview_samples(spark):
     assert got["ID-x"]["name"] == "id_x" and len(got["ID-x"]["sample_values"]) == 5 and not got["ID-x"]["nullable"]
 
 
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(500).select(F.col("id"), F.when(F.col("id") < 7, F.lit("a")).when(F.col("id") == 9, "b").alias("few"),
+                                 F.lit(None).cast("string").alias("none"))
+    found = inspect.samples(df.repartition(7))
+    assert found == inspect.samples(df.repartition(2, "few")) == inspect.samples(df.coalesce(1))
+    assert sorted(found["few"]) == ["a"] * 4 + ["b"] and found["none"] == [] and len(set(found["id"])) == 5
+    assert {len(v) for v in inspect.samples(df, 3).values()} == {0, 3}
+
+
 def test_one_job_for_many_columns(spark):
     wide = spark.range(20).select(*[F.col("id").cast("string").alias(f"c{i}") for i in range(300)])
     assert len(inspect.infer_types(wide)) == 300
@@ -318,8 +327,9 @@ def test_a_bad_file_leaves_its_neighbours(spark):
     root = scratch_path(spark, "bad")
     out.write_parquet(spark.range(2), f"{root}/in_a")
     spark.createDataFrame([("not parquet",)], "value string").write.text(f"{root}/in_b")
-    bad = next(Path(f"{root}/in_b".removeprefix("file://")).glob("part*"))
-    (bad.parent / "broken.parquet").write_bytes(bad.read_bytes())
+    folder = Path(f"{root}/in_b".removeprefix("file://"))
+    (folder / "broken.parquet").write_bytes(b"not parquet")
+    (folder / "empty.parquet").write_bytes(b"")  # holds nothing that could be lost
     errors = []
     df = files.read_prefix(spark, f"{root}/", "in_", lambda f, e: errors.append(f))
     assert sorted(r["id"] for r in df.where("id is not null").collect()) == [0, 1]
@@ -347,6 +357,20 @@ def test_numbers_of_many_digits_are_loaded_as_text(spark):
     spark.sql(f"DROP TABLE {table}")
 
 
+def test_few_reads_find_the_bad_files(spark, monkeypatch):
+    root = scratch_path(spark, "halves")
+    out.write_parquet(spark.range(40).repartition(40), f"{root}/p")
+    good = sorted(Path(f"{root}/p".removeprefix("file:")).glob("part*.parquet"))
+    for bad in (good[0], good[17]):
+        (bad.parent / f"{bad.stem}-broken.parquet").write_bytes(b"no parquet, and long enough to have a footer")
+    paths, errors, reads = [str(p) for p in sorted(good[0].parent.glob("part*.parquet"))], [], []
+    read = files._read_files
+    monkeypatch.setattr(files, "_read_files", lambda *a, **k: reads.append(a) or read(*a, **k))
+    found = files.read_by_extension(spark, paths, lambda f, e: errors.append(f))["parquet"]
+    assert sorted(r["id"] for r in found.collect()) == list(range(40))
+    assert len(errors) == 2 and all("broken" in e for e in errors) and len(reads) < 25
+
+
 def test_prefix_unites_kinds(spark):
     root = scratch_path(spark, "prefix")
     out.write_csv(spark.range(2), f"{root}/in_a")

@@ -10,6 +10,7 @@ from tidemill.catalog.registry import Tables, fresh_name, query
 from tidemill.operators.inspect import infer_types
 from tidemill.sinks import files as out
 from tidemill.sinks import tables as sink
+from tidemill.sinks.versions import matching
 from tidemill.sources import extract as ex
 from tidemill.sources import files, relational
 
@@ -102,17 +103,36 @@ def read_by_extension(t: Tables):
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), as_text)
 
 
-@query("read_prefix", """SELECT s_suppkey::VARCHAR AS s_suppkey, s_name, CASE WHEN s_acctbal < 5000 THEN 'csv' ELSE 'parquet' END AS kind
- FROM supplier""")
+def _with_suffix(spark, folder: str, suffix: str) -> None:
+    """Give the files of a folder another extension."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    for path in matching(spark, f"{folder}/part-*"):
+        old = jvm.Path(path)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, jvm.Path(f"{path.rsplit('.', 1)[0]}.{suffix}"))
+
+
+_KINDS = ("csv", "tsv", "json", "jsonl", "parquet", "txt")
+
+
+@query("read_prefix", "SELECT CASE WHEN s_suppkey % 6 < 5 THEN s_suppkey::VARCHAR END AS s_suppkey, s_name, ["
+       + ", ".join(f"'{k}'" for k in _KINDS) + "][s_suppkey % 6 + 1] AS kind FROM supplier")
 def read_prefix(t: Tables):
+    """Files of all kinds below one prefix, and others beside it."""
     root = t.scratch("read_prefix")
-    columns = ["s_suppkey", "s_name"]
-    out.write_csv(t.supplier.filter("s_acctbal < 5000").select(columns), f"{root}/data_low")
-    out.write_parquet(t.supplier.filter("s_acctbal >= 5000").select(columns), f"{root}/data_high")
-    out.write_parquet(t.supplier.select(columns), f"{root}/other")
+    parts = {k: t.supplier.where(F.col("s_suppkey") % 6 == i).select("s_suppkey", "s_name") for i, k in enumerate(_KINDS)}
+    out.write_csv(parts["csv"], f"{root}/data_csv")
+    out.write_csv(parts["tsv"], f"{root}/data_tsv", sep="\t")
+    _with_suffix(t.spark, f"{root}/data_tsv", "tsv")
+    _json_documents(parts["json"], f"{root}/data_json", "array")
+    _with_suffix(t.spark, f"{root}/data_json", "json")
+    out.write_json(parts["jsonl"], f"{root}/data_jsonl")
+    _with_suffix(t.spark, f"{root}/data_jsonl", "jsonl")
+    out.write_parquet(parts["parquet"], f"{root}/data_parquet")
+    parts["txt"].select("s_name").write.text(f"{root}/data_txt")
+    out.write_parquet(t.supplier, f"{root}/other")
     rows = files.read_prefix(t.spark, f"{root}/", "data_")
-    kind = F.regexp_extract(files.SOURCE_KEY, r"\.(csv|parquet)$", 1)
-    return rows.select("s_suppkey", "s_name", kind.alias("kind"))
+    kind = F.regexp_extract(files.SOURCE_KEY, r"\.([a-z]+)$", 1)
+    return rows.select("s_suppkey", F.coalesce("s_name", "content").alias("s_name"), kind.alias("kind"))
 
 
 @query("load_source", "SELECT * FROM supplier WHERE s_nationkey = 1 UNION ALL SELECT * FROM supplier")

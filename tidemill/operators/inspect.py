@@ -171,26 +171,31 @@ def infer_types(
     return {c: out[c] for c in df.columns}
 
 
-def column_statistics(df: DataFrame) -> DataFrame:
-    """Per column: null count and number of distinct non-null values.
+def _per_value(df: DataFrame) -> DataFrame:
+    """``(place, value, n)``: how often each column holds each value, as text; nulls are counted too.
 
-    Cells are unpivoted and counted per (column, value) before the second count, so a frequent value is one
-    row after the map side and no task holds the distinct values of a column.
+    Cells are unpivoted and counted before anything else, so a frequent value is one row after the map side and no task
+    holds the values of a column. The place stands for the column's name, which would be moved with each value.
     """
     cells = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("place"), F.lit(c).alias("column_name"), _as_text(df, c).alias("value"))
-        for i, c in enumerate(df.columns)
+        F.struct(F.lit(i).alias("place"), _as_text(df, c).alias("value")) for i, c in enumerate(df.columns)
     ]))
-    per_value = (
-        df.select(cells.alias("cell")).select("cell.*")
-        .groupBy("place", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    return per_value.groupBy("place", "column_name").agg(
+    return df.select(cells.alias("cell")).select("cell.*").groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _statistics(per_value: DataFrame) -> DataFrame:
+    return per_value.groupBy("place").agg(
         F.count(F.col("value")).alias("distinct_values"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
     )
 
 
+def column_statistics(df: DataFrame) -> DataFrame:
+    """Per column: null count and number of distinct non-null values."""
+    name = F.element_at(F.array(*[F.lit(c) for c in df.columns]), F.col("place") + 1)
+    return _statistics(_per_value(df)).select("place", name.alias("column_name"), "distinct_values", "null_count")
+
+
 def _as_text(df: DataFrame, column: str) -> Column:
     kind = df.schema[column].dataType
     present = _present(df, column)
@@ -199,21 +204,24 @@ def _as_text(df: DataFrame, column: str) -> Column:
     return present.cast("string")
 
 
-def samples(df: DataFrame, count: int = 5) -> dict[str, list[str]]:
-    """Up to ``count`` non-null values per column as text.
+def _examples(per_value: DataFrame, count: int) -> DataFrame:
+    """``(place, sample_values)``: up to ``count`` values per column, the same ones however the rows are partitioned.
 
-    The first 1,000 rows serve most columns; a column they leave short is read until it has enough values.
+    These are the values with the smallest hashes, and where a column has fewer different ones, these again, as often as
+    rows hold them. The rank limit works in each task before the shuffle, so a column moves ``count`` rows per task.
     """
-    head = df.limit(1000)
-    row = head.agg(*[
-        F.slice(F.collect_list(_as_text(df, c)), 1, count).alias(f"s{i}") for i, c in enumerate(df.columns)
-    ]).first()
-    out = {c: list(row[f"s{i}"]) for i, c in enumerate(df.columns)}
-    for c, found in out.items():
-        if len(found) < count:
-            text = df.select(_as_text(df, c).alias("v")).filter(F.col("v").isNotNull())
-            out[c] = [r["v"] for r in text.limit(count).collect()]
-    return out
+    mark = F.xxhash64("value")
+    rank = F.row_number().over(Window.partitionBy("place").orderBy(mark, "value"))
+    few = per_value.filter(F.col("value").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= count)
+    found = few.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("found"))
+    again = F.flatten(F.transform("found", lambda v: F.array_repeat(v["value"], F.least(v["n"] - 1, F.lit(count)).cast("int"))))
+    return found.select("place", F.slice(F.concat(F.col("found.value"), again), 1, count).alias("sample_values"))
+
+
+def samples(df: DataFrame, count: int = 5) -> dict[str, list[str]]:
+    """Up to ``count`` non-null values per column as text, from one aggregate over all rows."""
+    found = {r["place"]: list(r["sample_values"]) for r in _examples(_per_value(df), count).collect()}
+    return {c: found.get(i, []) for i, c in enumerate(df.columns)}
 
 
 def column_preview(df: DataFrame, numeric_text: bool = True, sample_count: int = 5) -> DataFrame:
@@ -222,18 +230,18 @@ def column_preview(df: DataFrame, numeric_text: bool = True, sample_count: int =
     A null counts as one distinct value here.
     """
     types = infer_types(df, numeric_text)
-    examples = samples(df, sample_count)
 
-    def by_column(values) -> Column:
-        return F.create_map(*[x for c in df.columns for x in (F.lit(c), values(c))])
+    def by_place(values) -> Column:
+        return F.element_at(F.array(*[F.lit(values(c)) for c in df.columns]), F.col("place") + 1)
 
-    name, nulls = F.col("column_name"), F.col("null_count")
-    texts = by_column(lambda c: F.array(*[F.lit(v) for v in examples[c]]).cast("array<string>"))
-    return column_statistics(df).select(
-        by_column(lambda c: F.lit(sanitize_name(c)))[name].alias("name"), name.alias("original_name"),
-        by_column(lambda c: F.lit(types[c].sql_type))[name].alias("suggested_type"), (nulls > 0).alias("nullable"),
+    nulls, per_value = F.col("null_count"), _per_value(df)
+    # both sides have one row per column and read the same counts
+    found = _statistics(per_value).join(_examples(per_value, sample_count), "place", "left")
+    return found.select(
+        by_place(sanitize_name).alias("name"), by_place(str).alias("original_name"),
+        by_place(lambda c: types[c].sql_type).alias("suggested_type"), (nulls > 0).alias("nullable"),
         (F.col("distinct_values") + F.when(nulls > 0, 1).otherwise(0)).alias("unique_values"),
-        nulls.alias("null_count"), texts[name].alias("sample_values"),
+        nulls.alias("null_count"), F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
     )
 
 

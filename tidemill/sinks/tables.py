@@ -197,7 +197,10 @@ def upserted(
         if c in given or not keep_missing else named(c)
         for c in target.columns
     ])
-    known = target.select(*[named(k).alias(f"__t_{k}") for k in keys]).distinct()
+    # only keys that the batch holds are shuffled; with a small batch the target stays where it is
+    asked = marked.select(*[named(f"__b_{k}") for k in keys])
+    known = target.select(*[named(k) for k in keys]).join(asked, same, "left_semi")
+    known = known.select(*[named(k).alias(f"__t_{k}") for k in keys]).distinct()
     absent = reduce(lambda a, b: a & b, [named(k).eqNullSafe(named(f"__t_{k}")) for k in keys])
     inserted = _aligned(one, target.schema).join(known, absent, "left_anti")
     return updated.unionByName(inserted)

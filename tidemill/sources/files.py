@@ -185,20 +185,23 @@ def _read_files(spark: SparkSession, kind: str, path, source_key: bool, **option
 
 
 def _read_readable(spark: SparkSession, kind: str, files: list[str], source_key: bool, on_error) -> DataFrame | None:
-    """The files of one type without those that cannot be read, which ``on_error`` hears of."""
-    good = {}
-    for file in files:
+    """The files of one type without those that cannot be read, which ``on_error`` hears of.
+
+    Files that fail together are halved until the bad ones stand alone, so a few among n take a few times log(n) reads.
+    Parts that read well apart but not together (columns of one name differ in type) meet as text.
+    """
+    frames, pending = [], [files]
+    while pending:
+        part = pending.pop()
         try:
-            good[file] = _read_files(spark, kind, [file], source_key)
+            frames.append(_read_files(spark, kind, part, source_key))
         except UNREADABLE as error:
-            if on_error:
-                on_error(file, str(error))
-    if not good:
-        return None
-    try:
-        return _read_files(spark, kind, list(good), source_key)
-    except UNREADABLE:  # readable one by one: columns of one name differ in type
-        return united(list(good.values()))
+            half = len(part) // 2
+            if half:
+                pending += [part[half:], part[:half]]
+            elif on_error:
+                on_error(part[0], str(error))
+    return united(frames) if frames else None
 
 
 def suffix_of(path: str) -> str:
@@ -241,7 +244,7 @@ def read_prefix(spark: SparkSession, prefix: str, pattern: str = "", on_error=No
     """All files whose path starts with ``prefix + pattern``, with the file's key on each row.
 
     Columns are united by name; columns of equal name but different type meet as text. An unreadable file is reported
-    and skipped, the others of its type stay.
+    and skipped, the others of its type stay. Files without a byte hold no rows and are left out.
     """
     folder = f"{prefix}{pattern}*"
     listed = file_listing(spark, folder).select("path", _kind_column().alias("kind"))
