@@ -106,6 +106,23 @@ def flight(chances: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, lan
     return np.array(chance)
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """The rows, of which equal ones get different ``luck``, so that they fall into different blocks.
+
+    Equal rows are counted before the shuffle and numbered again from their count. What repeats more often than a block
+    holds is dealt out in parts first, so no task writes all copies of a frequent row.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    most = F.lit(BLOCK_ROWS)
+    few = counted.where(F.col("n") <= most).withColumn("part", F.lit(0).cast("bigint"))
+    many = counted.where(F.col("n") > most).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / most))))
+    parts = few.unionByName(many.repartition("luck", "part"))
+    start = F.col("part") * most
+    copies = parts.withColumn("copy", F.explode(F.sequence(start, F.least(F.col("n"), start + most) - 1)))
+    luck = F.when(F.col("copy") == 0, F.col("luck")).otherwise(F.xxhash64("luck", "copy"))
+    return copies.withColumn("luck", luck).select(*rows.columns)
+
+
 def balanced_copies(
     documents: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source",
     weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, block_rows: int = BLOCK_ROWS, seed: int = 7,
@@ -119,9 +136,9 @@ def balanced_copies(
     Repeated rows are documents of their own.
     """
     size = F.coalesce(F.regexp_count(quoted(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
-    rows = materialize(documents.select(
+    rows = materialize(_told_apart(documents.select(
         quoted(id_column).alias("id"), quoted(source).alias("source"), size.alias("size"),
-        F.xxhash64(quoted(id_column), quoted(text)).alias("luck")))
+        F.xxhash64(quoted(id_column), quoted(text)).alias("luck"))))
     targets = materialize(source_targets(rows, weights, most))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + F.lit(_EDGE))
@@ -142,7 +159,8 @@ def balanced_copies(
 
     decided, level, largest = [], 0, None
     while True:
-        counts = units.groupBy("place").agg(F.count(F.lit(1)).alias("open"))
+        # stored, so that its size is known: few sources are broadcast and the units stay where they are
+        counts = materialize(units.groupBy("place").agg(F.count(F.lit(1)).alias("open")))
         largest = counts.agg(F.max("open")).first()[0] or 0
         blocks = F.ceil(F.col("open") / F.lit(block_rows)).cast("int")
         marked = units.join(counts.select("place", blocks.alias("blocks")), "place")
