@@ -182,6 +182,9 @@ def train(
     rows = rows.join(F.broadcast(trusted.withColumn("trusted", F.lit(True))), "id", "left")
 
     blocks = materialize(_blocks(rows))
+    # a task for each part of a shuffle, however many files the features have: as many sums reach the driver each round
+    spark = documents.sparkSession
+    blocks = blocks.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def total(change: Callable) -> np.ndarray | None:
         def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
