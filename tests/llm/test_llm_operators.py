@@ -8,13 +8,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.llm import mixing
 from tidemill.llm.automaton import Matcher
 from tidemill.llm.chat_format import canonical_turns, escape, format_chats, read_back, unescape
 from tidemill.llm.components import components
 from tidemill.llm.decontaminate import find_items, remove_items
 from tidemill.llm.html_text import extract_text, main_text
 from tidemill.llm.jaccard import Bands, keep_one, similar_groups
-from tidemill.llm.licenses import scan_licenses
+
+from tidemill.llm.licenses import TemplateScanner, scan_licenses
 from tidemill.llm.line_dedup import dedup_lines
 from tidemill.llm.mixing import balanced_copies, flight, source_targets
 from tidemill.llm.quality import MAX_ROWS, features, keep_good, score_quality, train
@@ -292,6 +294,54 @@ def test_licence_chains(spark):
     assert got[1][0] == ["mit"] and 0.6 <= got[1][2] < 1 and got[2] == ([], [], 0.0) and got[3][1] == ["cc-by-nc"] and got[3][2] == 1.0
 
 
+def test_licence_matches_against_brute_force():
+    """Every place where text and template agree and cannot go on, also such that end inside a longer match."""
+    luck = np.random.default_rng(6)
+    for least in (2, 3, 4):
+        for _ in range(60):
+            templates = [("t", " ".join(luck.choice(list("abc"), luck.integers(1, 9)))) for _ in range(4)]
+            words = [w.encode() for w in luck.choice(list("abcd"), 60, p=[0.3, 0.3, 0.3, 0.1])]
+            found = list(TemplateScanner(templates, least, 5).matches(words))
+            wanted = set()
+            for t, (_, template) in enumerate(templates):
+                own = template.encode().split()
+                for i in range(len(words)):
+                    for end in range(len(own)):
+                        n = 0
+                        while n <= min(i, end) and words[i - n] == own[end - n]:
+                            n += 1
+                        over = end + 1 == len(own) or i + 1 == len(words) or own[end + 1] != words[i + 1]
+                        if over and n > 1 and (n >= least or n == len(own)):
+                            wanted.add((i - n + 1, i, t, end))
+            assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_licences_of_one_family(spark):
+    work = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    gnu = ("you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free"
+           " Software Foundation, either version 3 of the License, or (at your option) any later version")
+    texts = [work.format(k) for k in ("", "-NonCommercial", "-ShareAlike", "-NonCommercial-ShareAlike", "-NoDerivatives", "-NonCommercial-NoDerivatives")]
+    texts += [gnu.format("Lesser "), "This program is free software: " + gnu.format(""), f"{texts[0]} x {texts[3]}", None, ""]
+    got = {r.doc_id: [s.label for s in r.spans] for r in scan_licenses(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == [
+        ["cc-by"], ["cc-by-nc"], ["cc-by-sa"], ["cc-by-nc-sa"], ["cc-by-nd"], ["cc-by-nc-nd"], ["lgpl"], ["gpl"], ["cc-by", "cc-by-nc-sa"], [], []]
+
+
+def test_equal_rows_fall_into_many_blocks(spark):
+    equal = [(1, "one two three", "a")] * 9000 + [(2, "four five", "b")] * 300 + [(None, None, None)] * 3
+    rows = docs(spark, equal).repartition(5).select("doc_id", "source", F.length("text").alias("size"), F.xxhash64("doc_id", "text").alias("luck"))
+    told = mixing._told_apart(rows)
+    assert told.count() == len(equal) and told.distinct().count() == len(equal)
+    assert told.groupBy("doc_id").count().collect() and {r["doc_id"]: r["count"] for r in told.groupBy("doc_id").count().collect()} == {1: 9000, 2: 300, None: 3}
+    mix = [mixing.balanced_copies(docs(spark, equal).repartition(n), block_rows=64).groupBy("doc_id", "copies").count().collect() for n in (3, 8)]
+    assert sorted(mix[0], key=repr) == sorted(mix[1], key=repr)
+    assert sum(r["count"] for r in mix[0]) == len(equal)
+    sizes = {1: 3, 2: 2}
+    taken = {i: sum(r["count"] * r["copies"] * sizes[i] for r in mix[0] if r["doc_id"] == i) for i in sizes}
+    # b is held at three times its 600 words, a takes the rest of all 27,600
+    assert abs(taken[2] - 1800) <= 2 and abs(taken[1] - 25800) <= 3
+
+
 @pytest.mark.parametrize("block_rows", [30, 1000])
 def test_top_k_against_brute_force(spark, block_rows):
     """Rows that repeat an id are candidates, also for a query of this id; only the query's own row is not."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -41,17 +42,32 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of"
+            " his or her rights to the work worldwide under copyright law"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held"
+             " liable for any damages arising from the use of this software"),
+    ("bsl-1", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and"
+              " accompanying documentation covered by this license"),
     ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced"),
 )
 
 
 class TemplateScanner:
-    """Streams words past the automaton of all templates and chains long matches per template."""
+    """Streams words past the automaton of all templates and chains long matches per template.
+
+    A template without words is never found, nor is one of a single word.
+    """
 
     def __init__(self, templates: Sequence[tuple[str, str]], min_match: int, max_gap: int):
         self.words = [marked_words(t.encode()) for _, t in templates]
         self.labels = [label for label, _ in templates]
         self.min_match, self.max_gap = min_match, max_gap
+        self.shortest = max(2, min([min_match, *map(len, self.words)]))
         self.matcher = Matcher(list(enumerate(self.words)), 1 << 30)
         auto = self.matcher.automaton
         self.places: list[set[tuple[int, int]]] = [set() for _ in auto.size]  # (template, last word) of each state
@@ -65,9 +81,10 @@ class TemplateScanner:
                 self.places[auto.link[s]] |= self.places[s]
 
     def matches(self, words: Sequence[bytes]) -> Iterator[tuple[int, int, int, int]]:
-        """Longest matches as ``(first, last, template, last template word)``, in text order.
+        """Matches that cannot go on as ``(first, last, template, last template word)``, by their last word.
 
-        A match counts when it has ``min_match`` words or is a whole shorter template.
+        The state and its suffixes name every place of a template that ends like the text so far. Such a place is a match
+        when its template's next word is not the text's, and when it has ``min_match`` words or is a whole shorter template.
         """
         auto = self.matcher.automaton
         step, link, size, root = auto.step, auto.link, auto.size, auto.step[0]
@@ -75,55 +92,58 @@ class TemplateScanner:
         for i, word in enumerate(words):
             if not at and word not in root:
                 continue
-            if at and word not in step[at]:
-                if length > 1:
-                    yield from self._at(i - 1, at, length)
-                while at and word not in step[at]:
-                    at = link[at]
-                    length = size[at]
+            while at and word not in step[at]:
+                at = link[at]
+                length = size[at]
             if word in step[at]:
                 at = step[at][word]
                 length += 1
             else:
                 length = 0
-        if length > 1:
-            yield from self._at(len(words) - 1, at, length)
-
-    def _at(self, last: int, state: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-        for t, end in sorted(self.places[state]):
-            if length >= self.min_match or length == len(self.words[t]):
-                yield last - length + 1, last, t, end
+            if length >= self.shortest:
+                yield from self._ended(i, at, length, words[i + 1] if i + 1 < len(words) else None)
+
+    def _ended(self, last: int, state: int, length: int, following: bytes | None) -> Iterator[tuple[int, int, int, int]]:
+        auto, seen = self.matcher.automaton, set()
+        while length >= self.shortest:
+            for t, end in sorted(self.places[state] - seen):
+                template = self.words[t]
+                over = end + 1 == len(template) or template[end + 1] != following
+                if over and (length >= self.min_match or length == len(template)):
+                    yield last - length + 1, last, t, end
+            seen |= self.places[state]
+            state = auto.link[state]
+            length = auto.size[state]
 
     def scan(self, words: Sequence[bytes], min_coverage: float) -> list[tuple[str, int, int, float]]:
         """Spans ``(label, first, last, covered share of the template)`` of chains that cover enough of a template.
 
-        A chain takes the matches of one template in order, as long as both the text and the template go forward and
-        at most ``max_gap`` words of the text lie between.
+        A chain takes matches of one template as long as both the text and the template go forward and at most
+        ``max_gap`` words of the text lie between; each match ends the chain that covers most. A passage belongs to one
+        template: of chains that overlap the one with the largest share stays, then the one with more covered words.
         """
-        open_chains: dict[int, list[int]] = {}  # template: first, last, last template word, covered words
-        spans: set[tuple[str, int, int, float]] = set()
-
-        def close(t: int) -> None:
-            first, last, _, covered = open_chains.pop(t)
-            share = covered / len(self.words[t])
-            if share >= min_coverage:
-                spans.add((self.labels[t], first, last, round(share, 6)))
-
+        chains: dict[int, list[tuple[int, int, int, int]]] = {}  # template: first, last, last template word, covered words
+        found: list[tuple[float, int, int, int, str]] = []
         for first, last, t, end in self.matches(words):
             n = last - first + 1
-            if t in open_chains:
-                chain = open_chains[t]
-                fresh = min(n, end - chain[2], last - chain[1])
-                if fresh > 0 and first - chain[1] <= self.max_gap:
-                    chain[1], chain[2], chain[3] = last, end, chain[3] + fresh
-                    continue
-                if last <= chain[1]:
-                    continue
-                close(t)
-            open_chains[t] = [first, last, end, n]
-        for t in list(open_chains):
-            close(t)
-        return sorted(spans, key=lambda x: (x[1], x[2], x[0]))
+            best = (first, last, end, n)
+            near = [c for c in chains.get(t, ()) if first - c[1] <= self.max_gap]
+            for start, stop, before, covered in near:
+                fresh = min(n, end - before, last - stop)
+                if fresh > 0 and covered + fresh > best[3]:
+                    best = (start, last, end, covered + fresh)
+            chains[t] = [*near, best]
+            share = best[3] / len(self.words[t])
+            if share >= min_coverage:
+                found.append((-round(share, 6), -best[3], best[0], last, self.labels[t]))
+        starts: list[int] = []
+        spans: list[tuple[str, int, int, float]] = []  # apart from each other, in text order
+        for share, _, first, last, label in sorted(found):
+            at = bisect_left(starts, first)
+            if (at == 0 or spans[at - 1][2] < first) and (at == len(spans) or spans[at][1] > last):
+                starts.insert(at, first)
+                spans.insert(at, (label, first, last, -share))
+        return spans
 
 
 SCHEMA = ("id {id}, n_words bigint, places array<struct<first:bigint,last:bigint,label:string>>,"
