@@ -109,10 +109,10 @@ def flight(chances: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, lan
 def _told_apart(rows: DataFrame) -> DataFrame:
     """The rows, of which equal ones get different ``luck``, so that they fall into different blocks.
 
-    Equal rows are counted before the shuffle and numbered again from their count. What repeats more often than a block
+    Equal rows are counted before the shuffle, stored, and numbered again from their count at each read. What repeats more often than a block
     holds is dealt out in parts first, so no task writes all copies of a frequent row.
     """
-    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")))
     most = F.lit(BLOCK_ROWS)
     few = counted.where(F.col("n") <= most).withColumn("part", F.lit(0).cast("bigint"))
     many = counted.where(F.col("n") > most).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / most))))
@@ -136,9 +136,9 @@ def balanced_copies(
     Repeated rows are documents of their own.
     """
     size = F.coalesce(F.regexp_count(quoted(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
-    rows = materialize(_told_apart(documents.select(
+    rows = _told_apart(documents.select(
         quoted(id_column).alias("id"), quoted(source).alias("source"), size.alias("size"),
-        F.xxhash64(quoted(id_column), quoted(text)).alias("luck"))))
+        F.xxhash64(quoted(id_column), quoted(text)).alias("luck")))
     targets = materialize(source_targets(rows, weights, most))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + F.lit(_EDGE))
