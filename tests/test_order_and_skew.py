@@ -2,6 +2,7 @@
 
 import random
 import statistics
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -226,3 +227,17 @@ def test_frequent_keys_are_few_and_exact(spark):
     assert joins.frequent_keys(df, 100).first()["items"] == ["hot"]
     assert joins.frequent_keys(df, 4000).first()["items"] == []
     assert joins.frequent_keys(df.filter("false"), 0).first()["items"] == []
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_keys_of_many_pairs_fall_into_many_tasks(spark, how, null_safe):
+    left = [(None if i % 2 else i, i) for i in range(80)]
+    right = [(None if i % 3 else i + 50, i) for i in range(60)]
+    sides = [spark.createDataFrame(rows, f"k bigint, {v} int").repartition(3) for rows, v in ((left, "a"), (right, "b"))]
+    out = joins.join(*sides, "k", how, null_safe, hot_key_pairs=100, split_pairs=True)
+    found = [(tuple(r[:3]), r[3]) for r in out.select("k", "a", "b", F.spark_partition_id()).collect()]
+    assert sorted((r for r, _ in found), key=repr) == joined_plainly(left, right, how, null_safe)
+    pairs = Counter(p for (k, a, b), p in found if k is None and None not in (a, b))
+    assert sum(pairs.values()) == 1600 * null_safe
+    assert not null_safe or (len(pairs) > 4 and max(pairs.values()) < 1000)

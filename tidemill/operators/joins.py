@@ -6,6 +6,11 @@ neither side of a full join. So outer joins salt the frequent keys of the side t
 frequent-items summary of its keys, which the plan reads as a scalar subquery, names them. Rows of such a key are dealt
 out by a salt, the other side's rows of it are repeated once per salt, and what such a repeated row finds nothing for
 is dropped: as the key was seen on the salted side, some copy has a partner.
+
+A key that few rows of both sides share can still give very many rows: all pairs. The optimizer splits and merges
+partitions by their bytes, which do not show that. So the rows of keys whose pairs are too many by the summaries of both
+sides are joined apart, in a grid: a row falls into one line of cells of its side and is repeated along it, and each pair
+meets in one cell. As such keys were seen on both sides, all their rows have partners, whatever the kind of join.
 """
 
 from __future__ import annotations
@@ -31,6 +36,10 @@ JOIN_TYPES = {
 SALTS = 16
 # Fewer rows of a key than this are no burden for a task.
 HOT_KEY_ROWS = 1_000_000
+# Fewer pairs of a key than this are no burden for a task; a cell of a key's grid has about so many.
+HOT_KEY_PAIRS = 1_000_000
+# Tasks that grids are dealt out to, for each shuffle partition.
+GRID_TASKS = 4
 
 
 # Key types whose text says exactly which keys are equal.
@@ -69,17 +78,51 @@ def _key_text(columns: Sequence[Column], kinds: Sequence[T.DataType]) -> Column:
     return F.to_json(F.struct(*[t.alias(f"k{i}") for i, t in enumerate(texts)]))
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _summary(text: DataFrame, tag: str = "") -> DataFrame:
+    """One row: the most frequent texts with their counts, and the number of rows."""
+    partitions = _partitions(text)
+    most, tracked = min(2 * partitions, 100_000), min(max(10_000, 8 * partitions), 1_000_000)
+    top = F.expr(f"approx_top_k(k, {most}, {tracked})").alias(f"{tag}top")
+    return text.select(text[text.columns[0]].alias("k")).agg(top, F.count(F.lit(1)).alias(f"{tag}n"))
+
+
+def _items(tag: str, least_rows: int, partitions: int) -> Column:
+    least = F.greatest(F.lit(least_rows), F.col(f"{tag}n") / F.lit(partitions))
+    return F.transform(F.filter(f"{tag}top", lambda t: t["count"] >= least), lambda t: t["item"])
+
+
 def frequent_keys(text: DataFrame, least_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """One row with an array ``items``: texts of at least ``least_rows`` rows that are more than a shuffle partition's share.
 
     One scan. The summary has a bounded size, whatever the number of rows, and is combined before the shuffle; its
     counts err by a small part of that share.
     """
-    partitions = int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most, tracked = min(2 * partitions, 100_000), min(max(10_000, 8 * partitions), 1_000_000)
-    summary = text.select(text[text.columns[0]].alias("k")).agg(F.expr(f"approx_top_k(k, {most}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n"))
-    least = F.greatest(F.lit(least_rows), F.col("n") / F.lit(partitions))
-    return summary.select(F.transform(F.filter("top", lambda t: t["count"] >= least), lambda t: t["item"]).alias("items"))
+    return _summary(text).select(_items("", least_rows, _partitions(text)).alias("items"))
+
+
+def hot_keys(left: DataFrame, right: DataFrame, least_rows: int = HOT_KEY_ROWS, least_pairs: int = HOT_KEY_PAIRS) -> DataFrame:
+    """One row: the frequent texts ``left`` and ``right``, and ``cells`` with the grid of each text of many pairs.
+
+    A grid has ``a`` lines of left rows and ``b`` of right rows, so that a cell has about ``least_pairs`` pairs.
+    """
+    partitions = _partitions(left)
+    both = _summary(left, "l").crossJoin(_summary(right, "r")).withColumn("counts", F.map_from_entries("rtop"))
+    least = F.greatest(F.lit(float(least_pairs)), F.col("ln") / F.lit(partitions), F.col("rn") / F.lit(partitions))
+
+    def lines(own: Column, other: Column) -> Column:
+        return F.ceil(own / F.greatest(F.lit(least_pairs**0.5), F.lit(float(least_pairs)) / other)).cast("long")
+
+    counted = F.transform("ltop", lambda t: F.struct(
+        t["item"].alias("item"), t["count"].cast("double").alias("l"), F.try_element_at("counts", t["item"]).cast("double").alias("r")))
+    cells = F.transform(F.filter(counted, lambda t: t["l"] * t["r"] >= least), lambda t: F.struct(
+        t["item"].alias("key"), F.struct(lines(t["l"], t["r"]).alias("a"), lines(t["r"], t["l"]).alias("b")).alias("value")))
+    return both.select(F.struct(
+        _items("l", least_rows, partitions).alias("left"), _items("r", least_rows, partitions).alias("right"),
+        F.map_from_entries(cells).alias("cells")).alias("hot"))
 
 
 def key_pairs(on) -> list[tuple[str, str]]:
@@ -125,11 +168,14 @@ def join(
     right_prefix: str | None = None,
     hot_key_rows: int = HOT_KEY_ROWS,
     salts: int = SALTS,
+    hot_key_pairs: int = HOT_KEY_PAIRS,
+    split_pairs: bool | None = None,
 ) -> DataFrame:
     """Join two frames; null keys match null keys unless ``null_safe`` is off.
 
     The left key names survive and hold the key of either side; right key columns are dropped. Prefixes
-    rename non-key columns of a side (different sources); suffixes resolve clashes (same source).
+    rename non-key columns of a side (different sources); suffixes resolve clashes (same source). Keys of many pairs
+    are split in outer joins, in inner joins only with ``split_pairs``: it reads the sides again for their keys.
     """
     kind = JOIN_TYPES.get(str(how).lower())
     if kind is None:
@@ -169,7 +215,7 @@ def join(
     )
     key_place = {k: i for i, k in enumerate(left_keys)}
 
-    if kind == "inner":
+    if kind == "inner" and not split_pairs:
         return left.join(r, cond).select(*left_part, *right_part)
     coalesced = [
         F.coalesce(named(c), F.col(f"__k{key_place[c]}")).alias(c) if c in key_place else named(c).alias(out_left[c])
@@ -180,30 +226,61 @@ def join(
     if kinds is None:
         return left.join(r, cond, kind).select(*left_part, *right_part)
 
-    # keys frequent on the right are salted there, all others that are frequent on the left there
     columns = {"left": [named(k) for k in left_keys], "right": [F.col(f"__k{i}") for i in range(len(pairs))]}
-    unsplit = {"left": ("right",), "right": ("left",), "full": ("left", "right")}[kind]
+    unsplit = {"inner": (), "left": ("right",), "right": ("left",), "full": ("left", "right")}[kind]
     frame = {"left": left, "right": r}
-    found = {side: frequent_keys(frame[side].select(_key_text(columns[side], kinds)), hot_key_rows).scalar() for side in unsplit}
-
+    texts = {side: df.select(_key_text(columns[side], kinds).alias("k")) for side, df in frame.items()}
+    if "left" not in unsplit:  # its keys count only where some key of the right has several rows
+        several = _summary(texts["right"]).select(F.exists("top", lambda t: t["count"] > 1)).scalar()
+        texts["left"] = texts["left"].where(several)
+    hot = hot_keys(texts["left"], texts["right"], hot_key_rows, hot_key_pairs).scalar()
+    found = {side: hot[side] for side in unsplit}
+    split = split_pairs is not False
+
+    def apart(side: str) -> Column:
+        """Whether the key of a row has a grid; a null key meets nothing unless nulls match."""
+        has = (F.size(hot["cells"]) > 0) & F.map_contains_key(hot["cells"], _key_text(columns[side], kinds))
+        return has if null_safe else reduce(lambda a, b: a & b, [c.isNotNull() for c in columns[side]], has)
+
+    def row_hash(df: DataFrame) -> Column:
+        return F.xxhash64(*[named(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+
+    def in_grid(side: str, tag: str) -> DataFrame:
+        """The rows of keys with a grid, once in each cell of their line."""
+        df = frame[side].where(apart(side)).withColumn(f"{tag}text", _key_text(columns[side], kinds))
+        df = df.withColumn(f"{tag}grid", F.try_element_at(hot["cells"], F.col(f"{tag}text")))
+        a, b = F.col(f"{tag}grid.a"), F.col(f"{tag}grid.b")
+        line = F.pmod(row_hash(frame[side]), a if side == "left" else b)
+        cells = F.sequence(line * b, line * b + b - 1) if side == "left" else F.sequence(line, line + (a - 1) * b, b)
+        # a number of its own: tasks of few bytes are not merged
+        return df.withColumn(f"{tag}cell", F.explode(cells)).repartition(GRID_TASKS * _partitions(left), f"{tag}text", f"{tag}cell")
+
+    # of the other keys those frequent on the right are salted there, all others that are frequent on the left there
     def dealt(side: str, tag: str) -> DataFrame:
         """Rows with a salt: of the keys frequent on their own side by hash, of those frequent on the other once each."""
-        df, text = frame[side], _key_text(columns[side], kinds)
+        df, text = frame[side].where(~apart(side)) if split else frame[side], _key_text(columns[side], kinds)
         here = lambda s: F.array_contains(found[s], text) if s in found else F.lit(False)
         own, again = (here("right"), here("left") & ~here("right")) if side == "right" else (here("left") & ~here("right"), here("right"))
         if not null_safe:  # a null key meets nothing
             known = reduce(lambda a, b: a & b, [c.isNotNull() for c in columns[side]])
             own, again = own & known, again & known
-        by_row = F.xxhash64(*[named(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+        by_row = row_hash(df)
         every = F.sequence(F.lit(0), F.lit(salts - 1))
         one = F.array(F.when(F.coalesce(own, F.lit(False)), F.pmod(by_row, F.lit(salts)).cast("int")).otherwise(F.lit(0)))
         marked = df.withColumn(f"{tag}again", F.coalesce(again, F.lit(False)))
         return marked.withColumn(f"{tag}salt", F.explode(F.when(F.col(f"{tag}again"), every).otherwise(one)))
 
-    a, b = dealt("left", "__l"), dealt("right", "__r")
-    both = a.join(b, cond & (F.col("__lsalt") == F.col("__rsalt")), kind)
-    alone = (F.col("__lagain") & F.col("__rsalt").isNull()) | (F.col("__ragain") & F.col("__lsalt").isNull())
-    return both.where(~F.coalesce(alone, F.lit(False))).select(*left_part, *right_part)
+    if kind == "inner":
+        out = left.where(~apart("left")).join(r.where(~apart("right")), cond).select(*left_part, *right_part)
+    else:
+        a, b = dealt("left", "__l"), dealt("right", "__r")
+        both = a.join(b, cond & (F.col("__lsalt") == F.col("__rsalt")), kind)
+        alone = (F.col("__lagain") & F.col("__rsalt").isNull()) | (F.col("__ragain") & F.col("__lsalt").isNull())
+        out = both.where(~F.coalesce(alone, F.lit(False))).select(*left_part, *right_part)
+    if not split:
+        return out
+    met = (F.col("__ltext") == F.col("__rtext")) & (F.col("__lcell") == F.col("__rcell"))
+    return out.union(in_grid("left", "__l").join(in_grid("right", "__r"), met).select(*left_part, *right_part))
 
 
 def join_check(left: DataFrame, right: DataFrame, on, null_safe: bool = True) -> DataFrame:

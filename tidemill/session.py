@@ -16,6 +16,8 @@ RUNTIME_OPTIONS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even if that costs the next operator a shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # generated code of a full join holds all pairs of a key in memory, the plain operator only the key's rows
+    "spark.sql.codegen.join.fullOuterSortMergeJoin.enabled": "false",
 }
 
 _local_dirs: dict[str, str] = {}
