@@ -119,7 +119,7 @@ def _sides(t: Tables):
 def _join_query(how: str, sql_join: str, key: str) -> None:
     text = _SIDES + (f"SELECT o_orderkey, {key} AS cust, o_totalprice, c_name FROM l {sql_join} JOIN r "
                      "ON cust IS NOT DISTINCT FROM custkey")
-    query(f"join_{how}", text)(lambda t: joins.join(*_sides(t), [{"left": "cust", "right": "custkey"}], how))
+    query(f"join_{how}", text)(lambda t: joins.join(*_sides(t), [{"left": "cust", "right": "custkey"}], how, split_pairs=True))
 
 
 _join_query("inner", "INNER", "cust")
