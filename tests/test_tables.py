@@ -6,6 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.catalog import all_queries
+from tidemill.catalog.check_queries import _moved
 from tidemill.catalog.registry import fresh_name
 from tidemill.operators import columns, inspect, quality
 from tidemill.operators import rows as rows_module
@@ -411,6 +413,23 @@ def test_hash_ignores_order(spark):
     assert snapshot_hash(df).first() != snapshot_hash(df.union(df.limit(1))).first()
 
 
+def test_moved_rows_fall_into_more_tasks_when_there_are_more(spark, tmp_path):
+    names = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus".split()
+    rows = spark.range(0, 20_000, 1, 8).select(*[(F.xxhash64("id", F.lit(n)) % 1000).cast("string" if "flag" in n or "status" in n else "double").alias(n) for n in names])
+    rows.withColumn("l_partkey", F.lit(7)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        moved = _moved(spark.read.parquet(f"{tmp_path}/lineitem.parquet"), "l_partkey")
+        per_task = [r["count"] for r in moved.select(F.spark_partition_id().alias("p")).withColumn("one", F.lit(1)).groupBy("p").count().collect()]
+        tasks = moved.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    assert sum(per_task) == 20_000 and tasks > 5
+    found = all_queries()["snapshot_hash"](spark, str(tmp_path)).collect()
+    assert {r["kind"]: r["alike"] for r in found} == {"same": True, "moved": True, "changed": False, "swapped": False, "repeated": False}
+
+
 def test_fingerprint_sees_nulls_names_and_maps(spark):
     def print_of(rows, schema):
         return spark.createDataFrame(rows, schema).transform(snapshot_hash).first()
